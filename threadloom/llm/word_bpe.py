@@ -3,6 +3,7 @@
 Texts are split on ASCII white space into blocks of documents. A block keeps its words as positions in its own
 list of distinct words; the lists of all blocks meet by word hash, where each distinct word is encoded once; the
 ids go back to the blocks and are joined to the words by position. Ids are decoded through an id-to-piece table.
+Blocks are written once, as a table bucketed by block in the shared folder, so that the last join moves ids only.
 
 White space never survives this vocabulary's pre-tokenizer and nothing composes, lower-cases or merges across it,
 so the ids of a text are those of its words in turn; every word goes through the tokenizer itself, special tokens
@@ -15,6 +16,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import written
+from threadloom.llm.common import shared_dir
 
-BLOCK_BYTES = 8 << 20  # of text in a block of documents
+BLOCK_BYTES = 32 << 20  # of text in a block of documents
 BUCKET_BYTES = 16 << 20  # of text for each bucket of words
 
-PACKED = "kind int, block string, bucket int, n array<int>, docs array<bigint>, payload binary"
+PACKED = "kind int, block bigint, bucket int, n array<int>, docs array<bigint>, seats binary, payload binary"
 
 
 @functools.lru_cache(maxsize=4)
@@ -60,6 +63,31 @@ class _Index(dict):
         return n
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte plane by byte plane."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _squeezed(x: np.ndarray, squeeze) -> bytes:
+    """Mostly small numbers: what is above the lowest byte, then the lowest bytes of small ones, then of others."""
+    high, low = x >> 8, (x & 255).astype(np.uint8)
+    parts = [squeeze(_planes(high)), squeeze(low[high == 0].tobytes()), low[high > 0].tobytes()]
+    return struct.pack("<3I", *map(len, parts)) + b"".join(parts)
+
+
+def _unsqueezed(raw: bytes, unzip) -> np.ndarray:
+    a, b, c = struct.unpack_from("<3I", raw)
+    high = _unplaned(unzip(raw[12 : 12 + a]))
+    low = np.empty(len(high), np.uint32)
+    low[high == 0] = np.frombuffer(unzip(raw[12 + a : 12 + a + b]), np.uint8)
+    low[high > 0] = np.frombuffer(raw[12 + a + b : 12 + a + b + c], np.uint8)
+    return (high << 8) | low
+
+
 def _packer(buckets: int, block_bytes: int):
     def pack(batches):
         from pyspark import TaskContext
@@ -69,21 +97,25 @@ def _packer(buckets: int, block_bytes: int):
         docs, counts, index, chunks, held = [], [], _Index(), [], 0
 
         def flush():
-            name = f"{part}.{made}"
-            words = list(index)
+            words, positions = list(index), np.concatenate(chunks) if chunks else np.empty(0, np.uint32)
+            # distinct words are listed by bucket, so that answers come back as runs; positions count by falling
+            # frequency, which leaves little to store
             bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
-            renumber = np.empty(len(words), np.uint32)
-            renumber[order] = np.arange(len(words), dtype=np.uint32)
-            positions = renumber[np.concatenate(chunks)] if words else np.empty(0, np.uint32)
-            rows = [(0, name, None, counts, docs, squeeze(positions.astype("<u4").tobytes()))]
+            often = np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")
+            rank, seat = np.empty(len(words), np.uint32), np.empty(len(words), np.uint32)
+            rank[often] = np.arange(len(words), dtype=np.uint32)
+            seat[order] = np.arange(len(words), dtype=np.uint32)
+            name = (part << 24) + made
+            rows = [(0, name, None, counts, docs, squeeze(_planes(seat[often])), _squeezed(rank[positions], squeeze))]
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(ends)):
                 mine = [words[i] for i in order[ends[b] : ends[b + 1]]]
-                rows.append((1, name, int(b), None, None, squeeze(b"\n".join(mine))))
+                rows.append((1, name, int(b), None, None, None, squeeze(b"\n".join(mine))))
             cols = list(zip(*rows, strict=True))
-            types = [pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "block", "bucket", "n", "docs", "payload"])
+            types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            names = ["kind", "block", "bucket", "n", "docs", "seats", "payload"]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -146,7 +178,8 @@ def _joiner(config, with_ids: bool):
         spelled = [" ".join(map(piece.__getitem__, flat[s : s + n].tolist())) for s, n in zip(starts.tolist(), lens.tolist(), strict=True)]
         out = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
         for row in left.to_pylist():  # one
-            words, at = np.frombuffer(unzip(row["payload"]), "<u4").astype(np.int64), 0
+            words = _unplaned(unzip(row["seats"])).astype(np.int64)[_unsqueezed(row["payload"], unzip)]
+            at = 0
             for doc, n in zip(row["docs"], row["n"], strict=True):
                 own = words[at : at + n]
                 at += n
@@ -165,6 +198,13 @@ def _joiner(config, with_ids: bool):
     return join
 
 
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """df as a table in the shared folder, partitioned by kind and bucketed by block."""
+    name = f"word_blocks_{uuid.uuid4().hex}"
+    df.write.partitionBy("kind").bucketBy(buckets, "block").option("path", f"{shared_dir(df.sparkSession)}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids array<int> and decoded text, for each row.
 
@@ -175,9 +215,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
-    packed = written(slim.mapInArrow(_packer(buckets, block_bytes), PACKED), "words", "kind")
+    packed = _bucketed(slim.mapInArrow(_packer(buckets, block_bytes), PACKED), 2 * math.ceil(total / block_bytes) + 8)
     words = packed.where("kind = 1").select("block", "bucket", "payload")
-    answers = words.groupBy("bucket").applyInArrow(_encoder(config), "block string, bucket int, n int, payload binary")
-    blocks = packed.where("kind = 0").select("block", "n", "docs", "payload")
+    answers = words.groupBy("bucket").applyInArrow(_encoder(config), "block bigint, bucket int, n int, payload binary")
+    blocks = packed.where("kind = 0").select("block", "n", "docs", "seats", "payload")
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_joiner(config, with_ids), schema)

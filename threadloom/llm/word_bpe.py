@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import shared_dir
 
-BLOCK_BYTES = 32 << 20  # of text in a block of documents
+BLOCK_BYTES = 14 << 20  # of text in a block of documents
 BUCKET_BYTES = 16 << 20  # of text for each bucket of words
 
 PACKED = "kind int, block bigint, bucket int, n array<int>, docs array<bigint>, seats binary, payload binary"
@@ -98,6 +98,7 @@ def _packer(buckets: int, block_bytes: int):
 
         def flush():
             words, positions = list(index), np.concatenate(chunks) if chunks else np.empty(0, np.uint32)
+            chunks.clear()
             # distinct words are listed by bucket, so that answers come back as runs; positions count by falling
             # frequency, which leaves little to store
             bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))

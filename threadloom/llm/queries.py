@@ -33,6 +33,23 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.source_mix import Mix, word_count
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
+    return Mix(docs).taken("doc_id", "size", "source_size", "target")
+
+
+def op8_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.uniform_shards import uniform_shards
+
+    placed = uniform_shards(_table(spark, sf_dir, "documents"), shards=40)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    none = F.lit(None).cast("int")
+    return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", none.alias("grown_shard"))
+
+
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -15,14 +15,13 @@ each row is packed on its own and equal rows are interchangeable; other columns
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm.common import WORD, offsets
 
 BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 512, 4096, 4096, 8192
-KEY = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))  # never null
 
 
 def targets(sizes: list[int], weights: list[float], total: float, limit: float) -> list[float]:
@@ -56,24 +55,153 @@ def shard_counts(slots: list[int], per_shard: int, seed: int) -> list[list[int]]
     return out
 
 
-def _permuted(i: Column, n: Column, seed: Column) -> Column:
-    """The image of i under a pseudorandom permutation of 0 .. n - 1: rounds of multiply, add and xor-shift, each a
-    permutation of the least power of two that holds n, walked until the image is below n."""
-    bits = F.greatest(F.lit(1), F.ceil(F.log2(n.cast("double"))).cast("int"))
-    mask = F.shiftleft(F.lit(1).cast("long"), bits) - 1
-    half = F.floor((bits + 1) / 2).cast("int")
-
-    def step(x: Column) -> Column:
-        for r in range(3):
-            a = F.xxhash64(seed, F.lit(2 * r)).bitwiseAND(F.lit(0x3FFFFFFF)).bitwiseOR(F.lit(1).cast("long"))
-            b = F.xxhash64(seed, F.lit(2 * r + 1)).bitwiseAND(F.lit(0x3FFFFFFF))
-            x = ((x.bitwiseAND(mask) % F.lit(1 << 32)) * a + b).bitwiseAND(mask)
-            x = x.bitwiseXOR(F.expr("0L") + _shifted(x, half))
-        return x
-
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(96)), step(i), lambda x, _: F.when(x < n, x).otherwise(step(x)))
-    return F.when(n <= 1, F.lit(0).cast("long")).otherwise(walk)
-
-
-def _shifted(x: Column, by: Column) -> Column:
-    return F.floor(x / F.pow(F.lit(2.0), by)).cast("long")
+def permuted(i: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The images of i under a pseudorandom permutation of 0 .. n - 1: a Feistel network over the least even number of
+    bits that hold n, walked until the image is below n."""
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    mask, x = np.uint64((1 << half) - 1), i.astype(np.uint64)
+
+    def network(x: np.ndarray) -> np.ndarray:
+        left, right = x >> np.uint64(half), x & mask
+        for r in range(4):
+            f = (right + np.uint64((seed * 4 + r + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+            f = (f ^ (f >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((f ^ (f >> np.uint64(32))) & mask)
+        return (left << np.uint64(half)) | right
+
+    x = network(x)
+    while (out := x >= np.uint64(n)).any():
+        x[out] = network(x[out])
+    return x.astype(np.int64)
+
+
+def _slots(block: int):
+    """From runs of a source's slot numbers to the blocks they take."""
+    import pyarrow as pa
+
+    def make(batches):
+        for batch in batches:
+            for run in batch.to_pylist():
+                size, take = run["size"], run["take"]
+                full, wide = size // block, -(-size // block)
+                for lo in range(run["first"], run["last"], 100_000):
+                    i = np.arange(lo, min(lo + 100_000, run["last"]), dtype=np.int64)
+                    turn, j = i // wide, i % wide
+                    blocks, words = np.full(len(i), full, np.int64), np.full(len(i), size % block, np.int64)
+                    for t in np.unique(turn).tolist():
+                        mine = (turn == t) & (j < full)
+                        if mine.any():
+                            blocks[mine], words[mine] = permuted(j[mine], full, run["seed"] + 7919 * t), block
+                    rest = take - (take // size) * size
+                    cut = (turn == take // size) & (j == rest // block)
+                    words[cut] = rest % block
+                    n = len(i)
+                    cols = [pa.array([run["shard"]] * n, pa.int32()), pa.array(i), pa.array(turn.astype(np.int32)), pa.array([run["key"]] * n, pa.string()), pa.array(blocks), pa.array(words)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["shard", "number", "turn", "key", "block", "words"])
+
+    return make
+
+
+class Mix:
+    """A mix of docs(doc_id, source, size, and whatever else) by sources.
+
+    documents: the rows with key, bucket and rn (which together name a row), start (in the source's stream),
+    source_size, target. slots: shard, number, turn, key, block, words: the blocks that each shard takes.
+    """
+
+    def __init__(self, docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = BLOCK, seed: int = 4):
+        spark, self.block = docs.sparkSession, block
+        held = docs.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_h", F.xxhash64(F.lit(seed), *docs.columns))
+        stats = held.groupBy("source", "key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
+        stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+        sizes, rows = [r["size"] for r in stats], sum(r["n"] for r in stats)
+        goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), limit)
+        self.stats = {r["source"]: (r["size"], goal) for r, goal in zip(stats, goals, strict=True)}
+        takes = [min(int(goal + 0.5), int(limit * size)) for goal, size in zip(goals, sizes, strict=True)]
+        slots = [(take // size) * -(-size // block) + -(-(take % size) // block) if size else 0 for take, size in zip(takes, sizes, strict=True)]
+        per_shard = max(SHARD_SLOTS, -(-sum(slots) // MOST_SHARDS))
+        runs, first = [], [0] * len(slots)
+        for shard, row in enumerate(shard_counts(slots, per_shard, seed)):
+            for s, n in enumerate(row):
+                if n:
+                    runs.append((shard, stats[s]["key"], seed + 104729 * s, sizes[s], takes[s], first[s], first[s] + n))
+                    first[s] += n
+        runs = spark.createDataFrame(runs, "shard int, key string, seed long, size long, take long, first long, last long")
+        self.slots = runs.mapInArrow(_slots(block), "shard int, number long, turn int, key string, block long, words long")
+        # every document's place in its source's stream, summed by bucket first
+        buckets = max(1, -(-rows // BUCKET_ROWS))
+        held = held.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.lit(buckets)))
+        starts = offsets(held.groupBy("key", "bucket").agg(F.sum("size").alias("n")), "bucket", "n", ["key"])
+        inside = Window.partitionBy("key", "bucket").orderBy("_h", "size")
+        before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = held.withColumn("rn", F.row_number().over(inside)).withColumn("_before", before)
+        held = held.join(starts.select("key", "bucket", F.col("before").alias("_start")), ["key", "bucket"])
+        known = spark.createDataFrame([(r["key"], size, float(goal)) for r, size, goal in zip(stats, sizes, goals, strict=True)], "key string, source_size long, target double")
+        self.documents = held.withColumn("start", F.col("_start") + F.col("_before")).drop("_start", "_before").join(known, "key")
+
+    def pieces(self, *columns: str) -> DataFrame:
+        """Each document's words block by block: columns, key, block, lo and hi (words in the block), word (its first).
+        Documents without words have one row, with null block."""
+        last = F.floor((F.col("start") + F.col("size") - 1) / self.block)
+        blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / self.block), last))
+        out = self.documents.withColumn("block", F.explode_outer(blocks))
+        at = F.col("block") * self.block
+        lo, hi = F.greatest(F.col("start"), at), F.least(F.col("start") + F.col("size"), at + self.block)
+        return out.select(*columns, "key", "block", (lo - at).alias("lo"), (hi - at).alias("hi"), (lo - F.col("start")).alias("word"))
+
+    def spans(self, *columns: str) -> DataFrame:
+        """What the mix takes, shard by shard: columns, shard, number and turn of the slot, words first to last - 1 of
+        the document."""
+        taken = self.pieces(*columns).where("block IS NOT NULL").join(self.slots, ["key", "block"]).where("lo < words")
+        return taken.select(*columns, "shard", "number", "turn", F.col("word").alias("first"), (F.col("word") + F.least("hi", "words") - F.col("lo")).alias("last"))
+
+    def taken(self, *columns: str) -> DataFrame:
+        """columns and taken (words the mix takes, repeats counted) of every document; slots join blocks by index."""
+        uses = self.slots.groupBy("key", "block").agg(F.sum(F.when(F.col("words") >= self.block, 1).otherwise(0)).alias("whole"), F.collect_list(F.when(F.col("words") < self.block, F.col("words"))).alias("cuts"))
+        row = ["key", "bucket", "rn"]
+        pieces = self.pieces(*columns, "bucket", "rn").alias("p").join(uses.alias("u"), ["key", "block"], "left")
+        cut = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0), F.least(F.col("hi"), w) - F.col("lo")))
+        words = F.coalesce(F.col("whole") * (F.col("hi") - F.col("lo")) + cut, F.lit(0))
+        return pieces.groupBy(*row, *columns).agg(F.sum(words).alias("taken")).select(*columns, "taken")
+
+
+def word_count(text) -> F.Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix_texts(docs: DataFrame, **options) -> DataFrame:
+    """The words that a mix takes, as rows with the columns of docs (doc_id, text, source, n_chars and others).
+
+    What a turn takes of a document in one run is one row: its words from first to last with the white space between
+    them (what precedes the first and follows the last word of the document goes with these)."""
+    columns = docs.columns
+    keyed = docs.withColumn("_row", F.xxhash64(F.lit(44), *columns))
+    mix = Mix(keyed.select("_row", "source", word_count("text").alias("size")), **options)
+    spans = mix.spans("_row", "size").groupBy("_row").agg(F.collect_list(F.struct("turn", "first", "last")).alias("_spans"), F.max("size").alias("_size"))
+    texts = keyed.dropDuplicates(["_row"]).join(spans, "_row").select(*columns, "_size", "_spans")
+
+    def cut(batches):
+        import re
+
+        import pyarrow as pa
+
+        find = re.compile(WORD)
+        for batch in batches:
+            rows, made = batch.to_pylist(), []
+            for r in rows:
+                runs, words = [], None
+                for turn, first, last in sorted((x["turn"], x["first"], x["last"]) for x in r["_spans"]):
+                    if runs and runs[-1][0] == turn and runs[-1][2] == first:
+                        runs[-1][2] = last
+                    else:
+                        runs.append([turn, first, last])
+                for _, first, last in runs:
+                    text = r["text"]
+                    if (first, last) != (0, r["_size"]):
+                        words = words or [m.span() for m in find.finditer(text)]
+                        text = text[0 if first == 0 else words[first][0] : len(text) if last == r["_size"] else words[last - 1][1]]
+                    made.append({c: r[c] for c in columns} | {"text": text} | ({"n_chars": len(text)} if "n_chars" in columns else {}))
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema=pa.schema([batch.schema.field(c) for c in columns]))
+
+    return texts.mapInArrow(cut, docs.schema)

@@ -40,6 +40,21 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(docs).taken("doc_id", "size", "source_size", "target")
 
 
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm import ordinal_toxicity as o
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = o.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade")))
+    return o.score(docs, model).select("doc_id", "severity", "p_toxic", "grade", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm import weak_quality as w
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return w.score(docs, w.fit(docs)).select("doc_id", "quality", (F.col("quality") >= 0.5).alias("keep"))
+
+
 def op8_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from threadloom.llm.uniform_shards import uniform_shards
 

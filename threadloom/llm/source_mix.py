@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from threadloom.llm.common import WORD, offsets
 
-BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 512, 4096, 4096, 8192
+BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 512, 4096, 4096, 1024
 
 
 def targets(sizes: list[int], weights: list[float], total: float, limit: float) -> list[float]:

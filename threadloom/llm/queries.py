@@ -40,6 +40,12 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(docs).taken("doc_id", "size", "source_size", "target")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.fingerprints import edited_and_next
+
+    return edited_and_next(_table(spark, sf_dir, "documents"))
+
+
 def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from threadloom.llm import ordinal_toxicity as o
 

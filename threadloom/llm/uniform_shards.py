@@ -4,7 +4,7 @@ Rows fall by hash into partitions that a task can hold. How many rows each parti
 exactly: a deck of one card per row, labelled with its shard (counts at most one apart), is shuffled by hash and dealt
 to the partitions by their sizes, which gives the multivariate hypergeometric law with exact margins; the deck holds
 numbers alone and is counted into a matrix. Each partition then permutes its rows, sends runs of them to the shards as
-the matrix says, and each shard permutes what it gets, in sub-buckets by hash.
+the matrix says, and each shard permutes what it gets, in sub-buckets by hash. All of this moves row hashes only.
 
 Draws depend on the rows' contents and the seed alone, not on how files are split or which executor works, so a
 recomputed partition agrees with what others have read. Nulls hash as such; rows equal in all columns are
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import offsets
+from threadloom.llm.common import offsets, written
 
 ROWS = 2048  # in a partition, and in a sub-bucket of a shard
 
@@ -37,23 +37,31 @@ def communication_matrix(partitions: DataFrame, total: int, shards: int, seed: i
 
 
 def uniform_shards(df: DataFrame, shards: int = 40, seed: int = 8, rows: int = ROWS) -> DataFrame:
-    """df with shard (0 to shards - 1) and slot (gapless from 0 in each shard), a uniform shuffle of its rows."""
+    """df with shard (0 to shards - 1) and slot (gapless from 0 in each shard), a uniform shuffle of its rows.
+
+    The draw, both permutations and the exchange between them run on row hashes alone; the rows themselves, texts and
+    all, move once, to meet their places. A writer that wants a file per shard range-partitions by shard and slot.
+    """
     columns = df.columns
-    total = df.count()
+    hashed = F.xxhash64(F.lit(seed), *columns)
+    slim = written(df.select(hashed.alias("h")), "row_hashes")
+    total = slim.count()
     parts, subs = max(1, -(-total // rows)), max(1, -(-total // (rows * shards)))
-    held = df.withColumn("_h", F.xxhash64(F.lit(seed), *columns)).withColumn("_part", F.pmod("_h", F.lit(parts)))
-    sizes = held.groupBy(F.col("_part").alias("part")).agg(F.count("*").alias("n"))
-    matrix = communication_matrix(sizes, total, shards, seed + 1, rows)
+    held = slim.withColumn("part", F.pmod("h", F.lit(parts)))
+    matrix = communication_matrix(held.groupBy("part").agg(F.count("*").alias("n")), total, shards, seed + 1, rows)
     along = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    runs = matrix.withColumn("_end", F.sum("n").over(along)).groupBy(F.col("part").alias("_part"))
-    runs = runs.agg(F.array_sort(F.collect_list(F.struct("_end", "shard"))).alias("_runs"))
+    runs = matrix.withColumn("end", F.sum("n").over(along)).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("runs"))
     # permute locally, and cut into runs
-    local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 2), "_h"), "_h")
-    sent = held.withColumn("_rank", F.row_number().over(local)).join(runs, "_part")
-    sent = sent.withColumn("shard", F.filter("_runs", lambda r: r["_end"] >= F.col("_rank"))[0]["shard"]).drop("_runs", "_rank", "_part")
-    sent = sent.withColumn("_sub", F.pmod(F.xxhash64(F.lit(seed + 3), "_h"), F.lit(subs)))
+    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 2), "h"), "h")
+    sent = held.withColumn("rank", F.row_number().over(local)).join(runs, "part")
+    sent = sent.select("h", F.filter("runs", lambda r: r["end"] >= F.col("rank"))[0]["shard"].alias("shard"))
+    sent = sent.withColumn("sub", F.pmod(F.xxhash64(F.lit(seed + 3), "h"), F.lit(subs)))
     # exchange, and permute again
-    starts = offsets(sent.groupBy("shard", "_sub").agg(F.count("*").alias("n")), "_sub", "n", ["shard"])
-    again = Window.partitionBy("shard", "_sub").orderBy(F.xxhash64(F.lit(seed + 4), "_h"), "_h")
-    placed = sent.withColumn("_in", F.row_number().over(again)).join(starts.select("shard", "_sub", "before"), ["shard", "_sub"])
-    return placed.select(*columns, "shard", (F.col("before") + F.col("_in") - 1).alias("slot"))
+    starts = offsets(sent.groupBy("shard", "sub").agg(F.count("*").alias("n")), "sub", "n", ["shard"])
+    again = Window.partitionBy("shard", "sub").orderBy(F.xxhash64(F.lit(seed + 4), "h"), "h")
+    placed = sent.withColumn("at", F.row_number().over(again)).join(starts.select("shard", "sub", "before"), ["shard", "sub"])
+    places = placed.select("h", "shard", (F.col("before") + F.col("at") - 1).alias("slot"))
+    # rows equal in all columns share a hash, and take its places in turn
+    places = places.groupBy(F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("_places"))
+    turned = df.withColumn("_h", hashed).withColumn("_turn", F.row_number().over(Window.partitionBy("_h").orderBy("_h")))
+    return turned.join(places, "_h").withColumn("_place", F.get("_places", F.col("_turn") - 1)).select(*columns, "_place.shard", "_place.slot")

@@ -71,6 +71,12 @@ def op8_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", none.alias("grown_shard"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadloom.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), length=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -363,6 +363,6 @@ def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) ->
     tile = F.pmod(F.xxhash64("h"), tiles).cast("int")
     left = left.withColumn("l", F.pmod(F.xxhash64("h", F.lit(1)), F.col("lefts")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), (tiles - 1).cast("int"))))
     right = right.withColumn("r", tile).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
-    cols = [F.col("label").alias("grp"), "l", "r", "h", F.col("part").alias("label"), "tokens", "prefix", "positions"]
+    cols = [F.col("label").alias("grp"), F.col("part").alias("label"), *(F.col(c).alias(c) for c in ("l", "r", "h", "tokens", "prefix", "positions"))]
     more = left.select(*cols).groupBy("grp", "l", "r").cogroup(right.select(*cols).groupBy("grp", "l", "r")).applyInArrow(_search_cells(rule), "a long, b long")
     return links.union(more)

@@ -33,6 +33,33 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op2_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of each document: a third in, 12 code points become its first 20; a half in, a remark goes in; three
+    quarters in, 30 code points go."""
+    import public_tokenizers
+
+    from threadloom.llm.edit_token_counts import count_after_edits
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n", F.char_length(F.coalesce("text", F.lit(""))))
+
+    def change(share: float, deleted: int, inserted):
+        return F.struct(F.floor(F.col("n") * share).cast("int").alias("start"), F.lit(deleted).alias("deleted"), inserted.alias("inserted"))
+
+    edits = F.array(change(1 / 3, 12, F.substring("text", 1, 20)), change(0.5, 0, F.lit(" (see note 42, it's new) ")), change(0.75, 30, F.lit("")))
+    docs = docs.withColumn("edits", edits).drop("n")
+    return count_after_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/lang/tens of doc_id/doc_id.txt."""
+    from threadloom.llm.license_scan import license_scan, notices
+
+    none = F.lit("none")
+    path = F.concat_ws("/", F.coalesce("source", none), F.coalesce("lang", none), F.coalesce(F.floor(F.col("doc_id") / 10).cast("string"), none), F.concat(F.coalesce(F.col("doc_id").cast("string"), none), F.lit(".txt")))
+    files = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return license_scan(files, notices(spark))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from threadloom.llm.source_mix import Mix, word_count
 

@@ -287,7 +287,8 @@ def _search_cells(rule: Rule):
 
 
 def jaccard_components(docs: DataFrame, length: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, row, n_shingles, component_id for each row of docs(doc_id, text); row is a hash of both.
+    """doc_id, row, n_shingles, component_id, component for each row of docs(doc_id, text); row is a hash of both, component
+    names the component also where no row of it has a doc_id.
 
     Two documents link when den * intersection >= num * union of their sets of `length`-word shingles."""
     rule = Rule(num, den)
@@ -301,8 +302,30 @@ def jaccard_components(docs: DataFrame, length: int = 5, num: int = 80, den: int
     heads = joined.select(F.col("label").alias("node"), "label").distinct()
     named = rows.where("n > 0").join(joined.unionByName(heads), F.col("h") == F.col("node"), "left").select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), key.alias("key"))
     ids = named.groupBy("key").agg(F.min("doc_id").alias("component_id"))
-    alone = rows.where("n = 0").select("doc_id", "row", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.join(ids, "key").select("doc_id", "row", "n_shingles", "component_id").union(alone)
+    alone = rows.where("n = 0").select("doc_id", "row", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.concat(F.lit("e"), F.col("row").cast("string")))
+    return named.join(ids, "key").select("doc_id", "row", "n_shingles", "component_id", F.col("key").alias("component")).union(alone)
+
+
+def one_of_each(docs: DataFrame, length: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs (doc_id, text and others) without all but one of each component: that of least doc_id stays.
+
+    Rows without words stay, each for itself; of rows equal in doc_id and text one stays."""
+    found = written(jaccard_components(docs, length, num, den).where("n_shingles > 0").select("doc_id", "row", "component"), "found")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("first.row")
+    # fewer go than stay, so those that go are sought
+    gone = written(found.select("row").distinct().join(kept, "row", "left_anti"), "gone")
+    twice = found.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row").join(kept, "row", "left_semi")
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    n = gone.count()
+    gone = F.broadcast(gone) if n <= BROADCAST_KEYS else gone
+    out = keyed.join(gone, keyed["_row"] == gone["row"], "left_anti") if n else keyed
+    twice = written(twice, "twice")
+    m = twice.count()
+    if m:
+        twice = F.broadcast(twice) if m <= BROADCAST_KEYS else twice
+        once = out.join(twice, out["_row"] == twice["row"], "left_semi").dropDuplicates(["_row"])
+        out = out.join(twice, out["_row"] == twice["row"], "left_anti").unionByName(once)
+    return out.drop("_row")
 
 
 def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) -> DataFrame:

@@ -109,7 +109,7 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from threadloom.llm.word_bpe import encode_documents
 
-    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=())
 
 
 def queries() -> dict:

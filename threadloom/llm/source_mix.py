@@ -186,9 +186,9 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
         import pyarrow as pa
 
         find = re.compile(WORD)
-        for batch in batches:
-            rows, made = batch.to_pylist(), []
-            for r in rows:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
+            made = []
+            for r in batch.to_pylist():
                 runs, words = [], None
                 for turn, first, last in sorted((x["turn"], x["first"], x["last"]) for x in r["_spans"]):
                     if runs and runs[-1][0] == turn and runs[-1][2] == first:

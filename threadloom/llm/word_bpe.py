@@ -164,7 +164,7 @@ def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lens)
 
 
-def _joiner(config, with_ids: bool):
+def _joiner(config, outputs: tuple[str, ...]):
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor().decompress
         lens, flat = [], []
@@ -177,7 +177,7 @@ def _joiner(config, with_ids: bool):
         starts = np.cumsum(lens) - lens
         piece = pieces(config.value)
         spelled = [" ".join(map(piece.__getitem__, flat[s : s + n].tolist())) for s, n in zip(starts.tolist(), lens.tolist(), strict=True)]
-        out = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
+        made: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
         for row in left.to_pylist():  # one
             words = _unplaned(unzip(row["seats"])).astype(np.int64)[_unsqueezed(row["payload"], unzip)]
             at = 0
@@ -186,15 +186,22 @@ def _joiner(config, with_ids: bool):
                 at += n
                 ids = flat[_spans(starts[own], lens[own])].astype("<u4")
                 decoded = " ".join(x for x in map(spelled.__getitem__, own.tolist()) if x)
-                out["doc_id"].append(doc)
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    out["ids"].append(ids.astype(np.int32).tolist())
-                    out["decoded"].append(decoded)
-        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items() if with_ids or k not in ("ids", "decoded")})
+                made["doc_id"].append(doc)
+                made["n_tokens"].append(len(ids))
+                made["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
+                made["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+                if "ids" in outputs:
+                    made["ids"].append(ids.astype(np.int32))
+                if "decoded" in outputs:
+                    made["decoded"].append(decoded)
+        out = {k: pa.array(made[k], pa.int64()) for k in ("doc_id", "n_tokens")}
+        out |= {k: pa.array(made[k], pa.string()) for k in ("ids_sha256", "decoded_sha256")}
+        if "ids" in outputs:
+            ends = np.cumsum([0, *made["n_tokens"]])
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made["ids"]) if made["ids"] else np.empty(0, np.int32)))
+        if "decoded" in outputs:
+            out["decoded"] = pa.array(made["decoded"], pa.string())
+        return pa.table(out)
 
     return join
 
@@ -206,8 +213,8 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids array<int> and decoded text, for each row.
+def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the outputs asked for (ids array<int>, decoded text), for each row.
 
     tokenizer: path of a tokenizers JSON file whose pre-tokenizer drops white space and that has no decoder.
     """
@@ -220,5 +227,5 @@ def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
     words = packed.where("kind = 1").select("block", "bucket", "payload")
     answers = words.groupBy("bucket").applyInArrow(_encoder(config), "block bigint, bucket int, n int, payload binary")
     blocks = packed.where("kind = 0").select("block", "n", "docs", "seats", "payload")
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_joiner(config, with_ids), schema)
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in outputs) + ", decoded string" * ("decoded" in outputs)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_joiner(config, outputs), schema)

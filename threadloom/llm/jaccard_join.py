@@ -121,6 +121,91 @@ def _postings(rule: Rule, length: int):
     return make
 
 
+MOST_COUNTED = 65_536  # a token's count above is this; it only orders
+
+
+def _shared_tokens(batches):
+    """From (token, h) sorted by token: (h, token, count) of tokens with two different h. Runs may span batches; of a
+    run no more rows are held than it takes to know its count, as far as it matters."""
+    held: list[np.ndarray] = []  # rows of the open run
+    token, count, low, high = None, 0, 0, 0
+
+    def made(tokens, hs, counts):
+        return pa.RecordBatch.from_arrays([pa.array(hs), pa.array(tokens), pa.array(counts.astype(np.int32))], names=["h", "token", "cnt"])
+
+    def closed():
+        hs = np.concatenate(held) if held else np.empty(0, np.int64)
+        held.clear()
+        if len(hs) and low != high:
+            yield made(np.full(len(hs), token, np.int64), hs, np.full(len(hs), min(count, MOST_COUNTED)))
+
+    for batch in batches:
+        tokens, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(tokens):
+            continue
+        starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        if tokens[0] != token:
+            yield from closed()
+            token, count, low, high = tokens[0], 0, hs[0], hs[0]
+        # the first run goes on with the open one, the last stays open, those between are whole
+        first = starts[1] if len(starts) > 1 else len(tokens)
+        held.append(hs[:first])
+        count, low, high = count + first, min(low, hs[:first].min()), max(high, hs[:first].max())
+        if count > MOST_COUNTED and low != high:
+            yield from closed()
+        if len(starts) == 1:
+            continue
+        yield from closed()
+        if len(starts) > 2:
+            inner = starts[1:]
+            lows, highs = np.minimum.reduceat(hs, inner), np.maximum.reduceat(hs, inner)
+            sizes = np.diff(np.append(inner, len(tokens)))
+            keep = np.repeat((lows != highs)[:-1], sizes[:-1])
+            part = slice(inner[0], inner[-1])
+            if keep.any():
+                yield made(tokens[part][keep], hs[part][keep], np.minimum(np.repeat(sizes[:-1], sizes[:-1])[keep], MOST_COUNTED))
+        last = starts[-1]
+        token, count, low, high = tokens[last], len(tokens) - last, hs[last:].min(), hs[last:].max()
+        held.append(hs[last:])
+    yield from closed()
+
+
+def _prefixes(rule: Rule):
+    """The shared tokens in each set's prefix, with their positions; sets whose prefix is all their own go.
+
+    Positions in the order: unshared low tokens, shared low ones, then the high ones alike."""
+    kind = pa.list_(pa.struct([("token", pa.int64()), ("position", pa.int32())]))
+
+    def make(batches):
+        for batch in batches:
+            keep, offsets, tokens, positions = [], [0], [], []
+            n, emitted, low = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            shared = batch.column(5)
+            flat = shared.flatten()
+            counts, names = flat.field("cnt").to_numpy(), flat.field("token").to_numpy()
+            ends = np.cumsum(shared.value_lengths().to_numpy())
+            for i, end in enumerate(ends.tolist()):
+                begin = end - len(shared[i])
+                p, c, t = rule.prefix(int(n[i])), counts[begin:end], names[begin:end]
+                is_high = t >= rule.cut
+                order = np.lexsort((t, c, is_high))
+                lows = end - begin - int(is_high.sum())
+                free, high_free = int(low[i]) - lows, int(emitted[i]) - int(low[i]) - int(is_high.sum())
+                place = np.arange(free, free + len(order))
+                place[lows:] += high_free
+                mine = place < p
+                if mine.any():
+                    keep.append(i)
+                    tokens.append(t[order][mine])
+                    positions.append(place[mine])
+                    offsets.append(offsets[-1] + int(mine.sum()))
+            if keep:
+                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(positions).astype(np.int32))], names=["token", "position"])
+                yield pa.RecordBatch.from_arrays([*batch.select([0, 1, 2]).take(pa.array(keep)).columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs).cast(kind)], names=["h", "row", "n", "list"])
+
+    return make
+
+
 def _described(rule: Rule, length: int):
     """One row for each document: its set's digest and sizes."""
 
@@ -330,25 +415,13 @@ def one_of_each(docs: DataFrame, length: int = 5, num: int = 80, den: int = 100)
 
 def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) -> DataFrame:
     """(a, b): links between classes' heads that connect all that link."""
-    spark = docs.sparkSession
-    prefix = F.col("n") - F.ceil(F.lit(rule.num) * F.col("n") / F.lit(rule.den)).cast("int") + 1
-    # tokens that two different sets hold, with their counts
-    postings = docs.select("text").mapInArrow(_postings(rule, length), "token long, h long").repartition("token")
-    counts = postings.groupBy("token").agg(F.count("*").alias("cnt"), F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("token", "cnt")
-    shared = postings.join(counts, "token").repartition("h").groupBy("h").agg(F.collect_set(F.struct("cnt", "token")).alias("shared"))
-    is_low = lambda s: s["token"] < F.lit(rule.cut)
-    found = classes.join(shared, "h").withColumn("p", prefix)
-    found = found.withColumn("lows", F.array_sort(F.filter("shared", is_low))).withColumn("highs", F.array_sort(F.filter("shared", lambda s: ~is_low(s))))
-    # positions in the order: unshared low tokens, shared low ones, then the high ones alike
-    free = (F.col("low") - F.size("lows")).alias("free")
-    found = found.withColumn("free", free).where("free < p").withColumn("high_free", F.col("emitted") - F.col("low") - F.size("highs"))
-
-    def placed(tokens: str, before):
-        kept = F.transform(tokens, lambda s, i: F.struct(s["token"].alias("token"), (before + i).cast("int").alias("position")))
-        return F.filter(kept, lambda s: s["position"] < F.col("p"))
-
-    found = found.withColumn("list", F.concat(placed("lows", F.col("free")), placed("highs", F.col("low") + F.col("high_free"))))
-    found = written(found.where(F.size("list") > 0).select("h", "row", "n", "list"), "prefixes")
+    # tokens that two different sets hold, with their counts; each token's rows are neighbours in a sorted partition
+    postings = docs.select("text").mapInArrow(_postings(rule, length), "token long, h long").repartition("token").sortWithinPartitions("token")
+    shared = postings.mapInArrow(_shared_tokens, "h long, token long, cnt int")
+    shared = shared.groupBy("h").agg(F.collect_set(F.struct("cnt", "token")).alias("shared"))
+    found = classes.select("h", "row", "n", "emitted", "low").join(shared, "h")
+    lists = "h long, row long, n int, list array<struct<token:bigint,position:int>>"
+    found = written(found.mapInArrow(_prefixes(rule), lists), "prefixes")
     # candidate groups
     lists = found.select("h", "n", F.explode("list.token").alias("token"))
     order = Window.partitionBy("token").orderBy("n", "h")

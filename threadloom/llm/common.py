@@ -23,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+TEXTS = 2000  # whole texts in an Arrow batch
+
+
+def in_batches(df: DataFrame, rows: int = TEXTS) -> DataFrame:
+    """df, in whose session Arrow batches hold so many rows at most: texts may be long, and a batch is held whole, in
+    the JVM and in Python."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage ends there and survives lost executors."""
     spark = df.sparkSession

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm.common import in_batches
+
 LEAF = 64  # pre-tokens
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE = 200_000  # pre-tokens whose counts a worker remembers
@@ -178,4 +180,4 @@ def count_after_edits(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), *cols], names=[*kept, "n_tokens", "n_tokens_edited", "n_chars_edited", "recounted"])
 
     fields = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_tokens_edited", "n_chars_edited", "recounted")]
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *fields]))
+    return in_batches(docs).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *fields]))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import written
+from threadloom.llm.common import in_batches, written
 from threadloom.llm.components import components, contract
 
 CELL = 4096  # sets of a group that are searched at once
@@ -43,7 +43,7 @@ class _Words(dict):
     """Hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 120_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -377,7 +377,7 @@ def jaccard_components(docs: DataFrame, length: int = 5, num: int = 80, den: int
 
     Two documents link when den * intersection >= num * union of their sets of `length`-word shingles."""
     rule = Rule(num, den)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    docs = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
     described = "doc_id long, row long, sig binary, h long, n int, emitted int, low int"
     rows = written(docs.mapInArrow(_described(rule, length), described), "sets")
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("row"), F.first("h").alias("h"), *(F.first(c).alias(c) for c in ("n", "emitted", "low")))

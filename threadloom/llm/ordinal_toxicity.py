@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm.common import in_batches
+
 MOST_LABELLED = 20_000  # labelled documents to fit on
 ALPHA = 0.01  # chance that any unrelated word is selected
 GRADES = 4
@@ -111,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, binary: b
     known = labels.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it may be broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("grade", "text")
-    rows = found.mapInArrow(_hashed, "grade int, hashes binary, lows array<bigint>").collect()
+    rows = in_batches(found).mapInArrow(_hashed, "grade int, hashes binary, lows array<bigint>").collect()
     seen: set[tuple[int, int]] = set()
     held: list[tuple[np.ndarray, int]] = []
     for r in sorted(rows, key=lambda r: (r["hashes"], r["grade"])):
@@ -129,8 +131,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, binary: b
     if base in (0.0, 1.0):
         return Model({}, [math.inf if base == 0 else -math.inf] + [math.inf] * (GRADES - 2))
     flat = np.concatenate([h for h, _ in held])
-    owner = np.repeat(np.arange(len(held)), [len(h) for h, _ in held])
+    owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h, _ in held])
+    rows.clear()
     vocabulary, at = np.unique(flat, return_inverse=True)
+    at = at.astype(np.int32)
     n, k = np.bincount(at), np.bincount(at, weights=(y[owner] > 0)).astype(np.int64)
     likely = np.flatnonzero((n >= 4) & (k > n * base))
     chosen = [i for i in likely.tolist() if _tail(int(n[i]), int(k[i]), float(base)) < ALPHA / len(vocabulary)]
@@ -159,4 +163,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     made = [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType())]
     kind = T.StructType([*docs.schema, *made])
-    return docs.mapInArrow(judge, kind)
+    return in_batches(docs).mapInArrow(judge, kind)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import WORD, offsets
+from threadloom.llm.common import WORD, in_batches, offsets
 
 BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 512, 4096, 4096, 1024
 
@@ -178,7 +178,9 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.withColumn("_row", F.xxhash64(F.lit(44), *columns))
     mix = Mix(keyed.select("_row", "source", word_count("text").alias("size")), **options)
     spans = mix.spans("_row", "size").groupBy("_row").agg(F.collect_list(F.struct("turn", "first", "last")).alias("_spans"), F.max("size").alias("_size"))
-    texts = keyed.dropDuplicates(["_row"]).join(spans, "_row").select(*columns, "_size", "_spans")
+    # equal rows share their spans: the first of them carries them all
+    texts = keyed.join(spans, "_row").withColumn("_copy", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+    texts = in_batches(texts).where("_copy = 1").select(*columns, "_size", "_spans")
 
     def cut(batches):
         import re

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm.common import in_batches, written
+
 MOST_SAMPLED = 20_000  # documents to fit the scorer on
 BINS = 1 << 12
 
@@ -117,7 +119,7 @@ class _Shapes(dict):
     """Hashed shape of a word: kinds of characters, runs of three or more cut to two."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
         shape = word.translate(_SHAPE)
         if len(shape) > 3:
@@ -173,9 +175,7 @@ def fit(docs: DataFrame, most: int = MOST_SAMPLED) -> Model:
             code, at, x = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["code", "bins", "x"])
 
-    from threadloom.llm.common import written
-
-    judged = written(slim.mapInArrow(judge, "code long, bins array<int>, x array<double>"), "votes")
+    judged = written(in_batches(slim).mapInArrow(judge, "code long, bins array<int>, x array<double>"), "votes")
     counts = {r["code"]: r["count"] for r in judged.groupBy("code").count().collect()}
     share, table, post = estimate(counts)
     rows = judged.where("bins IS NOT NULL").collect()  # bounded: most documents, give or take the hash's chance
@@ -205,4 +205,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.score(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*names, "quality"])
 
-    return docs.mapInArrow(judge, T.StructType([*docs.schema, T.StructField("quality", T.DoubleType())]))
+    return in_batches(docs).mapInArrow(judge, T.StructType([*docs.schema, T.StructField("quality", T.DoubleType())]))

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import shared_dir
+from threadloom.llm.common import in_batches, shared_dir
 
 BLOCK_BYTES = 14 << 20  # of text in a block of documents
 BUCKET_BYTES = 16 << 20  # of text for each bucket of words
@@ -223,7 +223,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
-    packed = _bucketed(slim.mapInArrow(_packer(buckets, block_bytes), PACKED), 2 * math.ceil(total / block_bytes) + 8)
+    packed = _bucketed(in_batches(slim).mapInArrow(_packer(buckets, block_bytes), PACKED), 2 * math.ceil(total / block_bytes) + 8)
     words = packed.where("kind = 1").select("block", "bucket", "payload")
     answers = words.groupBy("bucket").applyInArrow(_encoder(config), "block bigint, bucket int, n int, payload binary")
     blocks = packed.where("kind = 0").select("block", "n", "docs", "seats", "payload")

@@ -67,7 +67,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_array_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An array written with one object a line: brackets and commas go, so the file needn't be read as a whole."""
-    line = F.regexp_replace("value", r"^\s*[\[,]?\s*|\s*,?\s*\]?\s*$", "")
+    line = F.regexp_replace(F.regexp_replace("value", r"^\s*[\[,]?\s*", ""), r"\s*,?\s*\]?\s*$", "")
     rows = spark.read.text(path).select(line.alias("v")).where("v <> ''")
     return rows.select(F.from_json("v", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r IS NOT NULL").select("r.*")
 

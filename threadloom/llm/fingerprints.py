@@ -3,7 +3,7 @@
 A text is lower-cased (A-Z) and split on ASCII white space; its shingles of five words (the whole sequence, if shorter)
 are hashed once and binned by the range their hash falls into, so that after one sort of the hashes the first of each
 bin is its minimum. Empty bins are filled by optimal densification: each takes the value of the first filled bin in a
-random order of its own, the same for all documents. Of each bin the low-order bits are kept, packed sixteen bins of
+random order of its own, the same for all documents. Of each bin, hashed with its number, the low-order bits are kept, packed sixteen bins of
 four bits to a long; likeness corrects the share of equal bins for chance.
 
 Null texts count as empty; texts without words have the empty fingerprint, alike to one another (1) and to nothing else
@@ -52,22 +52,23 @@ def fingerprint(df: DataFrame, text: str = "text", to: str = "fingerprint") -> D
     out = df.withColumn("_w", word_hashes(F.col(text)))
     out = out.withColumn("_s", shingle_hashes(F.col("_w"))).drop("_w")
     out = out.withColumn("_m", F.filter("_s", lambda h, i: (i == 0) | (_bin(h) != _bin(F.get("_s", i - 1))))).drop("_s")
-    out = out.withColumn("_k", F.transform("_m", _bin)).withColumn("_v", F.transform("_m", lambda h: h.bitwiseAND(low)))
-    out = out.withColumn("_d", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get("_v", (F.array_position("_k", i) - 1).cast("int"))))
+    out = out.withColumn("_k", F.transform("_m", _bin))
+    out = out.withColumn("_d", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get("_m", (F.array_position("_k", i) - 1).cast("int"))))
 
     def borrowed(i: Column) -> Column:  # beyond the probes: the filled bin of least hash
         return F.get(F.array_min(F.transform("_k", lambda k: F.array(F.xxhash64(i, F.lit(-1), k), F.get("_d", k)))), 1)
 
     def value(i: Column) -> Column:
         probes = [F.get("_d", F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(PROBES)]
-        return F.coalesce(F.get("_d", i), *probes, borrowed(i))
+        # hashed with the bin, so that two values that many bins hold don't agree by chance in all of them
+        return F.xxhash64(i, F.coalesce(F.get("_d", i), *probes, borrowed(i))).bitwiseAND(low)
 
     out = out.withColumn("_f", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value))
     longs = F.array(*[
         F.aggregate(F.slice("_f", j * _PER_LONG + 1, _PER_LONG), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, BITS).bitwiseOR(v))
         for j in range(BINS // _PER_LONG)
     ])
-    return out.withColumn(to, F.when(F.size("_m") > 0, longs).otherwise(F.array().cast("array<bigint>"))).drop("_m", "_k", "_v", "_d", "_f")
+    return out.withColumn(to, F.when(F.size("_m") > 0, longs).otherwise(F.array().cast("array<bigint>"))).drop("_m", "_k", "_d", "_f")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -26,6 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
 TEXTS = 2000  # whole texts in an Arrow batch
 
 
+def tidied(run):
+    """A function of Arrow batches that hands freed memory back to the system when its partition is done: workers are
+    kept for later stages, beside a JVM that has grown meanwhile."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return wrapped
+
+
+def hand_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def in_batches(df: DataFrame, rows: int = TEXTS) -> DataFrame:
     """df, in whose session Arrow batches hold so many rows at most: texts may be long, and a batch is held whole, in
     the JVM and in Python."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import in_batches
+from threadloom.llm.common import in_batches, tidied
 
 LEAF = 64  # pre-tokens
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -160,6 +160,7 @@ def count_after_edits(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     docs: text, edits array<struct<start, deleted, inserted>> and others; ranks: path of a file of BPE ranks."""
     with open(ranks, "rb") as f:
         table = docs.sparkSession.sparkContext.broadcast(f.read())  # of the vocabulary's size
+    docs = docs.drop("n_tokens", "n_tokens_edited", "n_chars_edited", "recounted")  # replaced
     kept = [c for c in docs.columns if c not in ("text", "edits")]
     names = docs.columns
 
@@ -180,4 +181,4 @@ def count_after_edits(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), *cols], names=[*kept, "n_tokens", "n_tokens_edited", "n_chars_edited", "recounted"])
 
     fields = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_tokens_edited", "n_chars_edited", "recounted")]
-    return in_batches(docs).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *fields]))
+    return in_batches(docs).mapInArrow(tidied(run), T.StructType([*(docs.schema[c] for c in kept), *fields]))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import in_batches, written
+from threadloom.llm.common import hand_back, in_batches, tidied, written
 from threadloom.llm.components import components, contract
 
 CELL = 4096  # sets of a group that are searched at once
@@ -354,7 +354,10 @@ def _search_cell(rule: Rule):
         sets, prefixes, nodes, _ = _unpacked(table, rule)
         index = Index(sets, prefixes, rule)
         queries = [(s, *p) for s, p in zip(sets, prefixes, strict=True)]
-        return _links(*search(index, queries, True, nodes, nodes, nodes.copy(), nodes))
+        found = _links(*search(index, queries, True, nodes, nodes, nodes.copy(), nodes))
+        del index, queries, sets, prefixes
+        hand_back()
+        return found
 
     return within
 
@@ -379,7 +382,7 @@ def jaccard_components(docs: DataFrame, length: int = 5, num: int = 80, den: int
     rule = Rule(num, den)
     docs = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
     described = "doc_id long, row long, sig binary, h long, n int, emitted int, low int"
-    rows = written(docs.mapInArrow(_described(rule, length), described), "sets")
+    rows = written(docs.mapInArrow(tidied(_described(rule, length)), described), "sets")
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("row"), F.first("h").alias("h"), *(F.first(c).alias(c) for c in ("n", "emitted", "low")))
     links = _all_links(docs, classes, rule, length)
     joined = components(links)
@@ -400,28 +403,28 @@ def one_of_each(docs: DataFrame, length: int = 5, num: int = 80, den: int = 100)
     # fewer go than stay, so those that go are sought
     gone = written(found.select("row").distinct().join(kept, "row", "left_anti"), "gone")
     twice = found.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row").join(kept, "row", "left_semi")
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    keyed = docs.withColumn("_tl_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     n = gone.count()
     gone = F.broadcast(gone) if n <= BROADCAST_KEYS else gone
-    out = keyed.join(gone, keyed["_row"] == gone["row"], "left_anti") if n else keyed
+    out = keyed.join(gone, keyed["_tl_row"] == gone["row"], "left_anti") if n else keyed
     twice = written(twice, "twice")
     m = twice.count()
     if m:
         twice = F.broadcast(twice) if m <= BROADCAST_KEYS else twice
-        once = out.join(twice, out["_row"] == twice["row"], "left_semi").dropDuplicates(["_row"])
-        out = out.join(twice, out["_row"] == twice["row"], "left_anti").unionByName(once)
-    return out.drop("_row")
+        once = out.join(twice, out["_tl_row"] == twice["row"], "left_semi").dropDuplicates(["_tl_row"])
+        out = out.join(twice, out["_tl_row"] == twice["row"], "left_anti").unionByName(once)
+    return out.drop("_tl_row")
 
 
 def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) -> DataFrame:
     """(a, b): links between classes' heads that connect all that link."""
     # tokens that two different sets hold, with their counts; each token's rows are neighbours in a sorted partition
-    postings = docs.select("text").mapInArrow(_postings(rule, length), "token long, h long").repartition("token").sortWithinPartitions("token")
-    shared = postings.mapInArrow(_shared_tokens, "h long, token long, cnt int")
+    postings = docs.select("text").mapInArrow(tidied(_postings(rule, length)), "token long, h long").repartition("token").sortWithinPartitions("token")
+    shared = postings.mapInArrow(tidied(_shared_tokens), "h long, token long, cnt int")
     shared = shared.groupBy("h").agg(F.collect_set(F.struct("cnt", "token")).alias("shared"))
     found = classes.select("h", "row", "n", "emitted", "low").join(shared, "h")
     lists = "h long, row long, n int, list array<struct<token:bigint,position:int>>"
-    found = written(found.mapInArrow(_prefixes(rule), lists), "prefixes")
+    found = written(found.mapInArrow(tidied(_prefixes(rule)), lists), "prefixes")
     # candidate groups
     lists = found.select("h", "n", F.explode("list.token").alias("token"))
     order = Window.partitionBy("token").orderBy("n", "h")
@@ -435,7 +438,7 @@ def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) ->
     # their whole sets, from their texts
     keys = members.select("row")
     texts = docs.join(F.broadcast(keys) if count <= BROADCAST_KEYS else keys, "row", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(length), "h long, tokens binary").dropDuplicates(["h"])
+    sets = texts.mapInArrow(tidied(_sets(length)), "h long, tokens binary").dropDuplicates(["h"])
     whole = sets.join(members.withColumnRenamed("h", "node"), F.col("h") == F.col("node"))
     whole = whole.select("h", "tokens", "label", "members", F.col("list.token").alias("prefix"), F.col("list.position").alias("positions"))
     if (large or 0) > CELL:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import in_batches
+from threadloom.llm.common import in_batches, tidied
 
 MOST_LABELLED = 20_000  # labelled documents to fit on
 ALPHA = 0.01  # chance that any unrelated word is selected
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, binary: b
     known = labels.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it may be broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("grade", "text")
-    rows = in_batches(found).mapInArrow(_hashed, "grade int, hashes binary, lows array<bigint>").collect()
+    rows = in_batches(found).mapInArrow(tidied(_hashed), "grade int, hashes binary, lows array<bigint>").collect()
     seen: set[tuple[int, int]] = set()
     held: list[tuple[np.ndarray, int]] = []
     for r in sorted(rows, key=lambda r: (r["hashes"], r["grade"])):
@@ -151,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, binary: b
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with severity (expected grade), p_toxic and grade (median)."""
+    """docs with severity (expected grade), p_toxic and grade (median), in place of columns of these names."""
+    docs = docs.drop("severity", "p_toxic", "grade")
     names = docs.columns
     at = names.index("text")
 
@@ -163,4 +164,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     made = [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType())]
     kind = T.StructType([*docs.schema, *made])
-    return in_batches(docs).mapInArrow(judge, kind)
+    return in_batches(docs).mapInArrow(tidied(judge), kind)

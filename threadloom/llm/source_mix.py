@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import WORD, in_batches, offsets
+from threadloom.llm.common import WORD, in_batches, offsets, tidied
 
 BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 512, 4096, 4096, 1024
 
@@ -103,13 +103,14 @@ def _slots(block: int):
 
 
 class Mix:
-    """A mix of docs(doc_id, source, size, and whatever else) by sources.
+    """A mix of docs(doc_id, source, size, and whatever else) by sources; columns of the names below are replaced.
 
     documents: the rows with key, bucket and rn (which together name a row), start (in the source's stream),
     source_size, target. slots: shard, number, turn, key, block, words: the blocks that each shard takes.
     """
 
     def __init__(self, docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = BLOCK, seed: int = 4):
+        docs = docs.drop("key", "bucket", "rn", "start", "source_size", "target", "taken", "block", "_h", "_start", "_before")
         spark, self.block = docs.sparkSession, block
         held = docs.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_h", F.xxhash64(F.lit(seed), *docs.columns))
         stats = held.groupBy("source", "key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
@@ -127,7 +128,7 @@ class Mix:
                     runs.append((shard, stats[s]["key"], seed + 104729 * s, sizes[s], takes[s], first[s], first[s] + n))
                     first[s] += n
         runs = spark.createDataFrame(runs, "shard int, key string, seed long, size long, take long, first long, last long")
-        self.slots = runs.mapInArrow(_slots(block), "shard int, number long, turn int, key string, block long, words long")
+        self.slots = runs.mapInArrow(tidied(_slots(block)), "shard int, number long, turn int, key string, block long, words long")
         # every document's place in its source's stream, summed by bucket first
         buckets = max(1, -(-rows // BUCKET_ROWS))
         held = held.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.lit(buckets)))
@@ -175,12 +176,12 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
     What a turn takes of a document in one run is one row: its words from first to last with the white space between
     them (what precedes the first and follows the last word of the document goes with these)."""
     columns = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64(F.lit(44), *columns))
-    mix = Mix(keyed.select("_row", "source", word_count("text").alias("size")), **options)
-    spans = mix.spans("_row", "size").groupBy("_row").agg(F.collect_list(F.struct("turn", "first", "last")).alias("_spans"), F.max("size").alias("_size"))
+    keyed = docs.withColumn("_tl_row", F.xxhash64(F.lit(44), *columns))
+    mix = Mix(keyed.select("_tl_row", "source", word_count("text").alias("size")), **options)
+    spans = mix.spans("_tl_row", "size").groupBy("_tl_row").agg(F.collect_list(F.struct("turn", "first", "last")).alias("_tl_spans"), F.max("size").alias("_tl_size"))
     # equal rows share their spans: the first of them carries them all
-    texts = keyed.join(spans, "_row").withColumn("_copy", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    texts = in_batches(texts).where("_copy = 1").select(*columns, "_size", "_spans")
+    texts = keyed.join(spans, "_tl_row").withColumn("_tl_copy", F.row_number().over(Window.partitionBy("_tl_row").orderBy("_tl_row")))
+    texts = in_batches(texts).where("_tl_copy = 1").select(*columns, "_tl_size", "_tl_spans")
 
     def cut(batches):
         import re
@@ -192,18 +193,18 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
             made = []
             for r in batch.to_pylist():
                 runs, words = [], None
-                for turn, first, last in sorted((x["turn"], x["first"], x["last"]) for x in r["_spans"]):
+                for turn, first, last in sorted((x["turn"], x["first"], x["last"]) for x in r["_tl_spans"]):
                     if runs and runs[-1][0] == turn and runs[-1][2] == first:
                         runs[-1][2] = last
                     else:
                         runs.append([turn, first, last])
                 for _, first, last in runs:
                     text = r["text"]
-                    if (first, last) != (0, r["_size"]):
+                    if (first, last) != (0, r["_tl_size"]):
                         words = words or [m.span() for m in find.finditer(text)]
-                        text = text[0 if first == 0 else words[first][0] : len(text) if last == r["_size"] else words[last - 1][1]]
+                        text = text[0 if first == 0 else words[first][0] : len(text) if last == r["_tl_size"] else words[last - 1][1]]
                     made.append({c: r[c] for c in columns} | {"text": text} | ({"n_chars": len(text)} if "n_chars" in columns else {}))
             if made:
                 yield pa.RecordBatch.from_pylist(made, schema=pa.schema([batch.schema.field(c) for c in columns]))
 
-    return texts.mapInArrow(cut, docs.schema)
+    return texts.mapInArrow(tidied(cut), docs.schema)

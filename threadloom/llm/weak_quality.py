@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import in_batches, written
+from threadloom.llm.common import in_batches, tidied, written
 
 MOST_SAMPLED = 20_000  # documents to fit the scorer on
 BINS = 1 << 12
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, most: int = MOST_SAMPLED) -> Model:
             code, at, x = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["code", "bins", "x"])
 
-    judged = written(in_batches(slim).mapInArrow(judge, "code long, bins array<int>, x array<double>"), "votes")
+    judged = written(in_batches(slim).mapInArrow(tidied(judge), "code long, bins array<int>, x array<double>"), "votes")
     counts = {r["code"]: r["count"] for r in judged.groupBy("code").count().collect()}
     share, table, post = estimate(counts)
     rows = judged.where("bins IS NOT NULL").collect()  # bounded: most documents, give or take the hash's chance
@@ -196,7 +196,8 @@ def fit(docs: DataFrame, most: int = MOST_SAMPLED) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with quality: the scorer's probability that a document is good."""
+    """docs with quality, in place of a column of that name: the scorer's probability that a document is good."""
+    docs = docs.drop("quality")
     names = docs.columns
     at = names.index("text")
 
@@ -205,4 +206,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.score(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*names, "quality"])
 
-    return in_batches(docs).mapInArrow(judge, T.StructType([*docs.schema, T.StructField("quality", T.DoubleType())]))
+    return in_batches(docs).mapInArrow(tidied(judge), T.StructType([*docs.schema, T.StructField("quality", T.DoubleType())]))

@@ -26,9 +26,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import in_batches, shared_dir
+from threadloom.llm.common import hand_back, in_batches, shared_dir, tidied
 
 BLOCK_BYTES = 14 << 20  # of text in a block of documents
+MOST_BUCKETS = 100_000  # of the written table, as Spark has it; beyond it a bucket holds more blocks
 BUCKET_BYTES = 16 << 20  # of text for each bucket of words
 
 PACKED = "kind int, block bigint, bucket int, n array<int>, docs array<bigint>, seats binary, payload binary"
@@ -152,6 +153,8 @@ def _encoder(config):
         out = []
         for a in at:
             out.append(squeeze(lens[a].astype("<u4").tobytes() + flat[_spans(starts[a], lens[a])].astype("<u4").tobytes()))
+        del ids, words, index, lists
+        hand_back()
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": pa.array([len(a) for a in at], pa.int32()), "payload": pa.array(out, pa.binary())})
 
     return encode
@@ -201,6 +204,8 @@ def _joiner(config, outputs: tuple[str, ...]):
             out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made["ids"]) if made["ids"] else np.empty(0, np.int32)))
         if "decoded" in outputs:
             out["decoded"] = pa.array(made["decoded"], pa.string())
+        del made, spelled
+        hand_back()
         return pa.table(out)
 
     return join
@@ -223,7 +228,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
-    packed = _bucketed(in_batches(slim).mapInArrow(_packer(buckets, block_bytes), PACKED), 2 * math.ceil(total / block_bytes) + 8)
+    packed = _bucketed(in_batches(slim).mapInArrow(tidied(_packer(buckets, block_bytes)), PACKED), min(MOST_BUCKETS, 2 * math.ceil(total / block_bytes) + 8))
     words = packed.where("kind = 1").select("block", "bucket", "payload")
     answers = words.groupBy("bucket").applyInArrow(_encoder(config), "block bigint, bucket int, n int, payload binary")
     blocks = packed.where("kind = 0").select("block", "n", "docs", "seats", "payload")

@@ -62,6 +62,7 @@ def license_scan(files: DataFrame, templates: DataFrame, threshold: float = THRE
     """file columns (but text), license (own), similarity, origin: own, inherited or none, effective_license, from_dir.
 
     files: (path, text) and whatever names a row; templates: (license, notice)."""
+    files = files.drop("row", "_n", "license", "similarity", "dir", "near", "origin", "effective_license", "from_dir")  # replaced
     spark, keys = files.sparkSession, [c for c in files.columns if c != "text"]
     listed = templates.select("license", line_words(F.col("notice")).alias("words")).where(F.size("words") > 0).limit(MOST_TEMPLATES + 1).collect()
     if len(listed) > MOST_TEMPLATES:

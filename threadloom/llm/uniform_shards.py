@@ -42,6 +42,7 @@ def uniform_shards(df: DataFrame, shards: int = 40, seed: int = 8, rows: int = R
     The draw, both permutations and the exchange between them run on row hashes alone; the rows themselves, texts and
     all, move once, to meet their places. A writer that wants a file per shard range-partitions by shard and slot.
     """
+    df = df.drop("shard", "slot")  # columns of these names are replaced
     columns = df.columns
     hashed = F.xxhash64(F.lit(seed), *columns)
     slim = written(df.select(hashed.alias("h")), "row_hashes")
@@ -62,6 +63,6 @@ def uniform_shards(df: DataFrame, shards: int = 40, seed: int = 8, rows: int = R
     placed = sent.withColumn("at", F.row_number().over(again)).join(starts.select("shard", "sub", "before"), ["shard", "sub"])
     places = placed.select("h", "shard", (F.col("before") + F.col("at") - 1).alias("slot"))
     # rows equal in all columns share a hash, and take its places in turn
-    places = places.groupBy(F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("_places"))
-    turned = df.withColumn("_h", hashed).withColumn("_turn", F.row_number().over(Window.partitionBy("_h").orderBy("_h")))
-    return turned.join(places, "_h").withColumn("_place", F.get("_places", F.col("_turn") - 1)).select(*columns, "_place.shard", "_place.slot")
+    places = places.groupBy(F.col("h").alias("_tl_hash")).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("_tl_places"))
+    turned = df.withColumn("_tl_hash", hashed).withColumn("_tl_turn", F.row_number().over(Window.partitionBy("_tl_hash").orderBy("_tl_hash")))
+    return turned.join(places, "_tl_hash").withColumn("_tl_place", F.get("_tl_places", F.col("_tl_turn") - 1)).select(*columns, "_tl_place.shard", "_tl_place.slot")

@@ -120,3 +120,13 @@ def test_lexicon_relations(spark):
     assert {tuple(r) for r in L.relations(e).collect()} == {("related-to", "a", "b"), ("defines", "a", "term-big-ring"), ("classified-by", "a", "msc-18A")}
     assert L.class_entities(e).first()["parent"] == "18"
     assert L.categorical(spark.createDataFrame([(1, "an adjoint functor of a monad")], "id long, text string"), spark.createDataFrame([("cat/adjunction", "adjoint", "required"), ("cat/adjunction", "functor", "typical"), ("cat/monad", "functor", "typical")], "pattern string, term string, kind string"), spark.createDataFrame([(1, "adjunction")], "id long, tag string"), spark.createDataFrame([("cat/adjunction", "adjoint functor")], "pattern string, regex string")).where(F.col("pattern") == "cat/adjunction").first()["score"] == 5.5
+
+
+def test_acts_and_ports(spark):
+    rows = [("assert", ["wire/causal"], "x", True), ("assert", [], "x", False), ("challenge", [], "why?", True), ("clarify", [], "In other words", True), ("query", [], "x", True), ("", [], "x", False), (None, [], "x", False), ("retract", [], "my mistake", True), ("reference", [], "x", False)]
+    df = spark.createDataFrame(rows, "act string, d array<string>, t string, want boolean")
+    got = df.select("want", E.act_fits(F.col("act"), F.array(F.lit("none")), F.col("d"), F.col("t"), F.lit("answer")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    pairs = [("bind/let", "assume/x", True), ("assume/x", "bind/let", False), ("quant/a", "constrain/b", True), ("env/a", "env/b", False), ("", "", False), (None, "bind/let", False)]
+    got = spark.createDataFrame(pairs, "a string, b string, want boolean").select("want", E.port_compatible(F.col("a"), F.col("b")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]

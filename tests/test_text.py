@@ -110,3 +110,12 @@ def test_expressions():
     assert [r[0] for r in S.expressions("$a$ $$b$$ $a$ \\(c\\)")] == ["a", "b", "c"]
     assert [r[0] for r in S.math_fragments("$a$ $$b$$ \\[d\\]")] == ["b", "d", "a"]
     assert list(S.theorem_blocks(r"\begin{theorem}[Name]\label{t}Body\end{theorem}"))[0][:4] == ("theorem", "Name", "t", "Body")
+
+
+def test_introductions_equations_and_arrays():
+    found = {(r[0], r[1]) for r in S.introductions(r"\emph{monad} and a thing called the free group. \begin{definition}A ring is a set\end{definition}")}
+    assert {("latex-emph", "monad"), ("called-as", "free group"), ("definition-block-subject", "A ring")} <= found
+    ports = list(S.equation_ports("x = 3 units; y >= 0. QED"))
+    assert [(p[0], p[1]) for p in ports] == [("input", "bind/let"), ("output", "bind/let"), ("input", "constrain/such-that"), ("output", "constrain/such-that"), ("output", "wire/consequential")]
+    rows = list(S.diagrams(r"\begin{array}{ccc} A & \stackrel{f}{\to} & B \\ \downarrow & & \\ C & & \end{array}"))
+    assert [r[5] for r in rows if r[1] == "object"] == ["A", "B", "C"] and [(r[5], r[8]) for r in rows if r[1] == "arrow"] == [("f", "right"), (None, "down")]

@@ -36,9 +36,9 @@ def days(timestamp) -> Column:
 
 
 def confidence(strong_hits) -> Column:
-    """high from 80, medium from 30, low from 10, else weak."""
+    """high from 80, medium from 30, low-medium from 10, else low."""
     n = as_column(strong_hits)
-    return F.when(n >= 80, "high").when(n >= 30, "medium").when(n >= 10, "low").otherwise("weak")
+    return F.when(n >= 80, "high").when(n >= 30, "medium").when(n >= 10, "low-medium").otherwise("low")
 
 
 def subtype_bucket(x) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom import fixed_values as V
 from threadloom.functions import text as X
 from threadloom.functions import values as N
 
@@ -119,12 +120,14 @@ def search_merge(results: DataFrame) -> DataFrame:
 
 
 def port_compatible(source: Column, target: Column, known: Column | None = None) -> Column:
-    """Whether a port of one type may feed one of another: equal types, equal families, bindings and quantifiers into
-    assumptions and constraints, or pairs that the reference knows together."""
+    """Whether a port of one type may feed one of another: equal types, families that FEEDS allows, or pairs that the
+    reference knows together; a missing type feeds nothing."""
     family = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
-    s, t = family(source), family(target)
-    rule = (source == target) | (s == t) | (s.isin("bind", "quant") & t.isin("assume", "constrain")) | (s.isin("assume", "constrain") & t.isin("bind", "quant"))
-    return F.coalesce(rule, F.lit(False)) | (F.coalesce(known, F.lit(False)) if known is not None else F.lit(False))
+    rule = source == target
+    for s, targets in V.FEEDS.items():
+        rule = rule | ((family(source) == s) & family(target).isin(*targets))
+    there = (F.coalesce(source, F.lit("")) != "") & (F.coalesce(target, F.lit("")) != "")
+    return there & (F.coalesce(rule, F.lit(False)) | (F.coalesce(known, F.lit(False)) if known is not None else F.lit(False)))
 
 
 def node_completeness(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -135,34 +138,63 @@ def node_completeness(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return j.groupBy("node_id", "pattern").agg((0.7 * share("required") + 0.3 * share("typical")).alias("completeness"))
 
 
-#: What a source shows where an act fits (fixed values): act, kind of mark, its least number.
-ACT_SIGNS = {"assert": ("conclusions", 1), "challenge": ("adversatives", 1), "query": ("questions", 1), "clarify": ("clarifications", 1), "exemplify": ("examples", 1), "reference": ("references", 1), "reform": ("bindings", 1)}
+def act_fits(act: Column, detected: Column, discourse: Column, text: Column, node_type: Column) -> Column:
+    """Whether an edge's act suits its source: the text names the act, or shows what ACT_NEEDS asks for; acts without
+    a rule fit, no act doesn't."""
+    out = F.lit(True)
+    for name, (marks, pattern, question) in V.ACT_NEEDS.items():
+        ok = F.arrays_overlap(discourse, F.array(*map(F.lit, marks))) if marks else F.lit(False)
+        if pattern:
+            ok = ok | text.rlike("(?i)" + pattern)
+        if question:
+            ok = ok | (node_type == "question") | text.contains("?")
+        out = F.when(act == name, ok).otherwise(out)
+    return F.coalesce(act, F.lit("")).isNotNull() & (F.coalesce(act, F.lit("")) != "") & (F.array_contains(detected, act) | F.coalesce(out, F.lit(False)))
 
 
-def act_alignment(act: Column, marks: Column) -> Column:
-    """1 where the source's marks (a map of counts) fit the act, 0.5 where they say nothing, 0 against it."""
-    out = F.lit(0.5)
-    for name, (sign, least) in ACT_SIGNS.items():
-        n = F.coalesce(F.element_at(marks, sign), F.lit(0))
-        out = F.when(act == name, F.when(n >= least, 1.0).otherwise(0.0)).otherwise(out)
-    return out
+def category_consistent(a: Column, b: Column, known: Column) -> Column:
+    """Whether two ends share a categorical pattern, or hold patterns known together (an array of `a|b`)."""
+    pairs = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, F.lit("|"), y))))
+    return (F.size(a) > 0) & (F.size(b) > 0) & (F.arrays_overlap(a, b) | F.arrays_overlap(pairs, known))
 
 
 def verify_wiring(edges: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
-    """thread_id, rates of edges with a category, compatible ports and fitting acts, node completeness, overall mean.
+    """thread_id, rates of edges with consistent categories, compatible ports and fitting acts, mean completeness of
+    nodes, and the mean of the four.
 
-    edges: (thread_id, edge_type, source_type, target_type, marks, categories int); nodes: (thread_id, completeness);
-    known: (a, b) pairs of types known together."""
+    edges: (thread_id, edge_type, source_type, target_type, consistent, fits); nodes: (thread_id, completeness); known:
+    (a, b) pairs of port types known together."""
     pairs = known.select(F.col("a").alias("source_type"), F.col("b").alias("target_type"), F.lit(True).alias("_known")).distinct()
     j = edges.join(pairs, ["source_type", "target_type"], "left")
-    e = j.groupBy("thread_id").agg(
-        F.avg((F.col("categories") > 0).cast("double")).alias("categorical_rate"), F.avg(port_compatible(F.col("source_type"), F.col("target_type"), F.col("_known")).cast("double")).alias("port_rate"), F.avg(act_alignment(F.col("edge_type"), F.col("marks"))).alias("act_rate"),
-    )
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    e = j.groupBy("thread_id").agg(share(F.col("consistent")).alias("categorical_rate"), share(port_compatible(F.col("source_type"), F.col("target_type"), F.col("_known"))).alias("port_rate"), share(F.col("fits")).alias("act_rate"))
     n = nodes.groupBy("thread_id").agg(F.avg("completeness").alias("completeness"))
     out = e.join(n, "thread_id", "full").fillna(0.0)
     return out.withColumn("overall", (F.col("categorical_rate") + F.col("port_rate") + F.col("act_rate") + F.col("completeness")) / 4)
 
 
+def page_patterns(pages: DataFrame, links: DataFrame, patterns: dict = V.CATEGORICAL) -> DataFrame:
+    """page_id, pattern, score: a point for a link that signals it, one more if a definition holds the link, one for each
+    text signal, three for the page's name; patterns short of their least score go.
+
+    pages: (page_id, name, content); links: (page_id, target, link_type)."""
+    spark = pages.sparkSession
+    wanted = spark.createDataFrame([(p, s.lower()) for p, (signals, _, _) in patterns.items() for s in signals], "pattern string, target string")
+    own = links.select("page_id", F.lower("target").alias("target"), (F.col("link_type") == "link/definition-ref").cast("int").alias("d")).groupBy("page_id", "target").agg(F.max("d").alias("d"))
+    by_link = own.join(wanted, "target").groupBy("page_id", "pattern").agg(F.sum(1 + F.col("d")).alias("score"))
+    plain = pages.select("page_id", F.lower("name").alias("name"), X.strip_wiki("content").alias("text"))
+    scored = []
+    for p, (_, texts, _) in patterns.items():
+        key = p.split("/")[1]
+        points = sum((F.col("text").rlike("(?i)" + t).cast("long") for t in texts), F.lit(0).cast("long"))
+        named = F.col("name").contains(key) | F.col("name").contains(key.replace("-", " "))
+        scored.append(F.struct(F.lit(p).alias("pattern"), (points + F.when(named, 3).otherwise(0)).alias("score")))
+    by_text = plain.select("page_id", F.explode(F.array(*scored)).alias("s")).select("page_id", "s.*").where("score > 0")
+    least = spark.createDataFrame([(p, n) for p, (_, _, n) in patterns.items()], "pattern string, least int")
+    total = by_link.union(by_text).groupBy("page_id", "pattern").agg(F.sum("score").alias("score"))
+    return total.join(least, "pattern").where("score >= least").select("page_id", "pattern", "score")
+
+
 def scope_neighbours(papers: DataFrame, sample: int = 800, seed: int = 13) -> DataFrame:
     """paper_id, neighbour, jaccard, same_category: each sampled paper's most similar other by its set of scopes.
 

@@ -380,15 +380,15 @@ def term_contexts(spark, sf):
     return c.select("doc_id", X.context("text", F.col("s"), F.col("s") + 7).alias("context"))
 
 
-DISCOVERY_STOP = ["the", "and", "of", "a", "to", "in", "de", "la", "le", "et"]
-
-
 @query()
 def discovered_terms(spark, sf):
     """Candidates of marked contexts, made plain."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    found = S.span_rows(d, "text", S.matches([("capitals", r"\b[A-Z][a-z]+(?: [a-z]+){1,2}")], 0), S.MATCH, ["doc_id"])
-    return found.select("doc_id", X.discovered_term("match", DISCOVERY_STOP, ["thing"]).alias("term")).where("term IS NOT NULL").distinct()
+    from threadloom import fixed_values as V0
+
+    marked = S.span_rows(d, "text", S.introductions, S.INTRODUCTION, ["doc_id"]).select("doc_id", "raw")
+    capitals = S.span_rows(d, "text", S.matches([("capitals", r"\b[A-Z][a-z]+(?: [a-z]+){1,2}")], 0), S.MATCH, ["doc_id"]).select("doc_id", F.col("match").alias("raw"))
+    return marked.union(capitals).select("doc_id", X.discovered_term("raw", V0.DISCOVERY_STOPWORDS, V0.DISCOVERY_GENERIC).alias("term")).where("term IS NOT NULL").distinct()
 
 
 @query()
@@ -421,6 +421,18 @@ def page_marks(spark, sf):
     return table(spark, sf, "pages").select("page_id", n("<h1>").alias("heads"), n("<p>").alias("paragraphs"), n('<a href="[^"]*"').alias("links"))
 
 
+@query()
+def page_wiring(spark, sf):
+    """Scopes, connectives, anaphora, labels and links of whole pages, counted by type."""
+    from threadloom import fixed_values as V0
+
+    p = table(spark, sf, "pages").select("page_id", X.strip_html("html").alias("text"), "html")
+    marks = S.span_rows(p, "text", S.matches([*V0.WIRES, *V0.PORTS, *V0.LABELS]), S.MATCH, ["page_id"]).select("page_id", "type")
+    found = S.span_rows(p, "text", S.scopes(), S.SCOPE, ["page_id"]).select("page_id", "type")
+    links = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("l")).select("page_id", F.lit("link").alias("type"))
+    return marks.union(found).union(links).groupBy("page_id", "type").agg(F.count("*").alias("n"))
+
+
 # sets and numbers ------------------------------------------------------------------------------------------------------
 
 
@@ -452,7 +464,7 @@ def frequency_maps(spark, sf):
     return m.select("event_type", F.transform(F.array_sort(F.map_entries("counts")), lambda x: x["value"]).alias("counts"))
 
 
-@query("SELECT event_id, CASE WHEN value >= 80 THEN 'high' WHEN value >= 30 THEN 'medium' WHEN value >= 10 THEN 'low' ELSE 'weak' END AS label, epoch_us(ts) / 86400e6 AS days, coalesce(value / nullif(event_id % 3, 0), 0.0) AS rate, [CAST(json_extract_string(props, '$.k') AS INT)] AS numbers FROM events")
+@query("SELECT event_id, CASE WHEN value >= 80 THEN 'high' WHEN value >= 30 THEN 'medium' WHEN value >= 10 THEN 'low-medium' ELSE 'low' END AS label, epoch_us(ts) / 86400e6 AS days, coalesce(value / nullif(event_id % 3, 0), 0.0) AS rate, [CAST(json_extract_string(props, '$.k') AS INT)] AS numbers FROM events")
 def scalar_ladders(spark, sf):
     """M01, M02, M04, M10."""
     e = table(spark, sf, "events")
@@ -745,6 +757,17 @@ def question_bridges(spark, sf):
     return G.question_bridges(m)
 
 
+@query("""WITH l AS (SELECT DISTINCT page_id, lower(t) AS t FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"/]*)"', 1)) AS t FROM pages)), k AS (SELECT page_id, 'cat/the' AS pattern, 2 * count(*) AS s FROM l WHERE lower(t) IN ('the', 'and') GROUP BY 1 UNION ALL SELECT page_id, 'cat/der', 2 * count(*) FROM l WHERE lower(t) IN ('der') GROUP BY 1),
+x AS (SELECT page_id, 'cat/the' AS pattern, CAST(regexp_matches(html, '(?i)ing[^a-z]') AS INT) + CAST(contains(lower(url), 'the') AS INT) * 3 AS s FROM pages UNION ALL SELECT page_id, 'cat/der', CAST(regexp_matches(html, '(?i)lich[^a-z]') AS INT) + CAST(contains(lower(url), 'der') AS INT) * 3 FROM pages)
+SELECT page_id, pattern, CAST(sum(s) AS BIGINT) AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM x) GROUP BY 1, 2 HAVING sum(s) >= CASE pattern WHEN 'cat/the' THEN 2 ELSE 1 END""")
+def page_patterns(spark, sf):
+    """F32: patterns of pages by links, texts and names, with a bank that these pages show."""
+    p = table(spark, sf, "pages")
+    links = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="/([^"/]*)"'), 1)).alias("target"), F.lit("link/definition-ref").alias("link_type"))
+    bank = {"cat/the": (["The", "and"], ["ing[^a-z]"], 2), "cat/der": (["der"], ["lich[^a-z]"], 1)}
+    return E.page_patterns(p.select("page_id", F.col("url").alias("name"), F.col("html").alias("content")), links, bank)
+
+
 @query("SELECT DISTINCT a.p_type AS a, b.p_type AS b FROM part a JOIN part b ON a.p_brand = b.p_brand")
 def pattern_cooccurrence(spark, sf):
     """J27."""
@@ -825,7 +848,7 @@ def dominant_acts(spark, sf):
 
 
 @query("""WITH t(a) AS (VALUES ('bind/let'), ('bind/define'), ('assume/explicit'), ('quant/universal'), ('constrain/where'), ('env/theorem'))
-SELECT s.a AS source, t.a AS target, s.a = t.a OR split_part(s.a, '/', 1) = split_part(t.a, '/', 1) OR (split_part(s.a, '/', 1) IN ('bind', 'quant') AND split_part(t.a, '/', 1) IN ('assume', 'constrain')) OR (split_part(s.a, '/', 1) IN ('assume', 'constrain') AND split_part(t.a, '/', 1) IN ('bind', 'quant')) AS ok FROM t s, t""")
+SELECT s.a AS source, t.a AS target, s.a = t.a OR CASE split_part(s.a, '/', 1) WHEN 'bind' THEN split_part(t.a, '/', 1) IN ('bind', 'assume', 'constrain') WHEN 'assume' THEN split_part(t.a, '/', 1) IN ('assume', 'constrain') WHEN 'constrain' THEN split_part(t.a, '/', 1) IN ('constrain', 'quant') WHEN 'quant' THEN split_part(t.a, '/', 1) IN ('quant', 'constrain') ELSE false END AS ok FROM t s, t""")
 def port_compat(spark, sf):
     """V28."""
     kinds = ["bind/let", "bind/define", "assume/explicit", "quant/universal", "constrain/where", "env/theorem"]
@@ -844,15 +867,14 @@ def node_completeness(spark, sf):
 
 
 @query("""WITH e AS (SELECT l_orderkey AS thread_id, l_returnflag, l_linestatus, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'bind/let' ELSE 'assume/explicit' END AS s, CASE l_linestatus WHEN 'O' THEN 'env/theorem' ELSE 'constrain/where' END AS t FROM lineitem),
-c AS (SELECT thread_id, avg(CASE WHEN l_linenumber > 3 THEN 1.0::DOUBLE ELSE 0 END) AS cr, avg(CASE WHEN (s = 'bind/let' AND t = 'constrain/where') OR (s = 'assume/explicit' AND t = 'env/theorem') THEN 1.0::DOUBLE ELSE 0 END) AS pr, avg(CASE WHEN l_linenumber % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END) AS ar FROM e GROUP BY 1)
+c AS (SELECT thread_id, avg(CASE WHEN l_linenumber > 3 THEN 1.0::DOUBLE ELSE 0 END) AS cr, avg(CASE WHEN t = 'constrain/where' OR (s = 'assume/explicit' AND t = 'env/theorem') THEN 1.0::DOUBLE ELSE 0 END) AS pr, avg(CASE WHEN l_linenumber % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END) AS ar FROM e GROUP BY 1)
 SELECT thread_id, round(cr, 9) AS categorical_rate, round(pr, 9) AS port_rate, round(ar, 9) AS act_rate, round((cr + pr + ar + 0.5) / 4, 9) AS overall FROM c""")
 def wiring_verification(spark, sf):
     """V27, V30, P16."""
     li = table(spark, sf, "lineitem")
-    edges = li.select(F.col("l_orderkey").alias("thread_id"), F.lit("assert").alias("edge_type"), F.when(F.col("l_returnflag") == "R", "bind/let").otherwise("assume/explicit").alias("source_type"), F.when(F.col("l_linestatus") == "O", "env/theorem").otherwise("constrain/where").alias("target_type"), F.create_map(F.lit("conclusions"), (F.col("l_linenumber") % 2 == 0).cast("int")).alias("marks"), (F.col("l_linenumber") > 3).cast("int").alias("categories"))
+    edges = li.select(F.col("l_orderkey").alias("thread_id"), F.lit("assert").alias("edge_type"), F.when(F.col("l_returnflag") == "R", "bind/let").otherwise("assume/explicit").alias("source_type"), F.when(F.col("l_linestatus") == "O", "env/theorem").otherwise("constrain/where").alias("target_type"), E.act_fits(F.lit("assert"), F.array(F.lit("query")), F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit("wire/causal"))).otherwise(F.array(F.lit("wire/intuitive"))), F.lit("so"), F.lit("answer")).alias("fits"), E.category_consistent(F.array(F.when(F.col("l_linenumber") > 3, "x").otherwise("y")), F.array(F.lit("z")), F.array(F.lit("x|z"))).alias("consistent"))
     nodes = li.select(F.col("l_orderkey").alias("thread_id"), F.lit(0.5).alias("completeness"))
     known = spark.createDataFrame([("assume/explicit", "env/theorem")], "a string, b string")
-    # assumptions feed bindings, not constraints: what is known adds the one pair
     v = E.verify_wiring(edges, nodes, known)
     return v.select("thread_id", *[F.round(c, 9).alias(c) for c in ("categorical_rate", "port_rate", "act_rate", "overall")])
 

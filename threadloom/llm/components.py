@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.llm.common import written
 
@@ -47,6 +46,12 @@ def _contracted(batches):
         yield flush()
 
 
+def _with_least(links: DataFrame) -> DataFrame:
+    """links with m, the least b of each a: summed up before the shuffle and joined, so that a hub's links may be split."""
+    least = links.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("m"))
+    return links.join(least, F.col("a") == F.col("_a")).select("a", "b", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of its component, for every node of links(a long, b long) that isn't the least itself.
 
@@ -58,10 +63,8 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-        large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = F.min("b").over(Window.partitionBy("a"))
-        small = large.withColumn("m", least)  # here a > b
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
+        small = _with_least(large)  # here a > b
         links = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         links = written(links, "links")
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -34,7 +34,7 @@ from threadloom.llm.common import hand_back, in_batches, tidied, written
 from threadloom.llm.components import components, contract
 
 CELL = 4096  # sets of a group that are searched at once
-BUCKET = 2048  # sets of small groups that share a cell
+BUCKET = 512  # sets of small groups that share a cell
 BROADCAST_KEYS = 2_000_000  # of 8 bytes, beyond which keys are joined by shuffle
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from threadloom import fixed_values as V
 from threadloom.functions import text as X
 from threadloom.functions import values as N
+from threadloom.operators.lexicon import substring_join
 
 
 def accepted_rank(answers: DataFrame) -> DataFrame:
@@ -215,7 +216,8 @@ def concept_probe(mentions: DataFrame, texts: DataFrame, least: int = 2, most: i
 
     mentions: (paper_id, term); texts: (paper_id, text). The terms probed are a stated set."""
     df = document_frequency(mentions).where(F.col("df").between(least, most))
-    raw = texts.select("paper_id", F.lower("text").alias("low")).join(df.select("term"), F.col("low").contains(F.lower("term"))).groupBy("term").agg(F.countDistinct("paper_id").alias("raw"))
+    held = substring_join(texts.select("paper_id", F.lower("text").alias("low")), df.select(F.lower("term").alias("term"), F.col("term").alias("spelled")))
+    raw = held.groupBy(F.col("spelled").alias("term")).agg(F.countDistinct("paper_id").alias("raw"))
     return df.select("term", F.col("df").alias("processed")).join(raw, "term", "left").fillna(0, ["raw"]).withColumn("lift", N.rate("processed", F.greatest(F.col("raw"), F.lit(1))))
 
 

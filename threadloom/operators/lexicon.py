@@ -43,6 +43,21 @@ def spot(texts: DataFrame, terms: DataFrame, all_words: bool = False) -> DataFra
     return singles.union(found.select("id", "term_lower", "term", "canon"))
 
 
+def substring_join(texts: DataFrame, terms: DataFrame, longest: int = 3) -> DataFrame:
+    """Columns of texts (low, ...) and terms (term, ...) for each term that a text holds anywhere, inside words too.
+
+    A text that holds a term holds its first characters (`longest` of them, or all), so both sides meet by equality on
+    these, and what met is checked; no text is compared with a term that it can't hold."""
+    held = texts.withColumn("_c", F.split("low", ""))
+    out = None
+    for n in range(1, longest + 1):
+        mine = terms.where(F.length("term") == n if n < longest else F.length("term") >= n).withColumn("_g", F.substring("term", 1, n))
+        grams = F.transform("_c", lambda c, i: F.concat(c, *[F.coalesce(F.get("_c", i + k), F.lit("")) for k in range(1, n)]))  # noqa: B023
+        met = held.withColumn("_g", F.explode(F.array_distinct(grams))).join(mine, "_g").where(F.col("low").contains(F.col("term"))).drop("_g", "_c")
+        out = met if out is None else out.union(met)
+    return out
+
+
 def coverage(texts: DataFrame, hits: DataFrame) -> DataFrame:
     """One row: texts, texts with a hit, hits, coverage."""
     n = texts.agg(F.count("*").alias("texts"))
@@ -118,15 +133,16 @@ def categorical(texts: DataFrame, links: DataFrame, tags: DataFrame, signals: Da
     least score and one telling sign: a link of idf 0.5 or more, a tag or a signal."""
     low = texts.select("id", F.lower(X.strip_wiki("text")).alias("low"))
     weighted = links.select("pattern", F.lower("term").alias("term"), "kind").join(pattern_idf(links).select("term", "idf"), "term")
-    keys = weighted.withColumn("key", F.get(F.split("term", r"\s+"), 0))
-    # a link that a text holds has its first word as a part of some token; tokens' parts are too many, so the pairs
-    # come from texts against the reference patterns, a small table whose size is checked by the planner
-    found = low.join(keys, F.col("low").contains(F.col("term")))
+    found = substring_join(low, weighted)
     a = found.select("id", "pattern", (F.when(F.col("kind") == "required", 2.0).otherwise(1.0) * F.col("idf")).alias("w"), (F.col("idf") >= 0.5).alias("telling"))
     names = links.select("pattern").distinct().withColumn("name", F.translate(F.split_part("pattern", F.lit("/"), F.lit(-1)), "-", " "))
     plain = tags.select("id", F.translate(F.lower("tag"), "-", " ").alias("tag"))
-    b = plain.join(names, F.col("tag").contains(F.col("name")) | F.col("name").contains(F.col("tag"))).select("id", "pattern", F.lit(2.0).alias("w"), F.lit(True).alias("telling"))
-    c = low.join(signals, F.expr("low RLIKE concat('(?i)', regex)")).select("id", "pattern", F.lit(1.5).alias("w"), F.lit(True).alias("telling"))
+    wider = substring_join(plain.withColumnRenamed("tag", "low"), names.withColumnRenamed("name", "term")).select("id", "pattern", F.col("low").alias("tag"))
+    narrower = substring_join(names.withColumnRenamed("name", "low"), plain.withColumnRenamed("tag", "term")).select("id", "pattern", F.col("term").alias("tag"))
+    b = wider.union(narrower).distinct().select("id", "pattern", F.lit(2.0).alias("w"), F.lit(True).alias("telling"))
+    # the signals are a bank of patterns, a few for each: they are tried on each text in its row
+    bank = F.array(*[F.when(F.col("low").rlike("(?i)" + r["regex"]), F.lit(r["pattern"])) for r in signals.select("pattern", "regex").collect()]).cast("array<string>")
+    c = low.select("id", F.explode(F.filter(bank, lambda p: p.isNotNull())).alias("pattern")).select("id", "pattern", F.lit(1.5).alias("w"), F.lit(True).alias("telling"))
     out = a.union(b).union(c).groupBy("id", "pattern").agg(F.sum("w").alias("score"), F.max("telling").alias("telling"))
     return out.where((F.col("score") >= least) & F.col("telling")).select("id", "pattern", F.round("score", 1).alias("score"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import written
 
+SALTS = 16
 LOCAL_LINKS = 500_000  # in a batch that is contracted at once
 
 
@@ -47,9 +48,10 @@ def _contracted(batches):
 
 
 def _with_least(links: DataFrame) -> DataFrame:
-    """links with m, the least b of each a: summed up before the shuffle and joined, so that a hub's links may be split."""
-    least = links.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("m"))
-    return links.join(least, F.col("a") == F.col("_a")).select("a", "b", "m")
+    """links with m, the least b of each a: summed up before the shuffle, and joined by node and salt, as a hub may hold
+    a third of all links."""
+    least = links.groupBy("a").agg(F.min("b").alias("m")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return links.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS))).join(least, ["a", "s"]).select("a", "b", "m")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -130,3 +130,10 @@ def test_acts_and_ports(spark):
     pairs = [("bind/let", "assume/x", True), ("assume/x", "bind/let", False), ("quant/a", "constrain/b", True), ("env/a", "env/b", False), ("", "", False), (None, "bind/let", False)]
     got = spark.createDataFrame(pairs, "a string, b string, want boolean").select("want", E.port_compatible(F.col("a"), F.col("b")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_enrichment(spark):
+    e = spark.createDataFrame([("a", r"\emph{ring} \emph{Group} \PMlinkname{x}{Known} \PMlinkname{y}{New}", ["Known"], ["group"]), ("b", "", None, None)], "id string, body string, related array<string>, defines array<string>")
+    r = {x.id: x for x in L.enrich(e).collect()}
+    assert r["a"].new_terms == ["ring", "Known", "New"] and [x.target for x in r["a"].implicit_relations] == ["New"] and r["b"].new_terms == []
+    assert L.enrichment_stats(L.enrich(e)).first()["with_implicit"] == 1

@@ -49,7 +49,7 @@ def latex_fragments(x) -> Column:
     x = decode_entities(x)
     display = F.transform(F.regexp_extract_all(x, F.lit(r"(?s)\$\$(.*?)\$\$"), 1), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", "")))
     inline = F.transform(F.regexp_extract_all(x, F.lit(r"\$([^\$]+?)\$"), 1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    return F.concat(display, F.array_distinct(F.filter(inline, lambda s: (s != "") & ~F.array_contains(display, s))))
+    return F.concat(display, F.array_except(F.filter(inline, lambda s: s != ""), display))
 
 
 def tags(x) -> Column:

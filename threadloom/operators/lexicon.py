@@ -153,8 +153,9 @@ def enrich(entries: DataFrame) -> DataFrame:
     out = entries.withColumn("extracted_terms", X.emphasis_terms("body")).withColumn("extracted_xrefs", X.cross_references("body")).withColumn("extracted_envs", X.environments("body"))
     known = F.transform(F.coalesce("defines", F.array().cast("array<string>")), lambda d: F.lower(d))
     related = F.coalesce("related", F.array().cast("array<string>"))
-    out = out.withColumn("implicit_relations", F.filter("extracted_xrefs", lambda x: ~F.array_contains(related, x["target"])))
-    return out.withColumn("new_terms", F.filter("extracted_terms", lambda t: ~F.array_contains(known, F.lower(t))))
+    out = out.withColumn("_known", known).withColumn("_related", related)
+    out = out.withColumn("implicit_relations", F.filter("extracted_xrefs", lambda x: ~F.array_contains("_related", x["target"])))
+    return out.withColumn("new_terms", F.filter("extracted_terms", lambda t: ~F.array_contains("_known", F.lower(t)))).drop("_known", "_related")
 
 
 def enrichment_stats(enriched: DataFrame) -> DataFrame:

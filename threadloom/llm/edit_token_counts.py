@@ -19,7 +19,6 @@ import functools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm.common import in_batches, tidied

@@ -3,8 +3,8 @@
 A text is lower-cased (A-Z) and split on ASCII white space; its shingles of five words (the whole sequence, if shorter)
 are hashed once and binned by the range their hash falls into, so that after one sort of the hashes the first of each
 bin is its minimum. Empty bins are filled by optimal densification: each takes the value of the first filled bin in a
-random order of its own, the same for all documents. Of each bin, hashed with its number, the low-order bits are kept, packed sixteen bins of
-four bits to a long; likeness corrects the share of equal bins for chance.
+random order of its own, the same for all documents. Of each bin, hashed with its number, the low-order bits are kept,
+packed sixteen bins of four bits to a long; likeness corrects the share of equal bins for chance.
 
 Null texts count as empty; texts without words have the empty fingerprint, alike to one another (1) and to nothing else
 (0). Equal texts have equal fingerprints. Other columns are carried along; rows are fingerprinted one by one.

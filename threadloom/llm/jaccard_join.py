@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm.common import hand_back, in_batches, tidied, written
-from threadloom.llm.components import components, contract
+from threadloom.llm.components import components
 
 CELL = 4096  # sets of a group that are searched at once
 BUCKET = 512  # sets of small groups that share a cell

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import WORD, in_batches, offsets, tidied
+from threadloom.llm.common import WORD, in_batches, offsets, tidied, written
 
 BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 512, 4096, 4096, 1024
 
@@ -179,9 +179,14 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.withColumn("_tl_row", F.xxhash64(F.lit(44), *columns))
     mix = Mix(keyed.select("_tl_row", "source", word_count("text").alias("size")), **options)
     spans = mix.spans("_tl_row", "size").groupBy("_tl_row").agg(F.collect_list(F.struct("turn", "first", "last")).alias("_tl_spans"), F.max("size").alias("_tl_size"))
-    # equal rows share their spans: the first of them carries them all
-    texts = keyed.join(spans, "_tl_row").withColumn("_tl_copy", F.row_number().over(Window.partitionBy("_tl_row").orderBy("_tl_row")))
-    texts = in_batches(texts).where("_tl_copy = 1").select(*columns, "_tl_size", "_tl_spans")
+    texts = in_batches(keyed).join(spans.hint("shuffle_hash"), "_tl_row").select("_tl_row", *columns, "_tl_size", "_tl_spans")
+    # equal rows share their spans, and one of them carries them all; texts are sorted only where there are such rows
+    twice = written(keyed.groupBy("_tl_row").agg(F.count("*").alias("n")).where("n > 1").select("_tl_row"), "equal_rows")
+    if not twice.isEmpty():
+        first = F.row_number().over(Window.partitionBy("_tl_row").orderBy("_tl_row"))
+        once = texts.join(twice, "_tl_row", "left_semi").withColumn("_tl_copy", first).where("_tl_copy = 1").drop("_tl_copy")
+        texts = texts.join(twice, "_tl_row", "left_anti").unionByName(once)
+    texts = texts.drop("_tl_row")
 
     def cut(batches):
         import re

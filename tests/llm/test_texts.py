@@ -1,6 +1,7 @@
 """Token counts after edits, licences, word BPE, fingerprints."""
 
 import hashlib
+import math
 import random
 import struct
 
@@ -136,3 +137,16 @@ def test_licences(spark):
         7: ("none", None, None), 8: ("none", None, None), 9: ("inherited", "GPL-3.0", "src/gpl"), 10: ("own", "Proprietary", None), 11: ("inherited", "Proprietary", "other"),
     }
     assert license_scan(df.limit(0), notices(spark)).count() == 0
+
+
+@pytest.mark.parametrize("size", [40, 4000])
+def test_licences_share_their_line_with_common_words(spark, size):
+    """Words that all documents hold weigh least, whatever the number of documents; rare ones weigh most."""
+    common = "Copyright Acme, see by of x"
+    lines = {0: "Copyright Acme. All rights reserved.", 1: "See Acme: licensed under the Apache License, version 2.0, by copyright of x", 2: "zork quux released blah blub foo under bar baz qux quuz corge grault the mit license"}
+    rows = [(i, f"d{i}/x", f"{common}\n{lines[i]}" if i in lines else common) for i in range(size)]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), notices(spark)).where("license is not null").collect()}
+    assert {i: r.license for i, r in got.items()} == {0: "Proprietary", 1: "Apache-2.0"}
+    # by hand: copyright and acme are in all documents (idf 1), all, rights and reserved in one
+    rare = math.log((1 + size) / 2) + 1
+    assert abs(got[0].similarity - 3 * rare**2 / math.sqrt((3 * rare**2 + 2) * 3 * rare**2)) < 1e-9

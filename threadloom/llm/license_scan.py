@@ -1,8 +1,8 @@
 """License scans: TF-IDF cosine of lines to licence templates, then inheritance from the nearest ancestor directory.
 
-Every line of a text is weighed against every template, by the words they share: idf comes from document counts of the
-templates' words over all texts, and words that no template knows count into a line's length with the greatest idf.
-A line whose template words cannot reach the threshold even if it had no others is dropped by that bound. A file's
+Every line of a text is weighed against every template, by the words they share: idf comes from document counts of all
+words over all texts, and every word of a line counts into its length. A line that could not reach the threshold even if
+all documents held its other words is dropped by that bound; the words of the rest meet their counts by shuffle. A file's
 licence is its best line's template (ties to the smaller name). A licence file, one whose name says so or whose whole
 text is a notice, gives its licence to its directory; files without one of their own take that of the nearest ancestor
 directory that has one, by joining paths on directories.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import WORD, written
 
+#: What is left of a word without the punctuation at its ends.
+BARE = r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?"
 MOST_TEMPLATES = 1000
 THRESHOLD = 0.6
 NOTICE_WORDS = 60  # a text of as many words at most, with a licence line, is a licence file
@@ -48,9 +50,7 @@ def notices(spark: SparkSession) -> DataFrame:
 
 def line_words(line: Column) -> Column:
     """Distinct words, lower-cased, without punctuation at their ends."""
-    found = F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
-    bare = F.transform(found, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.array_distinct(F.filter(bare, lambda w: w != ""))
+    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(BARE), F.lit(0)))
 
 
 def directory(path: Column) -> Column:
@@ -70,29 +70,33 @@ def license_scan(files: DataFrame, templates: DataFrame, threshold: float = THRE
     vocabulary = sorted({w for r in listed for w in r["words"]})
     known = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
     held = files.withColumn("row", F.xxhash64(*files.columns))
-    # lines that hold a template word, with their words; a pattern of the templates' rarer words keeps other lines out
-    lines = held.select("row", F.explode(F.split(F.coalesce("text", F.lit("")), r"\n")).alias("line"))
-    lines = lines.select("row", line_words(F.col("line")).alias("words"))
-    lines = lines.select("row", F.array_intersect("words", known).alias("hits"), F.size("words").alias("n")).where(F.size("hits") > 0)
-    lines = lines.groupBy("row", "hits", "n").agg(F.lit(1).alias("once"))  # repeated lines count once
-    lines = written(lines.select("row", "hits", "n"), "lines")
     total = files.count()
-    df = lines.select("row", F.explode("hits").alias("w")).distinct().groupBy("w").agg(F.count("*").alias("df")).collect()  # a row for each template word at most
-    counts = {r["w"]: r["df"] for r in df}
+    counts = written(files.select(F.explode(line_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("df")), "document_counts")
+    df = {r["w"]: r["df"] for r in counts.where(F.col("w").isin(vocabulary)).collect()}  # a row for each template word at most
     import math
 
-    most = math.log(1 + total) + 1
-    idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in vocabulary}
+    idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     norms = {r["license"]: math.sqrt(sum(idf[w] ** 2 for w in r["words"])) for r in listed}
     weigh = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf[w])]) if vocabulary else F.create_map().cast("map<string,double>")
     table = spark.createDataFrame([(r["license"], list(r["words"]), norms[r["license"]]) for r in listed], "license string, notice array<string>, norm double")
-    squares = lambda a: F.aggregate(a, F.lit(0.0), lambda s, w: s + F.pow(F.element_at("weigh", w), F.lit(2.0)))
-    # the bound: against a template of exactly its hits a line of n words can't do better than this
-    scored = lines.withColumn("weigh", weigh).withColumn("mass", squares(F.col("hits")))
-    scored = scored.withColumn("length", F.sqrt(F.col("mass") + (F.col("n") - F.size("hits")) * F.lit(most * most)))
-    scored = scored.where(F.sqrt("mass") >= F.lit(threshold) * F.col("length"))
-    scored = scored.join(F.broadcast(table), F.arrays_overlap("hits", "notice"))
-    scored = scored.withColumn("similarity", squares(F.array_intersect("hits", "notice")) / (F.col("length") * F.col("norm"))).where(F.col("similarity") >= threshold)
+    squares = lambda a: F.aggregate(a, F.lit(0.0), lambda s, w: s + F.pow(F.element_at(weigh, w), F.lit(2.0)))
+    # lines that hold a template word, with their other words
+    lines = held.select("row", F.explode(F.split(F.col("text"), r"\n")).alias("line")).select("row", line_words(F.col("line")).alias("words"))
+    lines = lines.select("row", F.array_intersect("words", known).alias("hits"), F.array_sort(F.array_except("words", known)).alias("others")).where(F.size("hits") > 0)
+    # the bound: no idf is below 1, the idf of a word that all documents hold, so no line is shorter than this
+    lines = lines.withColumn("mass", squares(F.col("hits"))).withColumn("least", F.sqrt(F.col("mass") + F.size("others")))
+    near = threshold * (1 - 1e-9)
+    lines = lines.where(F.sqrt("mass") >= F.lit(near) * F.col("least"))
+    pairs = lines.join(F.broadcast(table), F.arrays_overlap("hits", "notice"))
+    pairs = pairs.withColumn("part", squares(F.array_intersect("hits", "notice")) / F.col("norm")).where(F.col("part") >= F.lit(near) * F.col("least"))
+    pairs = written(pairs.select("row", "license", "others", "mass", "part").distinct(), "licence_lines")
+    # the other words' weights, once for each set of them
+    sets = pairs.where(F.size("others") > 0).select("others").distinct()
+    sets = sets.select("others", F.explode("others").alias("w")).join(counts, "w").groupBy("others").agg(F.array_sort(F.collect_list("df")).alias("dfs"))
+    rest = F.aggregate("dfs", F.lit(0.0), lambda s, d: s + F.pow(F.log(F.lit(1.0 + total) / (d + 1)) + 1, F.lit(2.0)))
+    alone = pairs.where(F.size("others") == 0).withColumn("rest", F.lit(0.0))
+    scored = alone.unionByName(pairs.join(sets.select("others", rest.alias("rest")), "others"))
+    scored = scored.withColumn("similarity", F.col("part") / F.sqrt(F.col("mass") + F.col("rest"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("row").agg(F.min(F.struct((-F.round("similarity", 12)).alias("s"), "license")).alias("b"))
     own = held.withColumn("_n", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))).select(*keys, "row", "_n")
     own = own.join(best, "row", "left").select(*keys, "_n", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"), directory(F.col("path")).alias("dir"))

@@ -137,3 +137,14 @@ def test_enrichment(spark):
     r = {x.id: x for x in L.enrich(e).collect()}
     assert r["a"].new_terms == ["ring", "Known", "New"] and [x.target for x in r["a"].implicit_relations] == ["New"] and r["b"].new_terms == []
     assert L.enrichment_stats(L.enrich(e)).first()["with_implicit"] == 1
+
+
+def test_probed_neighbours_are_found(spark, sf):
+    """At least 0.9 of the true ten nearest."""
+    from threadloom.queries import QUERIES
+
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    true = {(r.query_id, r.vec_id) for r in V.nearest(v, q, 10).collect()}
+    got = {(r.query_id, r.vec_id) for r in QUERIES["probed_neighbours"](spark, sf).collect()}
+    assert true and len(true & got) >= 0.9 * len(true), len(true & got) / len(true)

@@ -65,7 +65,7 @@ def cells(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
 
 
 def probe_search(vectors: DataFrame, queries: DataFrame, centroids: list[list[float]], k: int, probes: int = 10) -> DataFrame:
-    """Approximate top-k: each query looks into its best `probes` cells, joined by cell."""
+    """Approximate top-k: each query looks into its best `probes` cells, all where there are no more, joined by cell."""
     table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
     scored = F.transform(table, lambda c, i: F.struct((-F.aggregate(F.zip_with("q", c, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)).alias("s"), i.alias("i")))
     q = queries.withColumn("cell", F.explode(F.transform(F.slice(F.array_sort(scored), 1, probes), lambda x: x["i"])))

@@ -1021,7 +1021,7 @@ def probed_neighbours(spark, sf):
     """Inverted lists: cells by centroid, the best probed."""
     v = table(spark, sf, "embeddings")
     _, centres = V.kmeans(v, 8, steps=5)
-    return V.probe_search(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), centres, 10, probes=4)
+    return V.probe_search(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), centres, 10)
 
 
 @query()

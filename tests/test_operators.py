@@ -148,3 +148,8 @@ def test_probed_neighbours_are_found(spark, sf):
     true = {(r.query_id, r.vec_id) for r in V.nearest(v, q, 10).collect()}
     got = {(r.query_id, r.vec_id) for r in QUERIES["probed_neighbours"](spark, sf).collect()}
     assert true and len(true & got) >= 0.9 * len(true), len(true & got) / len(true)
+
+
+def test_reach_has_no_bound(spark):
+    e = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(23)] + [("c23", "c0"), ("x", "y")], "src string, dst string")
+    assert {r.node for r in G.reach(e, spark.createDataFrame([("c0",)], "node string")).collect()} == {f"c{i}" for i in range(24)}

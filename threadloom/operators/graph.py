@@ -145,14 +145,24 @@ def flow_topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("node", role.alias("role"))
 
 
-def reach(edges: DataFrame, roots: DataFrame, depth: int = 20) -> DataFrame:
-    """Distinct nodes that any root reaches, by a recursive query with a depth guard."""
-    edges.select("src", "dst").createOrReplaceTempView("threadloom_edges")
-    roots.select("node").createOrReplaceTempView("threadloom_roots")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE r(node, d) AS (
-          SELECT node, 0 FROM threadloom_roots UNION ALL SELECT e.dst, r.d + 1 FROM r JOIN threadloom_edges e ON e.src = r.node WHERE r.d < {int(depth)}
-        ) SELECT DISTINCT node FROM r""")
+def reach(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """Distinct nodes that any root reaches, in any number of steps unless a depth is given: written layers, until one is
+    empty. What is known is written anew every 20 layers, so the plan doesn't grow with the depth."""
+    from threadloom.plans.tables import written
+
+    e = written(edges.select("src", "dst").distinct(), "edges")
+    layer = seen = written(roots.select("node").distinct(), "reached")
+    d = 0
+    while depth is None or d < depth:
+        d += 1
+        step = layer.join(e, layer["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
+        layer = written(step.join(seen, "node", "left_anti"), "layer")
+        if layer.isEmpty():
+            break
+        seen = seen.union(layer)
+        if d % 20 == 0:
+            seen = written(seen, "reached")
+    return seen.distinct()
 
 
 def well_formed(nodes: DataFrame, edges: DataFrame) -> DataFrame:

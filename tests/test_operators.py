@@ -153,3 +153,17 @@ def test_probed_neighbours_are_found(spark, sf):
 def test_reach_has_no_bound(spark):
     e = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(23)] + [("c23", "c0"), ("x", "y")], "src string, dst string")
     assert {r.node for r in G.reach(e, spark.createDataFrame([("c0",)], "node string")).collect()} == {f"c{i}" for i in range(24)}
+
+
+def test_well_formed_follows_each_root(spark):
+    def ruled(nodes, edges):
+        r = G.well_formed(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "src string, dst string")).first()
+        return r.well_formed, r.asDict().get("stuck")
+
+    cycles = [("r1", "a"), ("r2", "a"), ("a", "b"), ("b", "a")]
+    assert ruled("r1 r2 a b r3 s".split(), [*cycles, ("r3", "s")]) == (False, 2)  # two of three roots end in a cycle
+    assert ruled("r1 a b r3 s".split(), [("r1", "a"), ("a", "b"), ("b", "a"), ("r3", "s")]) == (True, 1)  # half of the roots
+    assert ruled("r s o".split(), [("r", "s")]) == (True, 0)  # one orphan of three
+    assert ruled("r s o p q".split(), [("r", "s")]) == (False, 0)  # three of five
+    assert ruled("a b".split(), [("a", "b"), ("b", "a")]) == (False, 0)
+    assert ruled([], [("a", "b")])[0] is False

@@ -165,11 +165,27 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataF
     return seen.distinct()
 
 
+def role_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: counts of roots, sinks and orphans."""
+    n = lambda r: F.count_if(F.col("role") == r)
+    return flow_topology(nodes, edges).agg(n("root").alias("roots"), n("sink").alias("sinks"), n("orphan").alias("orphans"))
+
+
 def well_formed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: counts of roots, sinks and orphans, and whether there is a root and a sink and no orphan."""
+    """One row: counts of roots, sinks, orphans and of stuck roots, which reach no sink, and well_formed: there is a node
+    without an edge in and one without an edge out, at most half of the nodes (rounded down) are orphans, and at most half
+    of the nodes without an edge in (rounded down) are stuck.
+
+    A root reaches a sink if the sinks reach it against the edges, so one search answers for every root. An orphan is its
+    own sink, so it isn't stuck."""
     t = flow_topology(nodes, edges)
+    back = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), t.where("role = 'sink'"))
+    t = t.join(back.withColumn("_reaches", F.lit(True)), "node", "left")
     n = lambda r: F.count_if(F.col("role") == r)
-    return t.agg(n("root").alias("roots"), n("sink").alias("sinks"), n("orphan").alias("orphans")).withColumn("well_formed", (F.col("roots") > 0) & (F.col("sinks") > 0) & (F.col("orphans") == 0))
+    counts = t.agg(n("root").alias("roots"), n("sink").alias("sinks"), n("orphan").alias("orphans"), F.count_if((F.col("role") == "root") & F.col("_reaches").isNull()).alias("stuck"), F.count("*").alias("_n"))
+    first, last = F.col("roots") + F.col("orphans"), F.col("sinks") + F.col("orphans")
+    rules = (first > 0) & (last > 0) & (F.col("orphans") <= F.floor(F.col("_n") / 2)) & (F.col("stuck") <= F.floor(first / 2))
+    return counts.withColumn("well_formed", rules).drop("_n")
 
 
 def merged_counts(counts: list[DataFrame], key: str, value: str = "n") -> DataFrame:

@@ -725,7 +725,16 @@ def trade_nodes(spark, sf):
 
 @query(f"WITH t AS ({ORACLE['flow_topology']}) SELECT count(*) FILTER (role = 'root') AS roots, count(*) FILTER (role = 'sink') AS sinks, count(*) FILTER (role = 'orphan') AS orphans, count(*) FILTER (role = 'root') > 0 AND count(*) FILTER (role = 'sink') > 0 AND count(*) FILTER (role = 'orphan') = 0 AS well_formed FROM t")
 def well_formed(spark, sf):
-    """V24, V25."""
+    """V24 by the short rule of its SQL: a root, a sink and no orphan; flow_rules has the whole rules."""
+    return G.role_counts(trade_nodes(spark, sf), trade_edges(spark, sf)).withColumn("well_formed", (F.col("roots") > 0) & (F.col("sinks") > 0) & (F.col("orphans") == 0))
+
+
+@query(f"""WITH RECURSIVE t AS ({ORACLE['flow_topology']}), {TRADE_SQL}, r AS (SELECT node AS root, node FROM t WHERE role = 'root' UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.node),
+s AS (SELECT count(*) AS stuck FROM t WHERE role = 'root' AND node NOT IN (SELECT root FROM r JOIN t USING (node) WHERE role = 'sink')),
+c AS (SELECT count(*) FILTER (role = 'root') AS roots, count(*) FILTER (role = 'sink') AS sinks, count(*) FILTER (role = 'orphan') AS orphans, count(*) AS n FROM t)
+SELECT roots, sinks, orphans, stuck, roots + orphans > 0 AND sinks + orphans > 0 AND orphans <= n // 2 AND stuck <= (roots + orphans) // 2 AS well_formed FROM c, s""")
+def flow_rules(spark, sf):
+    """Well-formed by the rules on roots, sinks, orphans and reachability."""
     return G.well_formed(trade_nodes(spark, sf), trade_edges(spark, sf))
 
 

@@ -167,3 +167,12 @@ def test_well_formed_follows_each_root(spark):
     assert ruled("r s o p q".split(), [("r", "s")]) == (False, 0)  # three of five
     assert ruled("a b".split(), [("a", "b"), ("b", "a")]) == (False, 0)
     assert ruled([], [("a", "b")])[0] is False
+
+
+def test_impulse_fit_relaxes_where_nobody_has_enough(spark):
+    """Six events and three treatments for user 1, fewer for the others; with a user of 20 and 10, only that one."""
+    few = [(1, i, float(i % 2), int(i in (1, 4, 9))) for i in range(12)] + [(2, i, float(i < 4), int(i in (1, 4, 9))) for i in range(12)] + [(3, i, 1.0, int(i == 5)) for i in range(12)]
+    many = [(4, i, 2.0 - i % 2, i % 2) for i in range(24)]
+    users = lambda rows: {r.user_id for r in H.impulse_fit(spark.createDataFrame(rows, "user_id long, bin long, x double, treated int")).collect()}
+    assert users(few) == {1}
+    assert users(few + many) == {4}

@@ -87,12 +87,17 @@ def _simplex(f, x0: np.ndarray, steps: int = 600, tolerance: float = 1e-7) -> tu
     return points[best], values[best], False
 
 
-def impulse_fit(bins: DataFrame, least_events: int = 20, least_treatments: int = 10) -> DataFrame:
+def impulse_fit(bins: DataFrame, least_events: int = 20, least_treatments: int = 10, relaxed: tuple[int, int] = (5, 3)) -> DataFrame:
     """Per user a mean-reverting process with impulses: user_id, theta, mu, kick, sigma, loss, converged, n.
 
     bins: (user_id, bin, x, treated): learning events and treatments of each week. x moves from week to week by
-    theta (mu - x) + kick treated with normal noise; users with fewer events or treatments than asked aren't fitted."""
-    eligible = bins.groupBy("user_id").agg(F.sum("x").alias("_x"), F.sum("treated").alias("_t")).where((F.col("_x") >= least_events) & (F.col("_t") >= least_treatments))
+    theta (mu - x) + kick treated with normal noise; users with fewer events or treatments than asked aren't fitted. Where
+    no user has as many, those with the relaxed numbers are."""
+    sums = bins.groupBy("user_id").agg(F.sum("x").alias("_x"), F.sum("treated").alias("_t"))
+    enough = lambda events, treatments: (F.col("_x") >= events) & (F.col("_t") >= treatments)
+    eligible = sums.where(enough(least_events, least_treatments))
+    if eligible.isEmpty():
+        eligible = sums.where(enough(*relaxed))
     kept = bins.join(eligible.select("user_id"), "user_id", "left_semi")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,15 +16,19 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share. Where none is set, a temporary one, but only if all runs in one process."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = getattr(spark, "_threadloom_dir", None) or f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
         spark._threadloom_dir = folder
     return folder.rstrip("/")
 
 
 TEXTS = 2000  # whole texts in an Arrow batch
+BATCH_BYTES = 4 << 20
 
 
 def tidied(run):
@@ -52,12 +57,15 @@ def hand_back() -> None:
         pass
 
 
-def in_batches(df: DataFrame, rows: int = TEXTS) -> DataFrame:
-    """df, in whose session Arrow batches hold so many rows at most: texts may be long, and a batch is held whole, in
-    the JVM and in Python."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
+def in_batches(df: DataFrame, rows: int = TEXTS, size: int = BATCH_BYTES) -> DataFrame:
+    """df, in whose session Arrow batches hold so many rows and bytes at most: texts may be long, and a batch is held
+    whole, in the JVM and in Python. A row longer than that is a batch of its own."""
+    conf = df.sparkSession.conf
+    limits = {"maxRecordsPerBatch": rows, "maxBytesPerBatch": size, "maxBytesPerOutputBatch": size}
+    for name, most in limits.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(re.match(r"-?\d+", conf.get(key))[0]) <= most:
+            conf.set(key, str(most))
     return df
 
 
@@ -66,7 +74,22 @@ def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partitions).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tl_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tl_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def apart(key: Column) -> Column:
+    """A key as good as this integer one, which the planner takes for another: a join on it gets exchanges of its own,
+    whose large partitions adaptive execution splits, where those of an aggregate by the key itself would be reused."""
+    return key.bitwiseXOR(F.lit(1))
 
 
 def offsets(sums: DataFrame, key: str, value: str, group: list[str] | None = None, wide: int = 4096) -> DataFrame:
@@ -83,5 +106,6 @@ def offsets(sums: DataFrame, key: str, value: str, group: list[str] | None = Non
     same = F.lit(True)
     for c in [*group, "_run"]:
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    starts = starts.hint("merge")  # a row a run, which grows with the input: never broadcast
     out = runs.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).alias("a").join(starts.alias("b"), same)
     return out.select(*[F.col(f"a.{c}").alias(c) for c in sums.columns], (F.col("b._start") + F.col("a._in")).cast("long").alias("before"))

@@ -1,6 +1,7 @@
 """Jaccard join, components, shards, mix."""
 
 import collections
+import math
 import random
 import zlib
 
@@ -13,7 +14,7 @@ from threadloom.llm import components as cc
 from threadloom.llm import jaccard_join as J
 from threadloom.llm import queries
 from threadloom.llm import source_mix as M
-from threadloom.llm.uniform_shards import communication_matrix, uniform_shards
+from threadloom.llm.uniform_shards import communication_matrix, hypergeometric, uniform_shards
 
 
 def test_components(spark):
@@ -90,6 +91,58 @@ def test_index_skips_nothing_that_links():
     assert {i: got.get(i, i) for i in range(120)} == want
 
 
+@pytest.mark.parametrize("kept", [256, 1])
+def test_answers_are_derived_from_similar_sets(monkeypatch, kept):
+    """Two families that share much but don't link: a copy's overlaps with the other family come from its twin's."""
+    monkeypatch.setattr(J, "KEPT", kept)
+    rng, rule = np.random.default_rng(7), J.Rule(80, 100)
+    core = rng.integers(0, 2**40, 70)
+    sets = [np.unique(np.concatenate([core, rest])) for rest in (rng.integers(0, 2**40, 20) for _ in range(6)) for _ in range(1)]
+    sets = [np.unique(np.append(s, rng.integers(0, 2**40, 2))) for s in sets for _ in range(5)]
+    prefixes = [(s[: rule.prefix(len(s))], np.arange(rule.prefix(len(s)))) for s in sets]
+    nodes, tally = np.arange(len(sets)), collections.Counter()
+    a, b = J.search(J.Index(sets, prefixes, rule), [(s, *p) for s, p in zip(sets, prefixes, strict=True)], True, nodes, nodes, nodes.copy(), nodes, tally)
+    got = {n: int(m) for n, m in zip(*(x.tolist() for x in cc.contract(np.array(a), np.array(b))), strict=True)}
+    assert {i: got.get(i, i) for i in nodes.tolist()} == components([(i, " ".join(map(str, s))) for i, s in enumerate(sets)], 1, 80)
+    assert tally["derived"] > 0 and (kept == 1 or tally["derived"] > tally["counted"] / 2)
+
+
+def test_answers_are_derived_on_the_documents(sf):
+    """The sets of the given documents in one cell, as the query has them: some answers come from similar sets."""
+    import pyarrow.parquet as pq
+
+    rule, tally, sets = J.Rule(90, 100), collections.Counter(), {}
+    for t in pq.read_table(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")["text"].to_pylist():
+        s = J.shingle_set(t, 3)
+        if len(s):
+            sets[s.tobytes()] = s
+    sets = sorted(sets.values(), key=lambda s: (s[:2].tolist(), len(s)))
+    prefixes = [(s[: rule.prefix(len(s))], np.arange(rule.prefix(len(s)))) for s in sets]
+    nodes = np.arange(len(sets))
+    J.search(J.Index(sets, prefixes, rule), [(s, *p) for s, p in zip(sets, prefixes, strict=True)], True, nodes, nodes, nodes.copy(), nodes, tally)
+    print(tally)
+    assert tally["derived"] > 0
+
+
+def test_join_query_equals_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    root = components(rows, 3, 90)
+    least = {}
+    for i, r in root.items():
+        least[r] = min(least.get(r, rows[i][0]), rows[i][0])
+    want = sorted((d, len(shingles(t, 3)), least[root[i]]) for i, (d, t) in enumerate(rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in queries.op9_jaccard_join(spark, sf).collect()) == want
+
+
+def test_cells_are_cut_by_tokens(spark, monkeypatch):
+    monkeypatch.setattr(J, "CELL_TOKENS", 300)
+    monkeypatch.setattr(J, "BUCKET_TOKENS", 100)
+    rows = groups([], 11)
+    want = components(rows, 3, 80)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 80).collect()}
+    assert got == {i: want[i] for i, _ in rows}
+
+
 def test_shards(spark):
     rows = uniform_shards(awkward(spark), 4).collect()
     slots = collections.defaultdict(list)
@@ -112,14 +165,32 @@ def test_shards_agree_and_spread(spark):
 def test_matrix_has_exact_margins_and_hypergeometric_spread(spark):
     parts = spark.createDataFrame([(i, 100 + i) for i in range(50)], "part long, n long")
     total = sum(100 + i for i in range(50))
-    m = communication_matrix(parts, total, 10, seed=3, rows=64).collect()
-    rows, cols = collections.Counter(), collections.Counter()
-    for r in m:
-        rows[r.part] += r.n
-        cols[r.shard] += r.n
-    assert rows == {i: 100 + i for i in range(50)} and set(cols.values()) <= {total // 10, total // 10 + 1}
-    z = [(r.n - (100 + r.part) / 10) / np.sqrt((100 + r.part) * 0.09 * (1 - (100 + r.part) / total)) for r in m]
+    m = {r.part: r.counts for r in communication_matrix(parts, total, 10, seed=3).collect()}
+    assert {p: sum(c) for p, c in m.items()} == {i: 100 + i for i in range(50)}
+    assert np.sum(list(m.values()), axis=0).tolist() == [total // 10 + (s < total % 10) for s in range(10)]
+    z = [(n - (100 + p) / 10) / np.sqrt((100 + p) * 0.09 * (1 - (100 + p) / total)) for p, c in m.items() for n in c]
     assert 0.8 < np.std(z) < 1.2
+    uneven = communication_matrix(spark.createDataFrame([(0, 1), (300, 2), (4999, 0)], "part long, n long"), 3, 2, seed=1).collect()
+    assert {r.part: sum(r.counts) for r in uneven} == {0: 1, 300: 2, 4999: 0}
+
+
+def test_draws_have_the_law_of_the_urn(spark):
+    """Against the probabilities by binomial coefficients, small and lopsided urns."""
+    n = 8000
+    for good, total, draws in [(20, 100, 30), (1, 7, 3), (5, 5, 2), (0, 9, 4), (999, 1000, 500), (3, 10, 10)]:
+        u = F.col("id") / n  # evenly spread: counts come out as the law has them
+        held = spark.range(n).select(u.alias("u"), *(F.lit(x).cast("long").alias(c) for c, x in (("g", good), ("t", total), ("k", draws))))
+        counts = {r["x"]: r["count"] for r in held.select(hypergeometric(*map(F.col, "ugtk")).alias("x")).groupBy("x").count().collect()}
+        law = {i: math.comb(good, i) * math.comb(total - good, draws - i) / math.comb(total, draws) for i in range(good + 1) if 0 <= draws - i <= total - good}
+        assert set(counts) <= set(law) and all(abs(counts.get(i, 0) / n - p) < 1.1 / n for i, p in law.items())
+
+
+def test_shards_of_rows_that_are_all_equal(spark):
+    """A third of all rows, in many tasks; every row keeps a place of its own."""
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("id"), F.lit("t").alias("text")).repartition(6)
+    rows = uniform_shards(df, 7, rows=512).collect()
+    assert sum(r.id == -1 for r in rows) == 3000 and len({(r.shard, r.slot) for r in rows}) == 9000
+    assert collections.Counter(r.shard for r in rows if r.id == -1).most_common()[0][1] < 600
 
 
 def test_targets():
@@ -142,7 +213,8 @@ def test_shard_counts_spend_everything():
 def test_mix(spark, block):
     df = awkward(spark).drop("size").withColumn("size", M.word_count("text")).select("doc_id", "source", "size", "lang")
     rows = M.Mix(df, block=block).taken("doc_id", "source", "size", "source_size", "target").collect()
-    assert rows == M.Mix(df.repartition(5), block=block).taken("doc_id", "source", "size", "source_size", "target").collect() or sorted(map(str, rows)) == sorted(map(str, M.Mix(df.repartition(5), block=block).taken("doc_id", "source", "size", "source_size", "target").collect()))
+    again = M.Mix(df.repartition(5), block=block).taken("doc_id", "source", "size", "source_size", "target").collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
     assert len(rows) == len(AWKWARD) and all(0 <= r.taken <= 2 * r.size for r in rows)
     sizes, taken, target = collections.Counter(), collections.Counter(), {}
     for r in rows:

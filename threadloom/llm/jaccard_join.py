@@ -5,23 +5,30 @@
    needs only to know which of its tokens others hold. Tokens of low hash (a share of 1.5 (1 - t); all tokens, where a
    set has too few) are counted; the order is: low before high, unshared before shared, rare before frequent, hash. A
    class with p unshared low tokens has no partner and goes. Passages that many share thus stay out of the prefixes.
-3. The remaining classes' prefixes make index lists, one for each token, sorted by set size. Neighbours in a list whose
-   sizes are compatible are candidates of one group; groups by connected components hold every possible link.
-4. Groups are searched in cells that a task can hold. In a cell the index lists hold blocks of sets by size and
-   position, and blocks that fail the length or position bound are skipped. A set that is already known to be connected
-   with all its candidates needs no answers, so near copies cost little; else its overlaps are counted, from scratch
-   or derived from the overlaps of a similar set already searched, by the lists of the tokens that differ.
+3. The remaining classes' prefixes make index lists, one for each token, cut into ranges of set sizes. Sets of a range are
+   candidates of one group, and so are neighbours in size across ranges that are compatible; groups by connected
+   components hold every possible link. Lists are summed up by range, so that no list has to lie in one task.
+4. Groups are searched in cells that a task can hold, by sets and by tokens. In a cell the index lists hold blocks of sets
+   by size and position, and blocks that fail the length or position bound are skipped. A set that is already known to
+   be connected with all its candidates needs no answers, so near copies cost little; else its overlaps are derived from
+   the answers of a similar set already searched, by the lists of the tokens in which the two differ, and counted only
+   for candidates that the similar set had no answer for. Sets are searched in the order of their least token hashes,
+   so that similar ones follow one another.
 5. Groups beyond a cell are cut into tiles: links inside the tiles come first; then what isn't in a group's largest
    component is searched against the whole group.
 
 Links are exact: den * intersection >= num * union. Shingle and class hashes are 64 bits long; classes 128 bits.
 Null and empty texts, and those without words, have empty sets and link with nothing. doc_id may be null or repeat:
-rows are documents; a component's id is its smallest doc_id, null if it has none. Other columns take no part.
+rows are documents; a component's id is its smallest doc_id, null if it has none. Very long texts count whole; a set that
+is longer than a cell's tokens is searched in a cell that its hash names, with others. Equal sizes and tokens are ordered
+by hash, so ties don't matter; repeated rows are one class. Other columns take no part; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import hand_back, in_batches, tidied, written
+from threadloom.llm.common import apart, hand_back, in_batches, tidied, written
 from threadloom.llm.components import components
 
-CELL = 4096  # sets of a group that are searched at once
-BUCKET = 512  # sets of small groups that share a cell
+CELL, CELL_TOKENS = 4096, 4_000_000  # sets of a group that are searched at once, and their tokens (8 bytes each)
+BUCKET, BUCKET_TOKENS = 512, 500_000  # of small groups that share a cell
+FEW, KEPT = 8, 256  # sets that are met one by one; searches whose answers are kept
 BROADCAST_KEYS = 2_000_000  # of 8 bytes, beyond which keys are joined by shuffle
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -275,35 +283,47 @@ class Index:
             order = np.argsort(flat, kind="stable")
             self.tokens, self.owners = flat[order], owner[order]
         lo, hi = np.searchsorted(self.tokens, tokens), np.searchsorted(self.tokens, tokens, "right")
-        parts = [self.owners[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        parts = [self.owners[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
         return np.bincount(np.concatenate(parts), minlength=len(self.sets)) if parts else np.zeros(len(self.sets), np.int64)
 
-    def overlaps(self, own: np.ndarray, near: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-        """Overlap with every set: from scratch, or from those of a near set, by the tokens that differ."""
+    def overlaps(self, own: np.ndarray, others: np.ndarray, near: Answers | None, tally: Counter) -> np.ndarray:
+        """Overlap of own with each of the others: derived from a similar set's answers, by the tokens in which the two
+        sets differ, where that set has answers for them; counted for the rest."""
+        both, todo = np.empty(len(others), np.int64), np.ones(len(others), bool)
         if near is not None:
-            less, more = np.setdiff1d(near[0], own, assume_unique=True), np.setdiff1d(own, near[0], assume_unique=True)
-            if 2 * (len(less) + len(more)) < len(own):
-                return near[1] - self._lists(less) + self._lists(more)
-        return self._lists(own)
-
-    def linked(self, own: np.ndarray, others: np.ndarray, near):
-        """Which of the others link with own; and own's overlaps with all sets, if they were counted."""
-        n, m = len(own), self.size[others]
-        if len(others) <= 64:
-            both = np.array([len(np.intersect1d(own, self.sets[o], assume_unique=True)) for o in others.tolist()], np.int64)
-            counted = None
+            less, more = np.setdiff1d(near.own, own, assume_unique=True), np.setdiff1d(own, near.own, assume_unique=True)
+            at = np.minimum(np.searchsorted(near.others, others), len(near.others) - 1)
+            held = near.others[at] == others
+            if held.any() and len(less) + len(more) < len(own):
+                both[held] = near.both[at[held]] - self._lists(less)[others[held]] + self._lists(more)[others[held]]
+                todo = ~held
+                tally["derived"] += int(held.sum())
+        rest = others[todo]
+        tally["counted"] += len(rest)
+        if len(rest) <= FEW:
+            both[todo] = [len(np.intersect1d(own, self.sets[o], assume_unique=True)) for o in rest.tolist()]
         else:
-            counted = self.overlaps(own, near)
-            both = counted[others]
-        return others[self.rule.den * both >= self.rule.num * (n + m - both)], counted
+            both[todo] = self._lists(own)[rest]
+        return both
 
 
-def search(index: Index, queries, same: bool, nodes: np.ndarray, query_nodes: np.ndarray, labels: np.ndarray, query_labels: np.ndarray):
+@dataclass
+class Answers:
+    """What the search of a set has found: its overlaps with others of the index, which are sorted."""
+
+    own: np.ndarray
+    others: np.ndarray
+    both: np.ndarray
+
+
+def search(index: Index, queries, same: bool, nodes: np.ndarray, query_nodes: np.ndarray, labels: np.ndarray, query_labels: np.ndarray, tally: Counter | None = None):
     """Links that connect queries with the index, as nodes: pairs already connected are passed over.
 
     queries: (set, prefix tokens, positions); same: they are the index's own sets, in order. labels: what is known to be
-    connected already."""
+    connected already. A query's answers are derived from those of the last set that was found to link with it, or else
+    of the query before it that is connected with it; tally counts answers derived and answers counted."""
     parent: dict = {}
+    tally = Counter() if tally is None else tally
 
     def find(x):
         while (p := parent.get(x, x)) != x:
@@ -313,7 +333,9 @@ def search(index: Index, queries, same: bool, nodes: np.ndarray, query_nodes: np
 
     a, b = [], []
     root = labels.copy()  # of the index's sets, renewed as they are joined
-    near = None
+    kept: dict[int, Answers] = {}  # of the last KEPT searches; older ones are counted anew
+    like: dict[int, int] = {}  # query -> search that linked it
+    last: dict[int, int] = {}  # component -> its last search
     for q, (own, tokens, positions) in enumerate(queries):
         mine = find(query_labels[q])
         others = index.candidates(tokens, positions, len(own))
@@ -325,9 +347,15 @@ def search(index: Index, queries, same: bool, nodes: np.ndarray, query_nodes: np
             others = others[fresh != mine]
         if not len(others):
             continue
-        hit, counted = index.linked(own, others, near)
-        if counted is not None:
-            near = (own, counted)
+        near = kept.get(like.get(q, -1)) or kept.get(last.get(mine, -1))
+        both = index.overlaps(own, others, near, tally)
+        kept[q] = Answers(own, others, both)
+        if len(kept) > KEPT:
+            del kept[next(iter(kept))]
+        n, m = len(own), index.size[others]
+        hit = others[index.rule.den * both >= index.rule.num * (n + m - both)]
+        if same:
+            like.update(dict.fromkeys(hit.tolist(), q))
         for other in np.unique(root[hit]).tolist():  # one link for each component met
             a.append(int(query_nodes[q]))
             b.append(int(nodes[hit[np.flatnonzero(root[hit] == other)[0]]]))
@@ -335,14 +363,23 @@ def search(index: Index, queries, same: bool, nodes: np.ndarray, query_nodes: np
             if x != y:
                 parent[x] = y
         root[hit] = find(query_labels[q])
+        last[find(query_labels[q])] = q
     return a, b
 
 
 def _unpacked(table: pa.Table, rule: Rule):
-    rows = table.to_pylist()
-    sets = [np.frombuffer(r["tokens"], "<i8") for r in rows]
-    prefixes = [(np.array(r["prefix"], np.int64), np.array(r["positions"], np.int64)) for r in rows]
-    return sets, prefixes, np.array([r["h"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64)
+    """Sets, prefixes, nodes and labels, in the order of the sets' least tokens: similar sets mostly share theirs, and so
+    follow one another."""
+    raw = [np.frombuffer(x.as_py(), "<i8") for x in table.column("tokens")]
+    order = sorted(range(len(raw)), key=lambda i: (raw[i][:2].tolist(), len(raw[i])))
+    h, label = (table.column(c).to_numpy()[order] for c in ("h", "label"))
+    lists = []
+    for c in ("prefix", "positions"):
+        column = table.column(c).combine_chunks()
+        flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(column.value_lengths().to_numpy())
+        parts = np.split(flat, ends[:-1]) if len(ends) else []
+        lists.append([parts[i] for i in order])
+    return [raw[i] for i in order], list(zip(*lists, strict=True)), h, label
 
 
 def _links(a, b) -> pa.Table:
@@ -389,9 +426,9 @@ def jaccard_components(docs: DataFrame, length: int = 5, num: int = 80, den: int
     key = F.coalesce(F.concat(F.lit("l"), F.col("label").cast("string")), F.concat(F.lit("s"), F.hex("sig")))
     heads = joined.select(F.col("label").alias("node"), "label").distinct()
     named = rows.where("n > 0").join(joined.unionByName(heads), F.col("h") == F.col("node"), "left").select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), key.alias("key"))
-    ids = named.groupBy("key").agg(F.min("doc_id").alias("component_id"))
+    ids = named.groupBy("key").agg(F.min("doc_id").alias("component_id")).select(F.concat(F.lit("="), "key").alias("_key"), "component_id")
     alone = rows.where("n = 0").select("doc_id", "row", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.concat(F.lit("e"), F.col("row").cast("string")))
-    return named.join(ids, "key").select("doc_id", "row", "n_shingles", "component_id", F.col("key").alias("component")).union(alone)
+    return named.join(ids, F.concat(F.lit("="), "key") == F.col("_key")).select("doc_id", "row", "n_shingles", "component_id", F.col("key").alias("component")).union(alone)
 
 
 def one_of_each(docs: DataFrame, length: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -425,42 +462,54 @@ def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) ->
     found = classes.select("h", "row", "n", "emitted", "low").join(shared, "h")
     lists = "h long, row long, n int, list array<struct<token:bigint,position:int>>"
     found = written(found.mapInArrow(tidied(_prefixes(rule)), lists), "prefixes")
-    # candidate groups
-    lists = found.select("h", "n", F.explode("list.token").alias("token"))
-    order = Window.partitionBy("token").orderBy("n", "h")
-    pairs = lists.withColumn("b", F.lag("h").over(order)).withColumn("m", F.lag("n").over(order))
-    pairs = pairs.where(F.lit(rule.den) * F.col("m") >= F.lit(rule.num) * F.col("n")).select(F.col("h").alias("a"), "b").distinct()
+    # candidate groups: a token's sets fall into ranges of sizes within which any two are compatible; all of a range
+    # link with its least set, and the greatest of a range with the least of the next, if these two are compatible
+    width = math.log(rule.den / rule.num)
+    span = F.floor(F.log("n") / width) if width else F.col("n")
+    lists = found.select("h", "n", F.explode("list.token").alias("token"), span.cast("long").alias("span"))
+    ranges = lists.groupBy("token", "span").agg(F.min(F.struct("n", "h")).alias("lo"), F.max(F.struct("n", "h")).alias("hi"))
+    star = lists.join(ranges.select(F.col("token").alias("t"), F.col("span").alias("s"), F.col("lo.h").alias("b")), (apart(F.col("token")) == apart(F.col("t"))) & (F.col("span") == F.col("s")))
+    before = F.lag("hi").over(Window.partitionBy("token").orderBy("span"))  # as many rows as there are ranges of sizes
+    chain = ranges.withColumn("before", before).where(F.lit(rule.den) * F.col("before.n") >= F.lit(rule.num) * F.col("lo.n"))
+    pairs = star.select(F.col("h").alias("a"), "b").union(chain.select("lo.h", "before.h")).where("a <> b").distinct()
     groups = components(pairs)
     groups = groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct())
-    sizes = groups.groupBy("label").agg(F.count("*").alias("members"))
-    members = written(groups.join(sizes, "label").join(found, groups["node"] == found["h"]).select("h", "label", "members", "n", "list", "row"), "members")
-    count, large = members.agg(F.count("*"), F.max("members")).first()
+    named = groups.join(found, groups["node"] == found["h"])
+    sizes = named.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    tiles = F.greatest(F.ceil(F.col("sets") / CELL), F.ceil(F.col("tokens") / CELL_TOKENS)).cast("int")
+    sizes = sizes.select(F.col("label").alias("_label"), tiles.alias("tiles"))
+    members = written(named.join(sizes, apart(F.col("label")) == apart(F.col("_label"))).select("h", "label", "tiles", "n", "list", "row"), "members")
+    small = F.col("tiles") <= 1
+    count, large, sets_, tokens_ = members.agg(F.count("*"), F.max("tiles"), F.sum(small.cast("long")), F.sum(F.when(small, F.col("n")))).first()
     # their whole sets, from their texts
     keys = members.select("row")
     texts = docs.join(F.broadcast(keys) if count <= BROADCAST_KEYS else keys, "row", "left_semi").select("text")
     sets = texts.mapInArrow(tidied(_sets(length)), "h long, tokens binary").dropDuplicates(["h"])
     whole = sets.join(members.withColumnRenamed("h", "node"), F.col("h") == F.col("node"))
-    whole = whole.select("h", "tokens", "label", "members", F.col("list.token").alias("prefix"), F.col("list.position").alias("positions"))
-    if (large or 0) > CELL:
+    whole = whole.select("h", "n", "tokens", "label", "tiles", F.col("list.token").alias("prefix"), F.col("list.position").alias("positions"))
+    large = (large or 0) > 1
+    if large:
         whole = written(whole, "whole_sets")
-    buckets = max(1, math.ceil(count / BUCKET))
-    tiles = F.ceil(F.col("members") / CELL)
-    cell = F.when(F.col("members") <= CELL, F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(F.lit(-1) - F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("h"), tiles)), F.lit(2**40)))
+    buckets = max(1, math.ceil((sets_ or 0) / BUCKET), math.ceil((tokens_ or 0) / BUCKET_TOKENS))
+    tile = F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")
+    cell = F.when(small, F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(F.lit(-1) - F.pmod(F.xxhash64("label", tile), F.lit(2**40)))
     links = whole.withColumn("cell", cell).select("cell", "h", "label", "tokens", "prefix", "positions").groupBy("cell").applyInArrow(_search_cell(rule), "a long, b long")
-    if (large or 0) <= CELL:
+    if not large:
         return links
     # groups beyond a cell: what isn't in their largest component yet, against all of them
     links = written(links, "first_links")
-    big = whole.where(F.col("members") > CELL)
+    big = whole.where("tiles > 1")
     known = components(links).withColumnRenamed("label", "part")
-    parts = big.select("h", "label", "members").join(known, F.col("h") == F.col("node"), "left").select("h", "label", "members", F.coalesce("part", "h").alias("part"))
+    parts = big.select("h", "n", "label").join(known, F.col("h") == F.col("node"), "left").select("h", "n", "label", F.coalesce("part", "h").alias("part"))
     parts = written(parts, "parts")
-    most = parts.groupBy("label", "part").agg(F.count("*").alias("c")).groupBy("label").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("c"))
-    left = parts.join(most, "label").where("part <> main").select("h", "part", F.ceil((F.col("all") - F.col("c")) / (CELL // 2)).cast("int").alias("lefts"))
-    left = big.join(left, "h").select("h", "label", "part", "members", "lefts", "tokens", "prefix", "positions")
-    right = big.join(parts.join(most.withColumn("lefts", F.ceil((F.col("all") - F.col("c")) / (CELL // 2)).cast("int")), "label").where("lefts > 0").select("h", "part", "lefts"), "h")
-    tile = F.pmod(F.xxhash64("h"), tiles).cast("int")
-    left = left.withColumn("l", F.pmod(F.xxhash64("h", F.lit(1)), F.col("lefts")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), (tiles - 1).cast("int"))))
+    most = parts.groupBy("label", "part").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    most = most.groupBy("label").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.max_by("t", F.struct("c", "part")).alias("t"), F.max("c").alias("c"), F.sum("c").alias("all"), F.sum("t").alias("all_t"))
+    lefts = F.greatest(F.ceil((F.col("all") - F.col("c")) / (CELL // 2)), F.ceil((F.col("all_t") - F.col("t")) / (CELL_TOKENS // 2))).cast("int")
+    most = most.select(F.col("label").alias("_label"), "main", lefts.alias("lefts")).where("lefts > 0")
+    split = written(parts.select("h", "label", "part").join(most, apart(F.col("label")) == apart(F.col("_label"))).select(F.col("h").alias("node"), "part", "main", "lefts"), "split")
+    right = big.join(split, F.col("h") == F.col("node"))
+    left = right.where("part <> main")
+    left = left.withColumn("l", F.pmod(F.xxhash64("h", F.lit(1)), F.col("lefts")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     right = right.withColumn("r", tile).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
     cols = [F.col("label").alias("grp"), F.col("part").alias("label"), *(F.col(c).alias(c) for c in ("l", "r", "h", "tokens", "prefix", "positions"))]
     more = left.select(*cols).groupBy("grp", "l", "r").cogroup(right.select(*cols).groupBy("grp", "l", "r")).applyInArrow(_search_cells(rule), "a long, b long")

@@ -33,22 +33,37 @@ def test_toxicity_of_unlabelled_and_awkward_rows(spark):
     assert O.score(awkward(spark).limit(0), O.fit(awkward(spark).limit(0), odd)).count() == 0
 
 
-def test_toxicity_finds_planted_words(spark):
+def test_toxicity_finds_planted_grades(spark):
+    """Grades 0 to 3 by how bad the worst planted word is; labels of every third document are held back."""
     rng = np.random.default_rng(3)
-    plain, bad = [f"w{i}" for i in range(400)], ["vile", "foul", "rotten"]
+    plain, bad = [f"w{i}" for i in range(400)], ["rude", "foul", "vile"]
     rows = []
-    for i in range(600):
+    for i in range(900):
         words = rng.choice(plain, 60).tolist()
-        toxic = i % 8 == 0
-        if toxic:
-            words[5:5] = rng.choice(bad, rng.integers(1, 4), replace=False).tolist()
-        rows.append((i, " ".join(words), int(toxic)))
+        grade = int(rng.integers(1, 4)) if i % 4 == 0 else 0
+        if grade:
+            words[5:5] = [bad[grade - 1]]
+        rows.append((i, " ".join(words), grade))
     df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
-    model = O.fit(df.drop("grade"), df.where("doc_id < 400").select("doc_id", "grade"))
-    held = O.score(df.where("doc_id >= 400"), model).collect()
-    assert all((r.p_toxic >= 0.5) == (r.grade == 1) or (r.p_toxic >= 0.5) == (rows[r.doc_id][2] == 1) for r in held)
-    assert sum((r.p_toxic >= 0.5) == (rows[r.doc_id][2] == 1) for r in held) >= 0.97 * len(held)
-    assert model.severity("VILE, foul! rotten")[0] > model.severity("vile")[0] > model.severity("w1")[0]
+    model = O.fit(df.drop("grade"), df.where("doc_id % 3 > 0").select("doc_id", "grade"))
+    assert len(model.thresholds) == 3 and model.thresholds == sorted(model.thresholds)
+    held = {r.doc_id: r for r in O.score(df.where("doc_id % 3 = 0").drop("grade"), model).collect()}
+    assert {i: r.grade > 0 for i, r in held.items()} == {i: g > 0 for i, _, g in rows if i in held}
+    assert np.mean([abs(r.severity - rows[i][2]) < 1 for i, r in held.items()]) > 0.95
+    assert model.severity("VILE, word")[0] > model.severity("foul!")[0] > model.severity("rude")[0] > 0.5 > model.severity("w1")[0]
+
+
+def test_selection_equals_the_step_up_rule():
+    """Against the rule written out with binomial coefficients."""
+    from math import comb
+
+    rng = np.random.default_rng(8)
+    n = rng.integers(1, 30, 300)
+    k = rng.binomial(n, np.where(rng.random(300) < 0.1, 0.9, 0.15))
+    p = {i: sum(comb(int(n[i]), j) * 0.15**j * 0.85 ** (int(n[i]) - j) for j in range(int(k[i]), int(n[i]) + 1)) for i in range(300) if n[i] >= O.LEAST_DOCUMENTS}
+    order = sorted(p, key=lambda i: p[i])
+    last = max((r for r, i in enumerate(order, 1) if p[i] <= O.ALPHA * r / len(p)), default=0)
+    assert O.significant(n, k, 0.15).tolist() == sorted(order[:last]) and last > 5
 
 
 def test_em_finds_accuracies():
@@ -77,17 +92,32 @@ def test_quality_of_awkward_rows(spark):
     assert W.score(awkward(spark).limit(0), W.fit(awkward(spark).limit(0))).count() == 0
 
 
-def test_held_out_accuracy(spark, sf):
-    big = sf.replace("sf0.001", "sf0.01")
+def test_held_out_quality(spark, sf):
+    """Labels took no part in the fit."""
     from threadloom.llm import queries
 
-    labels = {r.doc_id: r for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
-    q = [(r.keep, labels[r.doc_id].quality == 1) for r in queries.op7_weak_quality(spark, big).collect() if r.doc_id in labels]
-    assert np.mean([a == b for a, b in q]) > 0.98  # labels took no part in the fit
-    t = O.fit(spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet").where("doc_id % 2 = 0").select("doc_id", F.col("toxic").alias("grade")))
-    held = O.score(spark.read.parquet(f"{big}/documents.parquet").where("doc_id % 2 = 1").select("doc_id", "text"), t).collect()
-    pairs = [(r.p_toxic >= 0.5, labels[r.doc_id].toxic == 1) for r in held if r.doc_id in labels]
-    assert np.mean([a == b for a, b in pairs]) > 0.9 and not [1 for a, b in pairs if a and not b]
+    big = sf.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    q = [(r.keep, labels[r.doc_id] == 1) for r in queries.op7_weak_quality(spark, big).collect() if r.doc_id in labels]
+    assert np.mean([a == b for a, b in q]) > 0.98
+
+
+@pytest.mark.parametrize("size,recall", [("sf0.01", 0.8), ("sf0.1", 0.9)])
+def test_held_out_toxicity(spark, sf, size, recall):
+    """Fitted on one half of the labels, held against the other, both ways. Labels of the tables are noisy: in languages
+    other than English the toxic share no word, so recall is that of the English ones."""
+    folder = sf.replace("sf0.001", size)
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{folder}/labels.parquet")
+    caught = missed = wrong = flagged = 0
+    for half in (0, 1):
+        model = O.fit(docs, labels.where(F.col("doc_id") % 2 == half).select("doc_id", F.col("toxic").alias("grade")))
+        held = O.score(docs.join(labels.where(F.col("doc_id") % 2 != half).select("doc_id", "toxic"), "doc_id"), model).collect()
+        english = [r.p_toxic >= 0.5 for r in held if r.toxic and r.lang == "en"]
+        caught, missed = caught + sum(english), missed + len(english) - sum(english)
+        flagged += sum(r.p_toxic >= 0.5 for r in held)
+        wrong += sum(r.p_toxic >= 0.5 and not r.toxic for r in held)
+    print(size, caught, missed, flagged, wrong)
+    assert caught >= recall * (caught + missed) and wrong <= 0.01 * flagged + 1
 
 
 def test_pipeline(spark, sf):
@@ -111,9 +141,29 @@ def test_pipeline_stages_take_awkward_rows(spark, sf):
     import corpus_pipeline as C
 
     docs = awkward(spark)
-    for rows in (docs, docs.limit(0)):
-        for _, stage in C.STAGES:
-            assert stage(spark, rows, sf).count() >= 0
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        assert stage(spark, docs.limit(0), sf).collect() == []
+        if name != C.STAGES[-1][0]:
+            assert out.columns == docs.columns and {r.label for r in rows} == {7}
+        if name == "toxicity":
+            assert len(rows) == len(AWKWARD)  # none of them is toxic
+        if name == "near_duplicates":
+            assert len(rows) == len(AWKWARD) - 2 and sum(r.doc_id == 6 for r in rows) == 1
+    assert len(rows) > 0
+
+
+def test_filtering_stages_equal_their_models_row_by_row(spark, sf):
+    """Against the models in plain Python, one text after the other."""
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    w = W.fit(docs)
+    assert {r.doc_id for r in C.quality(spark, docs, sf).collect()} == {i for i, t in texts.items() if w.score(t) >= 0.5}
+    o = O.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("toxic").alias("grade")))
+    assert {r.doc_id for r in C.toxicity(spark, docs, sf).collect()} == {i for i, t in texts.items() if o.severity(t)[1] < 0.5}
 
 
 def test_near_duplicate_stage_equals_brute_force(spark, sf):

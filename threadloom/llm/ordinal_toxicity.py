@@ -1,14 +1,18 @@
 """Toxicity: cumulative-link ordinal regression of severity grades on sparse text features.
 
 P(grade <= k) = sigmoid(threshold_k - w.x) with one weight vector for all ordered thresholds; x marks which of the
-selected hashed words a text holds. Words are selected by an exact binomial test of their documents' grades (above 0 or
-not), after near copies among the labelled documents are counted once. The model is fitted on at most `most` labelled
-documents (lowest hash of doc_id first), every document is scored, whole texts.
-
-Grades from binary labels: 0 where not toxic, else by the number of selected words a text holds (1: up to 1, 2: up to
-3, 3: more). Labels without doc_id or grade take no part, of repeated ones the highest counts. Null and empty texts hold
-no word and get the base severity; doc_id may be null or repeat; other columns are carried along; without labels or
-without a significant word every severity is the base one, 0 if nothing is labelled.
+selected hashed words a text holds. There are as many grades as the labels have (0 to the highest, MOST_GRADES at most):
+binary labels give two, and then the expected severity is the probability of the higher one. Words are selected by exact
+binomial tests of their documents' grades (above 0 or not) at a false discovery rate of ALPHA among all words that could
+pass at all, after near copies among the labelled documents are counted once; a ridge holds down words that pass by few
+documents. The model is fitted on at most `most` labelled documents (lowest hash of doc_id first) with at most MOST_WORDS
+distinct words together (beyond that a share of them by hash); every document is scored, whole texts, however long.
+
+Labels without doc_id or grade take no part, negative grades count as 0, of repeated ones the highest counts; documents
+that repeat an id all take part, copies once. Null and empty texts hold no word and get the base severity; doc_id may be
+null or repeat; other columns are carried along, those named severity, p_toxic or grade are replaced. Where the median
+lies between two grades the higher is given. Without labels or without a significant word (some dozen labelled documents
+can't show one) every severity is the base one, 0 if nothing is labelled. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import in_batches, tidied
+from threadloom.llm.common import in_batches, tidied, written
 
 MOST_LABELLED = 20_000  # labelled documents to fit on
-ALPHA = 0.01  # chance that any unrelated word is selected
-GRADES = 4
+MOST_WORDS = 20_000_000  # distinct words of these documents together, 4 bytes each on the driver
+ALPHA = 0.05  # expected share of unrelated words among the selected
+LEAST_DOCUMENTS = 3  # that hold a word which may be selected
+MOST_GRADES = 10
 PERMUTATIONS = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x2545F491]
 
 #: Bytes of words: ASCII letters (lower-cased), digits and whatever isn't ASCII; others part words.
@@ -66,7 +72,7 @@ def _tail(n: int, k: int, p: float) -> float:
     return total
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 0.2, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 0.05, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the cumulative-link model, by Adam on the penalised likelihood."""
     n, d = x.shape
     share = np.clip([(y >= k).mean() for k in range(1, grades)], 1e-4, 1 - 1e-4)
@@ -108,12 +114,31 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(lows, pa.list_(pa.int64()))], names=["grade", "hashes", "lows"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, binary: bool = True) -> Model:
-    """A model from labels(doc_id, grade): grades 0 and 1 if binary, else 0 to GRADES - 1."""
+def significant(n: np.ndarray, k: np.ndarray, base: float, alpha: float = ALPHA) -> np.ndarray:
+    """Which of the words, held by n documents of which k have a grade above 0, are selected: the step-up rule of
+    Benjamini and Hochberg over all words of LEAST_DOCUMENTS documents."""
+    tested = np.flatnonzero(n >= LEAST_DOCUMENTS)
+    likely = tested[k[tested] > n[tested] * base]
+    known: dict[tuple[int, int], float] = {}  # many words share their counts
+    for pair in set(zip(n[likely].tolist(), k[likely].tolist(), strict=True)):
+        known[pair] = _tail(*pair, base)
+    p = np.array([known[pair] for pair in zip(n[likely].tolist(), k[likely].tolist(), strict=True)])
+    order = np.argsort(p, kind="stable")
+    passed = np.flatnonzero(p[order] <= alpha * np.arange(1, len(p) + 1) / max(1, len(tested)))
+    return np.sort(likely[order[: passed[-1] + 1]]) if len(passed) else np.empty(0, np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
+    """A model from labels(doc_id, grade), grades 0, 1, 2, ..."""
     known = labels.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it may be broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("grade", "text")
-    rows = in_batches(found).mapInArrow(tidied(_hashed), "grade int, hashes binary, lows array<bigint>").collect()
+    hashed = in_batches(found).mapInArrow(tidied(_hashed), "grade int, hashes binary, lows array<bigint>").dropDuplicates(["grade", "hashes"])
+    hashed = written(hashed, "labelled")
+    size = (hashed.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 4
+    if size > MOST_WORDS:
+        hashed = hashed.where(F.pmod(F.xxhash64("hashes"), F.lit(1 << 20)) < int((1 << 20) * MOST_WORDS / size))
+    rows = hashed.collect()
     seen: set[tuple[int, int]] = set()
     held: list[tuple[np.ndarray, int]] = []
     for r in sorted(rows, key=lambda r: (r["hashes"], r["grade"])):
@@ -124,30 +149,26 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, binary: b
         if sum(x in seen for x in lows) < 3:
             held.append((h, r["grade"]))
         seen.update(lows)
+    rows.clear()
     if not held:
         return Model({}, [])
-    y = np.array([g for _, g in held], np.int64)
-    base = (y > 0).mean()
+    y = np.clip([g for _, g in held], 0, MOST_GRADES - 1).astype(np.int64)
+    grades, base = max(2, int(y.max()) + 1), (y > 0).mean()
     if base in (0.0, 1.0):
-        return Model({}, [math.inf if base == 0 else -math.inf] + [math.inf] * (GRADES - 2))
+        return Model({}, [math.inf if base == 0 else -math.inf] + [math.inf] * (grades - 2))
     flat = np.concatenate([h for h, _ in held])
     owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h, _ in held])
-    rows.clear()
     vocabulary, at = np.unique(flat, return_inverse=True)
     at = at.astype(np.int32)
     n, k = np.bincount(at), np.bincount(at, weights=(y[owner] > 0)).astype(np.int64)
-    likely = np.flatnonzero((n >= 4) & (k > n * base))
-    chosen = [i for i in likely.tolist() if _tail(int(n[i]), int(k[i]), float(base)) < ALPHA / len(vocabulary)]
+    chosen = significant(n, k, float(base))
     place = np.full(len(vocabulary), -1)
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((len(held), len(chosen)))
     mine = place[at] >= 0
     x[owner[mine], place[at][mine]] = 1
-    if binary:
-        count = x.sum(1)
-        y = np.where(y == 0, 0, 1 + (count > 1) + (count > 3)).astype(np.int64)
-    w, t = fit_ordinal(x, np.clip(y, 0, GRADES - 1), GRADES)
-    return Model({int(vocabulary[i]): float(a) for i, a in zip(chosen, w, strict=True)}, t.tolist())
+    w, t = fit_ordinal(x, y, grades)
+    return Model({int(vocabulary[i]): float(a) for i, a in zip(chosen.tolist(), w, strict=True)}, t.tolist())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -31,6 +31,9 @@ TEXTS = 2000  # whole texts in an Arrow batch
 BATCH_BYTES = 4 << 20
 
 
+CACHES: list[dict] = []  # of this process, emptied with every partition
+
+
 def tidied(run):
     """A function of Arrow batches that hands freed memory back to the system when its partition is done: workers are
     kept for later stages, beside a JVM that has grown meanwhile."""
@@ -49,6 +52,8 @@ def hand_back() -> None:
 
     import pyarrow as pa
 
+    for cache in CACHES:
+        cache.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -61,7 +66,8 @@ def in_batches(df: DataFrame, rows: int = TEXTS, size: int = BATCH_BYTES) -> Dat
     """df, in whose session Arrow batches hold so many rows and bytes at most: texts may be long, and a batch is held
     whole, in the JVM and in Python. A row longer than that is a batch of its own."""
     conf = df.sparkSession.conf
-    limits = {"maxRecordsPerBatch": rows, "maxBytesPerBatch": size, "maxBytesPerOutputBatch": size}
+    conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")  # so that all operators share one pool of workers
+    limits = {"maxRecordsPerBatch": rows, "maxBytesPerBatch": size}
     for name, most in limits.items():
         key = f"spark.sql.execution.arrow.{name}"
         if not 0 < int(re.match(r"-?\d+", conf.get(key))[0]) <= most:
@@ -69,6 +75,20 @@ def in_batches(df: DataFrame, rows: int = TEXTS, size: int = BATCH_BYTES) -> Dat
     return df
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver holds as a table, without Python workers (which a list given to Spark would start, in a pool
+    of their own beside that of the operators)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+    fields = to_arrow_schema(kind)
+    import pyarrow as pa
+
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), kind)
+
+
 def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage ends there and survives lost executors."""
     spark = df.sparkSession

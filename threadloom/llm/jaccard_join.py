@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import apart, hand_back, in_batches, tidied, written
+from threadloom.llm.common import CACHES, apart, hand_back, in_batches, tidied, written
 from threadloom.llm.components import components
 
 CELL, CELL_TOKENS = 4096, 4_000_000  # sets of a group that are searched at once, and their tokens (8 bytes each)
@@ -58,6 +58,7 @@ class _Words(dict):
 
 
 _words = _Words()
+CACHES.append(_words)
 
 
 def shingle_set(text: str | None, length: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import WORD, in_batches, offsets, tidied, written
+from threadloom.llm.common import WORD, in_batches, offsets, small_table, tidied, written
 
 BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 512, 4096, 4096, 1024
 
@@ -127,7 +127,7 @@ class Mix:
                 if n:
                     runs.append((shard, stats[s]["key"], seed + 104729 * s, sizes[s], takes[s], first[s], first[s] + n))
                     first[s] += n
-        runs = spark.createDataFrame(runs, "shard int, key string, seed long, size long, take long, first long, last long")
+        runs = small_table(spark, runs, "shard int, key string, seed long, size long, take long, first long, last long")
         self.slots = runs.mapInArrow(tidied(_slots(block)), "shard int, number long, turn int, key string, block long, words long")
         # every document's place in its source's stream, summed by bucket first
         buckets = max(1, -(-rows // BUCKET_ROWS))
@@ -137,7 +137,7 @@ class Mix:
         before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         held = held.withColumn("rn", F.row_number().over(inside)).withColumn("_before", before)
         held = held.join(starts.select("key", "bucket", F.col("before").alias("_start")), ["key", "bucket"])
-        known = spark.createDataFrame([(r["key"], size, float(goal)) for r, size, goal in zip(stats, sizes, goals, strict=True)], "key string, source_size long, target double")
+        known = small_table(spark, [(r["key"], size, float(goal)) for r, size, goal in zip(stats, sizes, goals, strict=True)], "key string, source_size long, target double")
         self.documents = held.withColumn("start", F.col("_start") + F.col("_before")).drop("_start", "_before").join(known, "key")
 
     def pieces(self, *columns: str) -> DataFrame:

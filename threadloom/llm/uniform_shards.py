@@ -117,7 +117,7 @@ def communication_matrix(partitions: DataFrame, total: int, shards: int, seed: i
     levels = 1
     while fan**levels <= most:
         levels += 1
-    nodes = spark.createDataFrame([(0, whole)], "node long, counts array<long>")
+    nodes = spark.range(1).select(F.col("id").alias("node"), F.array(*[F.lit(c).cast("long") for c in whole]).alias("counts"))
     for level in range(levels - 1, -1, -1):
         child = F.floor(F.col("part") / fan**level).cast("long").alias("child")
         sizes = partitions.groupBy(child).agg(F.sum("n").cast("long").alias("n"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import in_batches, tidied, written
+from threadloom.llm.common import CACHES, in_batches, tidied, written
 
 MOST_SAMPLED = 20_000  # documents to fit the scorer on
 BINS = 1 << 12
@@ -133,6 +133,7 @@ class _Shapes(dict):
 
 
 _shapes = _Shapes()
+CACHES.append(_shapes)
 
 
 def features(text: str | None, m: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:

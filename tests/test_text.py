@@ -69,6 +69,7 @@ def test_sets_and_json(spark):
     assert one(spark, "{", lambda c: N.strict_object(c)["error"]) == "parse_error"
 
 
+# Formulas and their s-expressions (fixed values).
 FORMULAS = [
     (r"\Gamma=(V,E,s,t)", "(= Γ (tuple V E s t))"), (r"s(X(e))=X(s(e))", "(= (s (X e)) (X (s e)))"), (r"e : v \to w", "(: e (→ v w))"), (r"\mathcal{C}", "𝒞"),
     (r"X \circ s = X \circ t", "(= (∘ X s) (∘ X t))"), (r"\mathsf{Path}(\Gamma) \to \mathcal{C}", "(→ (Path Γ) 𝒞)"), (r"U(-)", "(U □)"), (r"\bar\Gamma", "(bar Γ)"), (r"\frac{a}{b}", "(/ a b)"),

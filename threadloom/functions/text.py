@@ -110,21 +110,18 @@ def direction(x) -> Column:
 def bound_symbol(x) -> Column:
     """The symbol a subscript binds: what stands before = or membership, else its first symbol."""
     x = as_column(x)
-    first = F.nullif(F.regexp_extract(x, r"([A-Za-z](?:_[A-Za-z0-9]+)?)\s*(?:=|\\in|∈)", 1), F.lit(""))
-    return F.coalesce(first, F.nullif(F.regexp_extract(x, r"[A-Za-z](?:_[A-Za-z0-9]+)?", 0), F.lit("")))
+    first = F.nullif(F.regexp_extract(x, rf"({V.BOUND_SYMBOL})\s*(?:=|\\in|∈)", 1), F.lit(""))
+    return F.coalesce(first, F.nullif(F.regexp_extract(x, V.BOUND_SYMBOL, 0), F.lit("")))
 
 
 def integral_symbol(tail) -> Column:
-    return F.nullif(F.regexp_extract(as_column(tail), r"(?:\\,|\;|\\!|\s)*(?:d|\\mathrm\{d\})\s*([A-Za-z](?:_[A-Za-z0-9]+)?)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(as_column(tail), V.DIFFERENTIAL, 1), F.lit(""))
 
 
 def strip_wiki(x) -> Column:
     """Prose of a wiki page: blocks, includes, headings, attributes, emphasis marks and diagrams go, link texts stay."""
     x = as_column(x)
-    for pattern, by in (
-        (r"(?s)\+-- \{:.*?\}.*?=--", ""), (r"\[\[!include.*?\]\]", ""), (r"\[\[[^\]|!]+?\|([^\]]+)\]\]", "$1"), (r"\[\[([^\]|!]+?)\]\]", "$1"),
-        (r"(?m)^#+\s+", ""), (r"\{:.*?\}", ""), (r"[*_]{1,2}([^*_]+)[*_]{1,2}", "$1"), (r"(?s)\\begin\{tikzcd\}.*?\\end\{tikzcd\}", ""), (r"\\(?:begin|end)\{centre\}", ""),
-    ):
+    for pattern, by in V.WIKI_MARKUP:
         x = F.regexp_replace(x, pattern, by)
     return x
 

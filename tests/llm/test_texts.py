@@ -1,8 +1,10 @@
 """Token counts after edits, licences, word BPE, fingerprints."""
 
+import collections
 import hashlib
 import math
 import random
+import re
 import struct
 
 import pytest
@@ -130,7 +132,8 @@ def test_licences(spark):
         (1, "src/LICENSE", "Released under the MIT License."), (2, "src/a/b/x.txt", "nothing"), (3, "src/gpl/COPYING", "This work is licensed under the GNU General Public License, version 3."), (4, "src/gpl/deep/y.txt", "text\nmore"),
         (5, "src/gpl/deep/z.txt", "long text " * 100 + "\nLicensed under the Apache License, Version 2.0."), (6, "top.txt", "plain the work is"), (7, None, None), (8, "", ""), (9, "src/gpl/deep/y.txt", "text\nmore"), (10, "other/x", "All rights reserved."), (11, "other/y", "rights"),
     ]
-    df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("n", F.lit(1)).withColumn("license_", F.lit("x"))
+    df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumns({c: F.lit(1) for c in ("n", "license", "row", "dir", "near", "_n", "up", "words", "level", "salt", "w")})
+    assert [c for c in license_scan(df, notices(spark)).columns if c != "license"][:12] == [c for c in df.columns if c not in ("text", "license")]
     got = {r.doc_id: (r.origin, r.effective_license, r.from_dir) for r in license_scan(df, notices(spark)).collect()}
     assert got == {
         1: ("own", "MIT", None), 2: ("inherited", "MIT", "src"), 3: ("own", "GPL-3.0", None), 4: ("inherited", "GPL-3.0", "src/gpl"), 5: ("own", "Apache-2.0", None), 6: ("none", None, None),
@@ -143,10 +146,107 @@ def test_licences(spark):
 def test_licences_share_their_line_with_common_words(spark, size):
     """Words that all documents hold weigh least, whatever the number of documents; rare ones weigh most."""
     common = "Copyright Acme, see by of x"
-    lines = {0: "Copyright Acme. All rights reserved.", 1: "See Acme: licensed under the Apache License, version 2.0, by copyright of x", 2: "zork quux released blah blub foo under bar baz qux quuz corge grault the mit license"}
+    lines = {0: "Copyright Acme, all rights reserved", 1: "See Acme: licensed under the Apache License, version 2.0, by copyright of x", 2: "zork quux released blah blub foo under bar baz qux quuz corge grault the mit license"}
     rows = [(i, f"d{i}/x", f"{common}\n{lines[i]}" if i in lines else common) for i in range(size)]
     got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), notices(spark)).where("license is not null").collect()}
     assert {i: r.license for i, r in got.items()} == {0: "Proprietary", 1: "Apache-2.0"}
     # by hand: copyright and acme are in all documents (idf 1), all, rights and reserved in one
     rare = math.log((1 + size) / 2) + 1
     assert abs(got[0].similarity - 3 * rare**2 / math.sqrt((3 * rare**2 + 2) * 3 * rare**2)) < 1e-9
+
+
+MIT = """Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included."""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+package x;
+class Y {}"""
+SPDX = "// SPDX-License-Identifier: GPL-3.0-only\nint main() { return 0; }"
+
+
+def windows(text, words, seeds):
+    """All windows of a text in plain Python, each with whether it is the whole text."""
+    import regex
+
+    units = [u for u in (set(words(u)) for u in regex.split(r"[\n\r]|(?<=[.;!?])[\x20\x09]+", text or "")) if u]
+    for i, u in enumerate(units):
+        for k in range(1, 13):
+            if i + k <= len(units) and u & seeds and units[i + k - 1] & seeds:
+                yield frozenset().union(*units[i : i + k]), (i, k) == (0, len(units))
+
+
+def test_licences_equal_brute_force(spark):
+    """Real headers among invented prose: every window against every template, weights from counts of all texts."""
+    import regex
+
+    from threadloom.llm import license_scan as L
+
+    words = lambda t: regex.findall(r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?", (t or "").lower())
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "software", "copy", "license", "work", "file", "rights", f"w{rng.randrange(300)}"]) for _ in range(n))
+    texts = [MIT, APACHE, SPDX, prose(30) + "\n" + MIT + "\n" + prose(50), prose(20) + ". All rights reserved. " + prose(9), "", None, "x" * 50_000, prose(20_000) + "\n" + APACHE]
+    texts += [prose(rng.choice([5, 40])) + rng.choice([".\n", " ", "; "]) + rng.choice([n for _, n in L.NOTICES]) + rng.choice(["", " ", ". "]) + prose(rng.choice([0, 3, 10])) for _ in range(60)]
+    rows = [(i, f"d/{i}", t) for i, t in enumerate(texts)]
+    bank = [(r.license, r.notice) for r in notices(spark).collect()]
+    df = collections.Counter(w for t in texts for w in set(words(t)))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
+    norm = lambda ws: math.sqrt(sum(idf(w) ** 2 for w in ws))
+    lists = [(name, set(words(n))) for name, n in bank]
+    seeds = L.anchors([sorted(ws) for _, ws in lists], {w: idf(w) for _, ws in lists for w in ws}, L.THRESHOLD)
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), notices(spark)).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        best = min(((-round(sum(idf(w) ** 2 for w in ws & xs) / norm(ws) / norm(xs), 9), name) for ws, _ in windows(t, words, seeds) for name, xs in lists), default=(0, ""))
+        want = best if best[0] <= -L.THRESHOLD else (None, None)
+        assert (got[i].similarity and -round(got[i].similarity, 9), got[i].license) == want, (i, t)
+        found += want[0] is not None
+    assert (got[0].license, got[1].license, got[2].license, got[3].license, got[4].license) == ("MIT", "Apache-2.0", "GPL-3.0", "MIT", "Proprietary") and found > 40
+    # no window without an anchor reaches the threshold
+    for t in texts:
+        for ws, _ in windows(t, words, set(df)):
+            assert ws & seeds or all(sum(idf(w) ** 2 for w in ws & xs) < L.THRESHOLD * norm(ws) * norm(xs) for _, xs in lists)
+
+
+def test_licences_are_inherited_from_the_nearest_directory(spark, sf):
+    """The query against nearest ancestors in plain Python, from the licences that it found itself."""
+    from threadloom.llm import queries
+
+    big = sf.replace("sf0.001", "sf0.01")
+    rows = {r.doc_id: r for r in queries.op3_license_scan(spark, big).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{big}/documents.parquet").collect()}
+    speaks = {}
+    for i, r in rows.items():
+        head, _, name = r.path.rpartition("/")
+        if r.license and (name == "LICENSE" or len([x for x in re.split(r"[\n\r]|(?<=[.;!?])[ \t]+", texts[i]) if re.search(r"\w", x)]) == 1):
+            speaks[head] = min(speaks.get(head, (9, "")), (-r.similarity, r.license))
+    inherited = 0
+    for r in rows.values():
+        up = r.path
+        near = None
+        while up and near is None:
+            up = up.rpartition("/")[0]
+            near = speaks.get(up)
+        want = ("own", r.license, None) if r.license else ("inherited", near[1], up) if near else ("none", None, None)
+        assert (r.origin, r.effective_license, r.from_dir) == want
+        inherited += want[0] == "inherited"
+    known = r"Licensed under the Apache License, Version 2.0.|Released under the MIT License.|GNU General Public License, version 3|All rights reserved.|Licensed under CC BY-NC 4.0."
+    assert {i for i, r in rows.items() if r.license} == {i for i, t in texts.items() if re.search(known, t or "")} and inherited > 0
+
+
+def test_root_and_hot_directories_speak(spark):
+    rows = [(0, "LICENSE", "Released under the MIT License.")] + [(1, "hot/LICENSE", "All rights reserved.")] + [(i, f"{'hot/' if i % 2 else 'cold'}{i}/x", "text") for i in range(2, 400)]
+    got = collections.Counter((r.origin, r.effective_license, r.from_dir) for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), notices(spark)).collect())
+    assert got == {("own", "MIT", None): 1, ("own", "Proprietary", None): 1, ("inherited", "Proprietary", "hot"): 199, ("inherited", "MIT", ""): 199}

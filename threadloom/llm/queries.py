@@ -51,11 +51,14 @@ def op2_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: source/lang/tens of doc_id/doc_id.txt."""
+    """Documents as files: source/d<thousands of doc_id>/d<hundreds>/<doc_id>.txt; each tenth is its directory's LICENSE,
+    which speaks for the directory where a licence is found in it."""
     from threadloom.llm.license_scan import license_scan, notices
 
     none = F.lit("none")
-    path = F.concat_ws("/", F.coalesce("source", none), F.coalesce("lang", none), F.coalesce(F.floor(F.col("doc_id") / 10).cast("string"), none), F.concat(F.coalesce(F.col("doc_id").cast("string"), none), F.lit(".txt")))
+    part = lambda wide: F.coalesce(F.concat(F.lit("d"), F.floor(F.col("doc_id") / wide).cast("string")), none)
+    name = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE")).otherwise(F.concat(F.coalesce(F.col("doc_id").cast("string"), none), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", none), part(1000), part(100), name)
     files = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     return license_scan(files, notices(spark))
 

@@ -176,3 +176,66 @@ def test_impulse_fit_relaxes_where_nobody_has_enough(spark):
     users = lambda rows: {r.user_id for r in H.impulse_fit(spark.createDataFrame(rows, "user_id long, bin long, x double, treated int")).collect()}
     assert users(few) == {1}
     assert users(few + many) == {4}
+
+
+def test_one_entity_with_many_terms(spark, monkeypatch):
+    """Pairs of an entity in several grains equal those of a plain double loop."""
+    from collections import Counter
+    from itertools import permutations
+
+    from threadloom.operators import graph as G
+
+    monkeypatch.setattr(G, "GRAIN", 7)
+    rows = [("big", f"t{i}") for i in range(60)] + [(f"e{i}", f"t{j}") for i in range(9) for j in range(i, i + 4)] + [("big", "t1"), (None, "t1"), (None, "t2")]
+    want = Counter(p for e in {r[0] for r in rows} - {None} for p in permutations({t for x, t in rows if x == e}, 2))
+    got = {(r.src, r.dst): r.n for r in G.cooccurrence(spark.createDataFrame(rows, "entity string, term string"), 2, most_terms=None).collect()}
+    assert got == {p: n for p, n in want.items() if n >= 2} and got
+
+
+def test_points_in_nested_and_repeated_ranges(spark):
+    import random
+
+    from threadloom.operators.intervals import first_containing
+
+    rng = random.Random(4)
+    ranges = [(rng.randrange(3), a, a + rng.choice([0, 1, 3, 8, 30]), i) for i in range(60) for a in [rng.randrange(50)]]
+    ranges += ranges[:5] + [(0, 0, 100, 99), (0, 0, 100, 98)]
+    points = [(rng.randrange(4), rng.randrange(-2, 60), i % 50) for i in range(300)]
+    want = sorted((k, p, i, min(((a, b, c) for q, a, b, c in ranges if q == k and a <= p < b), default=(0, 0, -1))[2]) for k, p, i in points)
+    found = first_containing(spark.createDataFrame(points, "k int, pos int, id int"), spark.createDataFrame(ranges, "k int, start int, end int, idx int"), "k", ["idx"])
+    assert found.columns == ["k", "pos", "id", "idx"] and sorted((r.k, r.pos, r.id, -1 if r.idx is None else r.idx) for r in found.collect()) == want
+
+
+def test_substrings_meet_by_their_first_characters(spark):
+    from threadloom.operators.lexicon import substring_join
+
+    texts = [(1, "the cat, the car"), (2, "é ab"), (3, ""), (4, "aaab"), (5, None), (1, "the cat, the car")]
+    terms = [("a", 1), ("ab", 2), ("car", 3), ("e ca", 4), ("é", 5), ("", 6), ("the cat, the car!", 7), ("ab", 8)]
+    got = sorted((r.id, r.term, r.n) for r in substring_join(spark.createDataFrame(texts, "id int, low string"), spark.createDataFrame(terms, "term string, n int")).collect())
+    assert got == sorted((i, t, n) for i, x in texts for t, n in terms if t and t in (x or ""))
+
+
+def test_words_are_trimmed_in_one_pass(spark):
+    import re
+
+    from threadloom.functions.text import tokens
+
+    texts = ["(a) 'b.c', [D]!\n\t..x..y..  ''  e;f 1.5.", "", "  ", ".", "don't \"stop\"", "é. Ünder x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tokens("t").alias("w"))
+    want = {i: [w for w in (x.strip(".,;:!?()[]\"'") for x in re.split(r"[ \t\n\x0b\f\r]+", t.lower())) if w] for i, t in enumerate(texts)}
+    assert {r.i: r.w for r in df.collect()} == want
+
+
+def test_metrics_count_the_better(spark):
+    from threadloom.operators.vectors import retrieval_metrics
+
+    scores = [(0, 1, 0.9), (0, 2, 0.9), (0, 3, 0.1), (1, 1, 0.5), (1, 2, 0.7), (2, 9, 0.1)]
+    got = retrieval_metrics(spark.createDataFrame(scores, "query_id int, vec_id int, score double"), spark.createDataFrame([(0, 2), (1, 2), (2, 7)], "query_id int, vec_id int")).first()
+    assert (got.acc_at_1, got.acc_at_5, got.mrr) == (0.5, 1.0, 0.75)
+
+
+def test_all_papers_take_part_without_a_sample(spark):
+    from threadloom.operators.evaluation import scope_neighbours
+
+    rows = [(i, "x", [f"s{i // 2}"]) for i in range(900)]
+    assert scope_neighbours(spark.createDataFrame(rows, "paper_id int, category string, scopes array<string>"), sample=None).count() == 900

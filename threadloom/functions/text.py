@@ -160,8 +160,10 @@ def tokens(x, strip: str = ".,;:!?()[]\"'") -> Column:
     """Lower-cased words split on white space, without the given characters at their ends."""
     import re
 
-    cut = f"^[{re.escape(strip)}]+|[{re.escape(strip)}]+$"
-    return F.filter(F.transform(F.split(F.lower(as_column(x)), r"\s+"), lambda w: F.regexp_replace(w, cut, "")), lambda w: w != "")
+    ends = re.escape(strip)
+    # one pass: a word is what stands between the marks at its ends; white space parts words, the marks don't
+    inner = rf"[^\s{ends}](?:\S*[^\s{ends}])?"
+    return F.regexp_extract_all(F.lower(as_column(x)), F.lit(inner), F.lit(0))
 
 
 def hotword_score(x, hotwords: list[str], weight: float = 2.0) -> Column:

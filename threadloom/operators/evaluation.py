@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from threadloom import fixed_values as V
 from threadloom.functions import text as X
 from threadloom.functions import values as N
+from threadloom.operators.intervals import first_containing
 from threadloom.operators.lexicon import substring_join
 
 
@@ -22,8 +23,7 @@ def ranking_summary(answers: DataFrame) -> DataFrame:
     """One row: threads with an accepted answer, share ranked first, mean scores of accepted and other answers."""
     ranks = accepted_rank(answers).agg(F.count("*").alias("threads"), F.coalesce(F.avg((F.col("rank") == 0).cast("double")), F.lit(0.0)).alias("accuracy"))
     means = answers.agg(F.coalesce(F.avg(F.when(F.col("accepted"), F.col("score"))), F.lit(0.0)).alias("mean_accepted"), F.coalesce(F.avg(F.when(~F.col("accepted"), F.col("score"))), F.lit(0.0)).alias("mean_other"))
-    one = F.lit(1)
-    return ranks.withColumn("_k", one).join(means.withColumn("_k", one), "_k").drop("_k")
+    return ranks.select("*", *[means.select(c).scalar().alias(c) for c in means.columns])
 
 
 def quality_summary(graphs: DataFrame) -> DataFrame:
@@ -196,13 +196,14 @@ def page_patterns(pages: DataFrame, links: DataFrame, patterns: dict = V.CATEGOR
     return total.join(least, "pattern").where("score >= least").select("page_id", "pattern", "score")
 
 
-def scope_neighbours(papers: DataFrame, sample: int = 800, seed: int = 13) -> DataFrame:
+def scope_neighbours(papers: DataFrame, sample: int | None = 800, seed: int = 13) -> DataFrame:
     """paper_id, neighbour, jaccard, same_category: each sampled paper's most similar other by its set of scopes.
 
-    papers: (paper_id, category, scopes array). The sample is the operator: the first papers by hash; a paper meets
+    papers: (paper_id, category, scopes array). The sample is the definition's: the first papers by hash, all with None; a paper meets
     those that share a scope with it, others being at 0."""
     order = F.sha2(F.concat(F.lit(f"{seed}|"), F.col("paper_id").cast("string")).cast("binary"), 256)
-    p = papers.orderBy(order, "paper_id").limit(sample).withColumn("scopes", F.array_distinct("scopes"))
+    p = papers if sample is None else papers.orderBy(order, "paper_id").limit(sample)
+    p = p.withColumn("scopes", F.array_distinct("scopes"))
     one = p.select("paper_id", "category", F.size("scopes").alias("n"), F.explode("scopes").alias("s"))
     other = one.select(F.col("paper_id").alias("neighbour"), F.col("category").alias("c2"), F.col("n").alias("n2"), "s")
     both = one.join(other, "s").where("paper_id <> neighbour").groupBy("paper_id", "category", "n", "neighbour", "c2", "n2").agg(F.count("*").alias("k"))
@@ -237,6 +238,5 @@ def reference_dictionary(pages: DataFrame, links: DataFrame, top: int = 10, typi
 
 def scope_audit(variables: DataFrame, ranges: DataFrame) -> DataFrame:
     """entity_id, variables, scoped, rate: variables (entity_id, pos) inside any range (entity_id, start, end)."""
-    r = ranges.groupBy("entity_id").agg(F.collect_list(F.struct("start", "end")).alias("r"))
-    j = variables.join(r, "entity_id", "left").withColumn("_in", F.coalesce(F.exists("r", lambda x: (F.col("pos") >= x["start"]) & (F.col("pos") < x["end"])), F.lit(False)))
-    return j.groupBy("entity_id").agg(F.count("*").alias("variables"), F.count_if("_in").alias("scoped")).withColumn("rate", N.rate("scoped", "variables"))
+    held = first_containing(variables.select("entity_id", "pos"), ranges.select("entity_id", "start", "end", F.lit(True).alias("_in")), "entity_id", ["_in"])
+    return held.groupBy("entity_id").agg(F.count("*").alias("variables"), F.count("_in").alias("scoped")).withColumn("rate", N.rate("scoped", "variables"))

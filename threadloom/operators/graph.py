@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from threadloom.functions import values as N
 
 
+GRAIN = 1000  # terms of an entity that are paired with all its others in one place
+
+
 def link_graph(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Distinct (src, dst) of links between known pages, by lower-cased name, without loops.
 
@@ -28,25 +31,27 @@ def shared_terms(pages: DataFrame, edges: DataFrame, most: int = 20) -> DataFram
 def cooccurrence(mentions: DataFrame, least: int = 3, most_terms: int | None = 30) -> DataFrame:
     """(src, dst, n) of terms that share at least `least` entities, in both directions.
 
-    mentions: (entity, term). most_terms: of an entity's terms only the first by name take part, as the definition has
+    mentions: (entity, term); those without entity take no part. most_terms: of an entity's terms only the first by name take part, as the definition has
     it; None takes all."""
     m = mentions.select("entity", "term").distinct()
     if most_terms:
         order = Window.partitionBy("entity").orderBy("term")
         m = m.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most_terms).drop("_r")
-    # an entity's terms as one sorted array, paired inside the row: no self join, so no term can make a partition hot
-    packed = m.groupBy("entity").agg(F.array_sort(F.collect_list("term")).alias("t"))
-    pairs = packed.select(F.explode(F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("src"), y.alias("dst")))))).alias("p"))
+    # an entity's terms meet in grains of GRAIN, so that no entity's pairs lie in one task or one row
+    sizes = m.groupBy("entity").agg(F.ceil(F.count("*") / GRAIN).cast("int").alias("grains"))
+    m = m.join(sizes, "entity")
+    left = m.select("entity", F.pmod(F.xxhash64("term"), F.col("grains")).cast("int").alias("grain"), F.col("term").alias("src"))
+    right = m.select("entity", F.explode(F.sequence(F.lit(0), F.col("grains") - 1)).alias("grain"), F.col("term").alias("dst"))
+    pairs = left.join(right, ["entity", "grain"]).where("src < dst").select(F.struct("src", "dst").alias("p"))
     counts = pairs.groupBy("p.src", "p.dst").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return counts.select(F.explode(F.array(F.struct("src", "dst", "n"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))).alias("e")).select("e.*")
 
 
 def term_profiles(mentions: DataFrame, tags: DataFrame, least: int = 5, share: float = 0.25, top: int = 5) -> DataFrame:
     """term, df, tags (the most frequent): terms of at least `least` entities but at most a share of all."""
-    total = mentions.agg(F.countDistinct("entity").alias("total"))
+    total = mentions.agg(F.countDistinct("entity")).scalar()
     df = mentions.groupBy("term").agg(F.countDistinct("entity").alias("df"))
-    one = F.lit(1)
-    kept = df.withColumn("_k", one).join(total.withColumn("_k", one), "_k").where((F.col("df") >= least) & (F.col("df") <= share * F.col("total")))
+    kept = df.where((F.col("df") >= least) & (F.col("df") <= share * total))
     counts = mentions.join(tags, "entity").groupBy("term", "tag").agg(F.countDistinct("entity").alias("n"))
     order = Window.partitionBy("term").orderBy(F.desc("n"), "tag")
     best = counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
@@ -55,9 +60,11 @@ def term_profiles(mentions: DataFrame, tags: DataFrame, least: int = 5, share: f
 
 
 def shared_instances(instances: DataFrame) -> DataFrame:
-    """Distinct (a, b) of patterns that share an instance, each with itself; instances: (pattern, instance)."""
-    i = instances.distinct()
-    return i.select(F.col("pattern").alias("a"), "instance").join(i.select(F.col("pattern").alias("b"), "instance"), "instance").select("a", "b").distinct()
+    """Distinct (a, b) of patterns that share an instance, each with itself; instances: (pattern, instance).
+
+    Patterns are a bank, so an instance's set of them is small, and equal sets count once."""
+    sets = instances.groupBy("instance").agg(F.array_sort(F.collect_set("pattern")).alias("s")).select("s").distinct()
+    return sets.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).distinct()
 
 
 def bridges(entries: DataFrame, objects: DataFrame) -> DataFrame:

@@ -14,13 +14,20 @@ from pyspark.sql.window import Window
 def first_containing(points: DataFrame, ranges: DataFrame, key: str, carry: list[str]) -> DataFrame:
     """points (key, pos, ...) with columns of the first range (by start, then end) that holds them: start <= pos < end.
 
-    ranges: (key, start, end, carry...). Points outside all ranges have nulls."""
-    p = points.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in points.columns else points
-    r = ranges.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.struct(*carry).alias("_c"))
-    hit = p.join(r, (F.col(key) == F.col("_k")) & (F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e")), "left")
-    columns = [c for c in p.columns if c != "_row"]
-    best = hit.groupBy("_row", *columns).agg(F.min(F.when(F.col("_k").isNotNull(), F.struct("_s", "_e", "_c"))).alias("_b"))
-    return best.select(*columns, *[F.col(f"_b._c.{c}").alias(c) for c in carry])
+    ranges: (key, start, end, carry...), in any position to one another. Points outside all ranges have nulls. A range
+    within an earlier one is never the first; the others start and end in one order, so the first of them that ends
+    after a point holds it, or none does: two passes along positions, no pairs of points and ranges."""
+    order = Window.partitionBy(key).orderBy("start", "end", F.struct(*carry))
+    r = ranges.where("start < end").withColumn("_before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    r = r.where(F.col("_before").isNull() | (F.col("end") > F.col("_before")))
+    columns = [c for c in points.columns if c != key]
+    events = points.select(key, F.col("pos").alias("_at"), F.lit(0).alias("_kind"), F.struct(*columns).alias("_p")).unionByName(
+        r.select(key, F.col("end").alias("_at"), F.lit(1).alias("_kind"), F.struct("start", F.struct(*carry).alias("c")).alias("_r")), allowMissingColumns=True
+    )
+    back = Window.partitionBy(key).orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = events.withColumn("_r", F.last("_r", ignorenulls=True).over(back)).where("_kind = 0")
+    inside = F.when(F.col("_r.start") <= F.col("_at"), F.col("_r.c"))
+    return held.select(key, "_p.*", inside.alias("_c")).select(*points.columns, *[F.col(f"_c.{c}").alias(c) for c in carry])
 
 
 def link_types(links: DataFrame, environments: DataFrame, navigation: DataFrame) -> DataFrame:

@@ -34,35 +34,39 @@ def spot(texts: DataFrame, terms: DataFrame, all_words: bool = False) -> DataFra
     low = texts.select("id", F.lower("text").alias("low"))
     words = low.select("id", F.explode(F.array_distinct(X.tokens("low"))).alias("token"))
     singles = words.join(terms.where("first_key IS NULL"), words["token"] == F.col("term_lower")).select("id", "term_lower", "term", "canon")
-    phrases = words.join(terms.where("first_key IS NOT NULL"), words["token"] == F.col("first_key")).select("id", "term_lower", "term", "canon")
-    found = phrases.join(low, "id").where(F.col("low").contains(F.col("term_lower")))
+    phrases = words.join(terms.where("first_key IS NOT NULL"), words["token"] == F.col("first_key"))
+    asked = phrases.groupBy("id").agg(F.collect_set(F.struct("term_lower", "term", "canon")).alias("asked"))  # a text moves once
+    found = asked.join(low, "id").withColumn("asked", F.filter("asked", lambda t: F.contains(F.col("low"), t["term_lower"])))
     if all_words:
-        rest = F.filter(F.split("term_lower", r"\s+"), lambda w: F.length(w) >= 3)
         held = F.regexp_extract_all("low", F.lit(r"[a-z0-9]{3,}"), 0)
-        found = found.where(F.size(F.array_except(rest, held)) == 0)
-    return singles.union(found.select("id", "term_lower", "term", "canon"))
+        found = found.withColumn("_held", held)
+        rest = lambda t: F.filter(F.split(t["term_lower"], r"\s+"), lambda w: F.length(w) >= 3)
+        found = found.withColumn("asked", F.filter("asked", lambda t: F.size(F.array_except(rest(t), F.col("_held"))) == 0))
+    return singles.union(found.select("id", F.inline("asked")))
 
 
 def substring_join(texts: DataFrame, terms: DataFrame, longest: int = 3) -> DataFrame:
     """Columns of texts (low, ...) and terms (term, ...) for each term that a text holds anywhere, inside words too.
 
-    A text that holds a term holds its first characters (`longest` of them, or all), so both sides meet by equality on
-    these, and what met is checked; no text is compared with a term that it can't hold."""
-    held = texts.withColumn("_c", F.split("low", ""))
-    out = None
-    for n in range(1, longest + 1):
-        mine = terms.where(F.length("term") == n if n < longest else F.length("term") >= n).withColumn("_g", F.substring("term", 1, n))
-        grams = F.transform("_c", lambda c, i: F.concat(c, *[F.coalesce(F.get("_c", i + k), F.lit("")) for k in range(1, n)]))  # noqa: B023
-        met = held.withColumn("_g", F.explode(F.array_distinct(grams))).join(mine, "_g").where(F.col("low").contains(F.col("term"))).drop("_g", "_c")
-        out = met if out is None else out.union(met)
-    return out
+    A text that holds a term holds its first characters (`longest` of them, or all). These grams meet without the texts,
+    by hash; then each text moves once, to the terms that it may hold, and is searched for them."""
+    known = terms.select("term").distinct().where("term <> ''")
+    known = known.withColumn("_g", F.substring("term", 1, longest))
+    low = texts.select("low").distinct().withColumn("_h", F.xxhash64("low")).withColumn("_c", F.split("low", ""))
+    at = lambda i, n: F.concat(*[F.coalesce(F.get("_c", i + k), F.lit("")) for k in range(n)])
+    grams = F.concat(*[F.transform("_c", lambda c, i: at(i, n)) for n in range(1, longest + 1)])  # noqa: B023
+    met = low.select("_h", F.explode(F.array_distinct(grams)).alias("_g")).join(known, "_g")
+    asked = met.groupBy("_h").agg(F.collect_set("term").alias("_asked"))
+    keyed = texts.withColumn("_h", F.xxhash64("low")).join(asked, "_h").drop("_h")
+    held = keyed.withColumn("_t", F.explode(F.filter("_asked", lambda t: F.contains(F.col("low"), t)))).drop("_asked")
+    return held.join(terms, F.col("_t") == F.col("term")).drop("_t")
 
 
 def coverage(texts: DataFrame, hits: DataFrame) -> DataFrame:
     """One row: texts, texts with a hit, hits, coverage."""
-    n = texts.agg(F.count("*").alias("texts"))
     h = hits.agg(F.count("*").alias("hits"), F.countDistinct("id").alias("covered"))
-    return n.withColumn("_k", F.lit(1)).join(h.withColumn("_k", F.lit(1)), "_k").drop("_k").withColumn("coverage", N.rate("covered", "texts"))
+    n = texts.agg(F.count("*")).scalar()
+    return h.select(n.alias("texts"), "hits", "covered").withColumn("coverage", N.rate("covered", "texts"))
 
 
 def term_scores(candidates: DataFrame, least_entities: int = 2) -> DataFrame:
@@ -118,12 +122,10 @@ def domain_dictionary(mentions: DataFrame) -> DataFrame:
 
 def pattern_idf(links: DataFrame) -> DataFrame:
     """term, df, idf from links(pattern, term): 1 for terms of one pattern, falling to 0 for those of all."""
-    low = links.select("pattern", F.lower("term").alias("term"))
-    n = low.agg(F.countDistinct("pattern").alias("n"))
-    df = low.groupBy("term").agg(F.countDistinct("pattern").alias("df"))
-    one = F.lit(1)
-    out = df.withColumn("_k", one).join(n.withColumn("_k", one), "_k")
-    return out.select("term", "df", F.greatest(F.lit(0.0), 1 - (F.col("df") - 1) / F.greatest(F.col("n") - 1, one)).alias("idf"))
+    low = links.select("pattern", F.lower("term").alias("term")).distinct()
+    n = links.agg(F.countDistinct("pattern")).scalar()
+    df = low.groupBy("term").agg(F.count("pattern").alias("df"))
+    return df.select("term", "df", F.greatest(F.lit(0.0), 1 - (F.col("df") - 1) / F.greatest(n - 1, F.lit(1))).alias("idf"))
 
 
 def categorical(texts: DataFrame, links: DataFrame, tags: DataFrame, signals: DataFrame, least: float = 3.0) -> DataFrame:

@@ -158,10 +158,12 @@ def normal_edges(edges: DataFrame, source=("source", "from"), target=("target",
 
 def corpus_stats(pairs: DataFrame) -> DataFrame:
     """Counts over answered questions (question_id, answer_id, score, answer_score, tags, latex, accepted)."""
-    return pairs.agg(
-        F.count("*").alias("pairs"), F.size(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("unique_tags"), F.coalesce(F.sum(F.size("latex")), F.lit(0)).alias("latex_fragments"),
+    tags = pairs.select(F.explode("tags").alias("tag")).agg(F.countDistinct("tag")).scalar()
+    out = pairs.agg(
+        F.count("*").alias("pairs"), F.coalesce(F.sum(F.size("latex")), F.lit(0)).alias("latex_fragments"),
         F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"), F.coalesce(F.avg("answer_score"), F.lit(0.0)).alias("avg_answer_score"), F.count_if("accepted").alias("with_accepted"),
     )
+    return out.withColumn("unique_tags", tags).select("pairs", "unique_tags", "latex_fragments", "avg_score", "avg_answer_score", "with_accepted")
 
 
 def tag_entities(df: DataFrame, tags: str = "tags") -> DataFrame:

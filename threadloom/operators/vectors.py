@@ -93,8 +93,7 @@ def mean_cosine(vectors: DataFrame) -> DataFrame:
     unit = vectors.select("vec_id", F.posexplode(normalised("embedding")).alias("i", "x"))
     sums = unit.groupBy("i").agg(F.sum("x").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("m"))
     own = vectors.agg(F.count("*").alias("n"), F.count_if(dot("embedding", "embedding") > 0).alias("u"))
-    one = F.lit(1)
-    both = own.withColumn("_k", one).join(sums.withColumn("_k", one), "_k")
+    both = own.withColumn("m", sums.scalar())
     return both.select("n", N.rate(F.col("m") - F.col("u"), F.col("n") * (F.col("n") - 1)).alias("mean_cosine"))
 
 
@@ -132,8 +131,9 @@ def cross_domain(neighbours: DataFrame, tags: DataFrame, least: float = 0.7, mos
 
 def retrieval_metrics(scores: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: acc_at_1, acc_at_5, mrr of the true partner's rank; scores (query_id, vec_id, score), truth (query_id, vec_id)."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = scores.withColumn("rank", F.row_number().over(order)).join(truth, ["query_id", "vec_id"])
+    partner = scores.join(truth, ["query_id", "vec_id"]).select("query_id", F.col("vec_id").alias("_v"), F.col("score").alias("_s"))
+    better = (F.col("score") > F.col("_s")) | (F.col("score") == F.col("_s")) & (F.col("vec_id") < F.col("_v"))
+    ranked = scores.join(partner, "query_id").groupBy("query_id", "_v").agg((F.count_if(better) + 1).alias("rank"))
     share = lambda k: F.avg((F.col("rank") <= k).cast("double"))
     return ranked.agg(share(1).alias("acc_at_1"), share(5).alias("acc_at_5"), F.avg(1 / F.col("rank")).alias("mrr"))
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir; where that is unset a temporary folder, but only if all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = getattr(spark, "_threadloom_tables", None) or f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
         spark._threadloom_tables = folder
     return folder.rstrip("/")

@@ -138,10 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     size = (hashed.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 4
     if size > MOST_WORDS:
         hashed = hashed.where(F.pmod(F.xxhash64("hashes"), F.lit(1 << 20)) < int((1 << 20) * MOST_WORDS / size))
-    rows = hashed.collect()
     seen: set[tuple[int, int]] = set()
     held: list[tuple[np.ndarray, int]] = []
-    for r in sorted(rows, key=lambda r: (r["hashes"], r["grade"])):
+    for r in hashed.orderBy("hashes", "grade").toLocalIterator():  # partition by partition
         h = np.frombuffer(r["hashes"], np.uint32)
         if not len(h):
             continue
@@ -149,26 +148,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
         if sum(x in seen for x in lows) < 3:
             held.append((h, r["grade"]))
         seen.update(lows)
-    rows.clear()
+    seen.clear()
     if not held:
         return Model({}, [])
     y = np.clip([g for _, g in held], 0, MOST_GRADES - 1).astype(np.int64)
     grades, base = max(2, int(y.max()) + 1), (y > 0).mean()
     if base in (0.0, 1.0):
         return Model({}, [math.inf if base == 0 else -math.inf] + [math.inf] * (grades - 2))
-    flat = np.concatenate([h for h, _ in held])
-    owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h, _ in held])
-    vocabulary, at = np.unique(flat, return_inverse=True)
-    at = at.astype(np.int32)
-    n, k = np.bincount(at), np.bincount(at, weights=(y[owner] > 0)).astype(np.int64)
-    chosen = significant(n, k, float(base))
-    place = np.full(len(vocabulary), -1)
-    place[chosen] = np.arange(len(chosen))
+    vocabulary, n = np.unique(np.concatenate([h for h, _ in held]), return_counts=True)
+    above, k_above = np.unique(np.concatenate([h for h, g in held if g > 0]), return_counts=True)
+    k = np.zeros(len(n), np.int64)
+    k[np.searchsorted(vocabulary, above)] = k_above
+    chosen = vocabulary[significant(n, k, float(base))]
+    del vocabulary, above, n, k, k_above
     x = np.zeros((len(held), len(chosen)))
-    mine = place[at] >= 0
-    x[owner[mine], place[at][mine]] = 1
+    for i, (h, _) in enumerate(held):
+        x[i] = np.isin(chosen, h, assume_unique=True)
     w, t = fit_ordinal(x, y, grades)
-    return Model({int(vocabulary[i]): float(a) for i, a in zip(chosen.tolist(), w, strict=True)}, t.tolist())
+    return Model({h: float(a) for h, a in zip(chosen.tolist(), w, strict=True)}, t.tolist())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

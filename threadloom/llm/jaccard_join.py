@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from threadloom.llm.common import CACHES, apart, hand_back, in_batches, tidied, written
 from threadloom.llm.components import components
 
-CELL, CELL_TOKENS = 4096, 4_000_000  # sets of a group that are searched at once, and their tokens (8 bytes each)
+CELL, CELL_TOKENS = 2048, 4_000_000  # sets of a group that are searched at once, and their tokens (8 bytes each)
 BUCKET, BUCKET_TOKENS = 512, 500_000  # of small groups that share a cell
 FEW, KEPT = 8, 256  # sets that are met one by one; searches whose answers are kept
 BROADCAST_KEYS = 2_000_000  # of 8 bytes, beyond which keys are joined by shuffle

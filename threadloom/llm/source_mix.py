@@ -7,9 +7,11 @@ slots of a source are numbered through the shards, and a slot's block is that nu
 permutation of the source's block numbers, one for each round. Slots then join the blocks by index. The last slot of a
 source is cut to what its target leaves. A block thus serves at most ceil(target / size) times.
 
-What the driver holds: a row for each source, and one for each source and shard (4,096 shards at most).
-Null or empty texts have size 0 and give nothing; null sources are a source of their own; doc_id may be null or repeat,
-each row is packed on its own and equal rows are interchangeable; other columns take no part; an empty table mixes to none.
+What the driver holds: a row for each source, and one for each source and shard, MOST_CELLS together at most.
+Null or empty texts have size 0 and give nothing, very long ones span as many blocks as it takes; null sources are a
+source of their own; doc_id may be null or repeat, each row is packed on its own and equal rows are interchangeable, as
+are rows of one hash; other columns are carried along, those named source_size, target or taken are replaced; an empty
+table mixes to none.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql.window import Window
 
 from threadloom.llm.common import WORD, in_batches, offsets, small_table, tidied, written
 
-BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 512, 4096, 4096, 1024
+BLOCK, SHARD_SLOTS, BUCKET_ROWS = 512, 4096, 64
+MOST_CELLS = 4_000_000  # of the matrix of shards and sources that the driver draws; beyond, shards have more slots
 
 
 def targets(sizes: list[int], weights: list[float], total: float, limit: float) -> list[float]:
@@ -97,73 +100,75 @@ def _slots(block: int):
                     words[cut] = rest % block
                     n = len(i)
                     cols = [pa.array([run["shard"]] * n, pa.int32()), pa.array(i), pa.array(turn.astype(np.int32)), pa.array([run["key"]] * n, pa.string()), pa.array(blocks), pa.array(words)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["shard", "number", "turn", "key", "block", "words"])
+                    yield pa.RecordBatch.from_arrays(cols, names=["shard", "number", "turn", "_tl_key", "_tl_block", "words"])
 
     return make
 
 
 class Mix:
-    """A mix of docs(doc_id, source, size, and whatever else) by sources; columns of the names below are replaced.
+    """A mix of docs(doc_id, source, size, and whatever else) by sources.
 
-    documents: the rows with key, bucket and rn (which together name a row), start (in the source's stream),
-    source_size, target. slots: shard, number, turn, key, block, words: the blocks that each shard takes.
+    documents: the rows with _tl_key, _tl_bucket and _tl_rn (which together name a row), _tl_start (in the source's
+    stream), source_size, target. slots: shard, number, turn, _tl_key, _tl_block, words: the blocks that each shard takes.
     """
 
     def __init__(self, docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = BLOCK, seed: int = 4):
-        docs = docs.drop("key", "bucket", "rn", "start", "source_size", "target", "taken", "block", "_h", "_start", "_before")
+        docs = docs.drop("source_size", "target", "taken")  # replaced
         spark, self.block = docs.sparkSession, block
-        held = docs.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_h", F.xxhash64(F.lit(seed), *docs.columns))
-        stats = held.groupBy("source", "key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
+        held = docs.withColumn("_tl_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_tl_h", F.xxhash64(F.lit(seed), *docs.columns))
+        stats = held.groupBy("source", "_tl_key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
         stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-        sizes, rows = [r["size"] for r in stats], sum(r["n"] for r in stats)
+        sizes = [r["size"] for r in stats]
         goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), limit)
         self.stats = {r["source"]: (r["size"], goal) for r, goal in zip(stats, goals, strict=True)}
         takes = [min(int(goal + 0.5), int(limit * size)) for goal, size in zip(goals, sizes, strict=True)]
         slots = [(take // size) * -(-size // block) + -(-(take % size) // block) if size else 0 for take, size in zip(takes, sizes, strict=True)]
-        per_shard = max(SHARD_SLOTS, -(-sum(slots) // MOST_SHARDS))
+        per_shard = max(SHARD_SLOTS, -(-sum(slots) * max(1, len(slots)) // MOST_CELLS))
         runs, first = [], [0] * len(slots)
         for shard, row in enumerate(shard_counts(slots, per_shard, seed)):
             for s, n in enumerate(row):
                 if n:
-                    runs.append((shard, stats[s]["key"], seed + 104729 * s, sizes[s], takes[s], first[s], first[s] + n))
+                    runs.append((shard, stats[s]["_tl_key"], seed + 104729 * s, sizes[s], takes[s], first[s], first[s] + n))
                     first[s] += n
         runs = small_table(spark, runs, "shard int, key string, seed long, size long, take long, first long, last long")
-        self.slots = runs.mapInArrow(tidied(_slots(block)), "shard int, number long, turn int, key string, block long, words long")
-        # every document's place in its source's stream, summed by bucket first
-        buckets = max(1, -(-rows // BUCKET_ROWS))
-        held = held.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.lit(buckets)))
-        starts = offsets(held.groupBy("key", "bucket").agg(F.sum("size").alias("n")), "bucket", "n", ["key"])
-        inside = Window.partitionBy("key", "bucket").orderBy("_h", "size")
+        self.slots = runs.mapInArrow(tidied(_slots(block)), "shard int, number long, turn int, _tl_key string, _tl_block long, words long")
+        # every document's place in its source's stream, summed by bucket first; buckets of all sources are alike in rows
+        known = [(r["_tl_key"], size, float(goal), max(1, -(-r["n"] // BUCKET_ROWS))) for r, size, goal in zip(stats, sizes, goals, strict=True)]
+        held = held.join(small_table(spark, known, "_tl_key string, source_size long, target double, _tl_buckets long"), "_tl_key")
+        held = held.withColumn("_tl_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_tl_h"), F.col("_tl_buckets"))).drop("_tl_buckets")
+        starts = offsets(held.groupBy("_tl_key", "_tl_bucket").agg(F.sum("size").alias("n")), "_tl_bucket", "n", ["_tl_key"])
+        inside = Window.partitionBy("_tl_key", "_tl_bucket").orderBy("_tl_h", "size")
         before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        held = held.withColumn("rn", F.row_number().over(inside)).withColumn("_before", before)
-        held = held.join(starts.select("key", "bucket", F.col("before").alias("_start")), ["key", "bucket"])
-        known = small_table(spark, [(r["key"], size, float(goal)) for r, size, goal in zip(stats, sizes, goals, strict=True)], "key string, source_size long, target double")
-        self.documents = held.withColumn("start", F.col("_start") + F.col("_before")).drop("_start", "_before").join(known, "key")
+        held = held.withColumn("_tl_rn", F.row_number().over(inside)).withColumn("_tl_before", before)
+        held = held.join(starts.select("_tl_key", "_tl_bucket", F.col("before").alias("_tl_first")).hint("merge"), ["_tl_key", "_tl_bucket"])
+        self.documents = held.withColumn("_tl_start", F.col("_tl_first") + F.col("_tl_before")).drop("_tl_first", "_tl_before", "_tl_h")
 
     def pieces(self, *columns: str) -> DataFrame:
-        """Each document's words block by block: columns, key, block, lo and hi (words in the block), word (its first).
-        Documents without words have one row, with null block."""
-        last = F.floor((F.col("start") + F.col("size") - 1) / self.block)
-        blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / self.block), last))
-        out = self.documents.withColumn("block", F.explode_outer(blocks))
-        at = F.col("block") * self.block
-        lo, hi = F.greatest(F.col("start"), at), F.least(F.col("start") + F.col("size"), at + self.block)
-        return out.select(*columns, "key", "block", (lo - at).alias("lo"), (hi - at).alias("hi"), (lo - F.col("start")).alias("word"))
+        """Each document's words block by block: columns, _tl_key, _tl_block, _tl_lo and _tl_hi (words in the block),
+        _tl_word (its first). Documents without words have one row, with null block."""
+        start, end = F.col("_tl_start"), F.col("_tl_start") + F.col("size")
+        blocks = F.when(F.col("size") > 0, F.sequence(F.floor(start / self.block), F.floor((end - 1) / self.block)))
+        out = self.documents.withColumn("_tl_block", F.explode_outer(blocks))
+        at = F.col("_tl_block") * self.block
+        lo, hi = F.greatest(start, at), F.least(end, at + self.block)
+        return out.select(*columns, "_tl_key", "_tl_block", (lo - at).alias("_tl_lo"), (hi - at).alias("_tl_hi"), (lo - start).alias("_tl_word"))
 
     def spans(self, *columns: str) -> DataFrame:
         """What the mix takes, shard by shard: columns, shard, number and turn of the slot, words first to last - 1 of
         the document."""
-        taken = self.pieces(*columns).where("block IS NOT NULL").join(self.slots, ["key", "block"]).where("lo < words")
-        return taken.select(*columns, "shard", "number", "turn", F.col("word").alias("first"), (F.col("word") + F.least("hi", "words") - F.col("lo")).alias("last"))
+        # slots come out of a small table that grows in a function, so their size must not be guessed from it
+        taken = self.pieces(*columns).where("_tl_block IS NOT NULL").join(self.slots.hint("merge"), ["_tl_key", "_tl_block"]).where("_tl_lo < words")
+        return taken.select(*columns, "shard", "number", "turn", F.col("_tl_word").alias("first"), (F.col("_tl_word") + F.least("_tl_hi", "words") - F.col("_tl_lo")).alias("last"))
 
     def taken(self, *columns: str) -> DataFrame:
         """columns and taken (words the mix takes, repeats counted) of every document; slots join blocks by index."""
-        uses = self.slots.groupBy("key", "block").agg(F.sum(F.when(F.col("words") >= self.block, 1).otherwise(0)).alias("whole"), F.collect_list(F.when(F.col("words") < self.block, F.col("words"))).alias("cuts"))
-        row = ["key", "bucket", "rn"]
-        pieces = self.pieces(*columns, "bucket", "rn").alias("p").join(uses.alias("u"), ["key", "block"], "left")
-        cut = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0), F.least(F.col("hi"), w) - F.col("lo")))
-        words = F.coalesce(F.col("whole") * (F.col("hi") - F.col("lo")) + cut, F.lit(0))
-        return pieces.groupBy(*row, *columns).agg(F.sum(words).alias("taken")).select(*columns, "taken")
+        whole = F.sum(F.when(F.col("words") >= self.block, 1).otherwise(0))
+        uses = self.slots.groupBy("_tl_key", "_tl_block").agg(whole.alias("_tl_whole"), F.collect_list(F.when(F.col("words") < self.block, F.col("words"))).alias("_tl_cuts"))  # a cut a turn at most
+        row = ["_tl_key", "_tl_bucket", "_tl_rn"]
+        pieces = self.pieces(*columns, "_tl_bucket", "_tl_rn").join(uses.hint("merge"), ["_tl_key", "_tl_block"], "left")
+        wide = F.col("_tl_hi") - F.col("_tl_lo")
+        cut = F.aggregate("_tl_cuts", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0), F.least(F.col("_tl_hi"), w) - F.col("_tl_lo")))
+        return pieces.groupBy(*row, *columns).agg(F.sum(F.coalesce(F.col("_tl_whole") * wide + cut, F.lit(0))).alias("taken")).select(*columns, "taken")
 
 
 def word_count(text) -> F.Column:

@@ -1075,3 +1075,6 @@ def formula_records(spark, sf):
     """s-expressions of formulas held in a table."""
     d = spark.createDataFrame([(r"X(\gamma):=\mathrm{id}_{X(v)}",), (r"\frac{a}{b}",), (r"a \leq b",), ("",)], "latex string")
     return d.select("latex", to_sexp("latex").alias("sexp"))
+
+
+from threadloom import file_queries as _files  # noqa: E402,F401  registers the queries of sources, sinks and stages

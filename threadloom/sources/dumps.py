@@ -14,7 +14,14 @@ HISTORY = "_Id long, _PostHistoryTypeId string, _UserId string, _PostId string,
 
 
 def xml_rows(spark: SparkSession, path: str, schema: str, tag: str = "row") -> DataFrame:
-    """Attributes of `<row .../>` elements; the file is split across tasks."""
+    """Attributes of `<row .../>` elements, one a line as dumps have them, so that one large file is split across tasks;
+    lines without such an element go."""
+    lines = spark.read.text(path).where(F.ltrim("value").startswith(f"<{tag} "))
+    return lines.select(F.from_xml(F.trim("value"), schema, {"rowTag": tag}).alias("r")).select("r.*")
+
+
+def xml_elements(spark: SparkSession, path: str, schema: str, tag: str) -> DataFrame:
+    """Elements that may span lines, of files that are each read as a whole."""
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
 
@@ -95,5 +102,5 @@ def single_terms(kernel: DataFrame) -> DataFrame:
 def atom_entries(spark: SparkSession, path: str) -> DataFrame:
     """(id without version, title, abstract, categories, date) of saved feed pages."""
     schema = "id string, title string, summary string, published string, category array<struct<_term:string>>"
-    e = xml_rows(spark, path, schema, "entry")
+    e = xml_elements(spark, path, schema, "entry")
     return e.select(F.regexp_replace(F.regexp_extract("id", r"abs/(.+)$", 1), r"v\d+$", "").alias("id"), X.collapse("title").alias("title"), X.collapse("summary").alias("abstract"), F.transform("category", lambda c: c["_term"]).alias("categories"), F.substring("published", 1, 10).alias("date"))

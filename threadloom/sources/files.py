@@ -16,7 +16,7 @@ from threadloom.functions import text as X
 
 def whole_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, text) of files, whole."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def tex_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +35,7 @@ def sharded_pages(spark: SparkSession, path: str) -> DataFrame:
     files = whole_texts(spark, path)
     part = lambda n: F.get(F.reverse(F.split("path", "/")), n)
     f = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), part(0).alias("file"), part(1).alias("page_id"), "text")
-    names = f.where("file = 'name'").select("dir", "page_id", F.trim("text").alias("name"))
+    names = f.where("file = 'name'").select("dir", "page_id", F.regexp_replace("text", r"^\s+|\s+$", "").alias("name"))
     return names.join(f.where("file = 'content.md'").select("dir", F.col("text").alias("content")), "dir").select("page_id", "name", "content")
 
 

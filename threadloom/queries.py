@@ -1077,4 +1077,6 @@ def formula_records(spark, sf):
     return d.select("latex", to_sexp("latex").alias("sexp"))
 
 
-from threadloom import file_queries as _files  # noqa: E402,F401  registers the queries of sources, sinks and stages
+# the other modules of queries register theirs here
+from threadloom import file_queries as _files  # noqa: E402,F401
+from threadloom import text_queries as _texts  # noqa: E402,F401

@@ -170,7 +170,9 @@ def tag_entities(df: DataFrame, tags: str = "tags") -> DataFrame:
     return df.select(F.explode(tags).alias("name")).where("name <> ''").distinct().select(F.concat(F.lit("tag-"), "name").alias("entity_id"), "name")
 
 
+#: Kinds of prompts; responses come back by `values.json_part` and `number_list`, and join by entity.
 PROMPTS = {
+    "morphogenesis": "Question: %s\nAnswer: %s\nFrom which simpler questions could this answer have grown? Reply with a JSON object with the keys seeds, steps and result.",
     "pattern": "Title: %s\nQuestion: %s\nAnswer: %s\nWhich of the listed reasoning patterns does the answer use? Reply with a list of numbers.",
     "performative": "Source (%s): %s\nTarget (%s): %s\nWhich speech act links the source to the target? Reply with a JSON object.",
 }

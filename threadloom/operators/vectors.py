@@ -185,6 +185,20 @@ def augmented(nodes: DataFrame, edges: DataFrame, node_drop: float = 0.1, edge_d
     return kept, e
 
 
+def collated(nodes: DataFrame, edges: DataFrame, graphs_per_batch: int = 64) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges with batch, and their places in it: graphs of a batch follow one another, so a node's index is its
+    place in its graph behind all graphs before. graph_id and node stay the keys; indices are for dense libraries alone."""
+    sizes = nodes.groupBy("graph_id").agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.ceil(F.count("*") / graphs_per_batch)).scalar()
+    sizes = sizes.withColumn("batch", F.pmod(F.xxhash64("graph_id"), F.greatest(total, F.lit(1))))
+    before = Window.partitionBy("batch").orderBy("graph_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("graph_id").orderBy("node")
+    placed = nodes.join(sizes, "graph_id").withColumn("index", F.col("_before") + F.row_number().over(inside) - 1).drop("_before")
+    at = lambda end: placed.select("graph_id", F.col("node").alias(end), F.col("index").alias(f"{end}_index"))
+    return placed, edges.join(at("src"), ["graph_id", "src"]).join(at("dst"), ["graph_id", "dst"])
+
+
 def message_pass(states: DataFrame, edges: DataFrame, weights: dict[str, list[list[float]]], own: list[list[float]], bias: list[float]) -> DataFrame:
     """One relational layer: relu(sum over in-edges of W_relation h / in-degree + W_own h + bias).
 

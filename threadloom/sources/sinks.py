@@ -87,3 +87,11 @@ def prompt_lines(prompts: DataFrame, path: str) -> None:
 
 def stage_manifest(stats: dict) -> str:
     return json.dumps(stats, sort_keys=True)
+
+
+def graph_cache(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Feature and edge tables of graphs, kept under a path and read from there if they are there already."""
+    from threadloom.plans.stages import run_stages
+
+    kept = run_stages(nodes.sparkSession, path, [("nodes", lambda _: nodes), ("edges", lambda _: edges)])
+    return kept["nodes"], kept["edges"]

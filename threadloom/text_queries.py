@@ -13,6 +13,7 @@ from threadloom.functions import spans as S
 from threadloom.functions import text as X
 from threadloom.functions import values as N
 from threadloom.functions.latex import to_sexp
+from threadloom.operators import entries as A
 from threadloom.operators import graph as G
 from threadloom.operators import hypergraph as Y
 from threadloom.operators import intervals as I
@@ -500,3 +501,110 @@ def edge_types_by_node(spark, sf):
     e = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.col("l_returnflag").alias("edge_type"))
     m = G.edge_type_counts(e, ["source"])
     return m.select("source", F.transform(F.array_sort(F.map_entries("edge_types")), lambda x: x["value"]).alias("counts"))
+
+
+# entries and proofs ----------------------------------------------------------------------------------------------------
+
+
+def whole_entries(spark, sf) -> DataFrame:
+    p, none = table(spark, sf, "part"), F.array().cast("array<string>")
+    kind = F.col("p_size") % 3
+    body = F.concat(F.lit("Let $V$ be a set. Let $x$ denote "), "p_type", F.lit(". A $\\mathcal{"), F.element_at(F.split("p_name", " "), 1), F.lit("}$ or $b \\to c$ or $b \\to c$ is called \\emph{"), "p_name", F.lit("}. \\qed"))
+    return p.select(
+        F.col("p_partkey").alias("entity_id"), F.when(kind < 2, F.col("p_type")).otherwise("").alias("title"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"),
+        F.when(kind == 0, F.array("p_name")).otherwise(none).alias("defines"), F.when(kind < 2, F.array(F.upper("p_name"), F.lit("other"))).otherwise(none).alias("related"), body.alias("body"),
+    )
+
+
+@query("SELECT p_partkey AS entity_id, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE 'n' || p_partkey END AS term, CASE p_size % 3 WHEN 0 THEN 'pmdefines' WHEN 1 THEN 'pmtitle' ELSE 'pmcanonicalname' END AS source, CAST(2 AS INT) AS arity FROM part")
+def defined_concepts(spark, sf):
+    """The defined term by precedence, and its arity."""
+    return A.defined_concept(whole_entries(spark, sf))
+
+
+@query("""SELECT p_partkey AS entity_id, t AS type, m AS match, CAST(a AS INT) AS position FROM (SELECT *, length('Let $V$ be a set. Let $x$ denote ' || p_type || '. A $\\mathcal{' || string_split(p_name, ' ')[1] || '}$ or $b \\to c$ or $b \\to c$ ') AS a0, 'is called \\emph{' || p_name || '}' AS c FROM part),
+LATERAL (VALUES ('conclude/call', c, a0), ('conclude/qed', '\\qed', a0 + length(c) + 2)) v(t, m, a)""")
+def conclusion_places(spark, sf):
+    """Where an entry concludes."""
+    return A.conclude_positions(whole_entries(spark, sf))
+
+
+@query("""SELECT p_partkey AS entity_id, term, CAST(n AS BIGINT) AS n, CAST(rank AS INT) AS rank FROM part, LATERAL (VALUES ('b  ->  c', 2, 1), (string_split(p_name, ' ')[1], 1, 2)) v(term, n, rank)""")
+def entry_domains(spark, sf):
+    """What the formulas of an entry are about."""
+    return A.domain_terms(whole_entries(spark, sf))
+
+
+@query("""SELECT p_partkey AS entity_id, term, CAST(n AS BIGINT) AS n, k = 1 AS in_related, CASE k WHEN 1 THEN lower(p_name) ELSE '' END AS matches FROM part, LATERAL (VALUES ('b  ->  c', 2, 0), (string_split(p_name, ' ')[1], 1, 1)) v(term, n, k) WHERE p_size % 3 < 2""")
+def entry_coherence(spark, sf):
+    """Whether what is central to an entry appears in what it is related to."""
+    return A.coherence(whole_entries(spark, sf)).select("entity_id", "term", "n", "in_related", F.array_join("matches", ",").alias("matches"))
+
+
+@query("""SELECT p_partkey AS node_id, t AS hx_type, m AS match, CAST(length(p_type) + p AS INT) AS position FROM part, (VALUES ('constrain/such-that', 'WLOG', 1), ('wire/clarifying', ':', 11), ('wire/consequential', 'thus', 6), ('wire/consequential', 'thus', 6), ('wire/tentative', '[PENDING]', 13), ('wire/consequential', 'QED', 23), ('assume/explicit', 'Suppose $y$', 27)) v(t, m, p)""")
+def proof_discourse(spark, sf):
+    """scopes, connectives, marks of proofs and the first colon."""
+    d = parts(spark, sf, "p_type", " WLOG thus : [PENDING] QED Suppose $y$.").select(F.col("id").alias("node_id"), "text")
+    return A.proof_discourse(d)
+
+
+@query("""WITH l AS (SELECT DISTINCT p_type AS pattern, lower(p_brand) AS term, 'required' AS kind FROM part WHERE p_size < 10 UNION SELECT DISTINCT p_type, lower(w), 'typical' FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size = 20)),
+s AS (SELECT p_partkey AS id, pattern, CAST(sum(CASE kind WHEN 'required' THEN 2 ELSE 1 END) AS BIGINT) AS score FROM part JOIN l ON contains(lower(p_brand || ' ' || p_name), term) GROUP BY 1, 2)
+SELECT id, pattern, score, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, pattern) AS INT) AS rank FROM s QUALIFY rank <= 3""")
+def pattern_relevance(spark, sf):
+    """The three patterns most relevant to a question, by links that it holds."""
+    p = table(spark, sf, "part")
+    links = p.where("p_size < 10").select(F.col("p_type").alias("pattern"), F.lower("p_brand").alias("term"), F.lit("required").alias("kind")).union(p.where("p_size = 20").select("p_type", F.explode(F.split(F.lower("p_name"), " ")), F.lit("typical")))
+    return A.relevant_patterns(p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_name").alias("text")), links)
+
+
+@query("SELECT p_partkey AS entity_id, CASE WHEN p_partkey % 3 = 0 THEN p_type || ',again' WHEN p_partkey % 3 = 1 THEN p_type ELSE '' END AS terms FROM part")
+def stage_payloads(spark, sf):
+    """A stage's lists by entity, empty where missing, the last of repeated ones."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("entity_id"), "p_type", "p_partkey")
+    stage = p.where("p_partkey % 3 < 2").select("entity_id", F.lit(0).alias("seq"), F.array("p_type").alias("terms")).union(p.where("p_partkey % 3 = 0").select("entity_id", F.lit(1), F.array("p_type", F.lit("again")))).union(p.limit(1).select(F.lit(""), F.lit(9), F.array(F.lit("x"))))
+    out = A.payloads(p.select("entity_id"), stage, "terms")
+    return out.select(F.col("entity_id").cast("long").alias("entity_id"), F.array_join("terms", ",").alias("terms"))
+
+
+@query("SELECT o_orderkey AS thread_id, o_orderstatus AS status, 'w' || o_orderkey AS wiring FROM orders WHERE o_orderkey % 3 = 0")
+def threads_with_wiring(spark, sf):
+    """Threads with their wirings, whose ids have a letter before the number."""
+    o = table(spark, sf, "orders")
+    w = o.where("o_orderkey % 3 = 0").select(F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("thread_id"), F.concat(F.lit("w"), F.col("o_orderkey").cast("string")).alias("wiring"))
+    return A.wired_threads(o.select(F.col("o_orderkey").alias("thread_id"), F.col("o_orderstatus").alias("status")), w.union(w.limit(1).select(F.lit("odd"), "wiring")))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS t, CASE l_returnflag WHEN 'R' THEN 'assert' WHEN 'A' THEN 'clarify' ELSE 'query' END AS act FROM lineitem), g AS (SELECT l_orderkey AS t, count(DISTINCT l_suppkey) AS nodes, count(*) AS edges, count(*) FILTER (l_quantity > 25) AS cat, count(*) FILTER (l_quantity > 40) AS dia FROM lineitem GROUP BY 1)
+SELECT (SELECT count(*) FROM g) AS threads, (SELECT CAST(sum(nodes) AS BIGINT) FROM g) AS n_nodes, (SELECT CAST(sum(edges) AS BIGINT) FROM g) AS n_edges, (SELECT CAST(sum(cat) AS BIGINT) FROM g) AS n_categorical, (SELECT CAST(sum(dia) AS BIGINT) FROM g) AS n_diagrams,
+(SELECT count(*) FROM e WHERE act = 'query') AS classical, (SELECT count(*) FROM e WHERE act <> 'query') AS structural, (SELECT count(*) FILTER (act = 'query') / count(*) FROM e) AS classical_rate, 3::BIGINT AS unique_acts""")
+def wiring_totals(spark, sf):
+    """Totals of wired threads."""
+    li = table(spark, sf, "lineitem")
+    act = F.when(F.col("l_returnflag") == "R", "assert").when(F.col("l_returnflag") == "A", "clarify").otherwise("query")
+    g = li.groupBy(F.col("l_orderkey").alias("thread_id")).agg(F.countDistinct("l_suppkey").alias("n_nodes"), F.count("*").alias("n_edges"), F.count_if(F.col("l_quantity") > 25).alias("n_categorical"), F.count_if(F.col("l_quantity") > 40).alias("n_diagrams"), F.lit(0).alias("n_port_matches"))
+    return A.wiring_totals(g, li.select(F.col("l_orderkey").alias("thread_id"), act.alias("act"))).drop("n_port_matches")
+
+
+@query("SELECT 'p' || p_partkey AS entity_id, 'Question: ' || p_name || chr(10) || 'Answer: ' || left(p_type, 3) || chr(10) || 'From which simpler questions could this answer have grown? Reply with a JSON object with the keys seeds, steps and result.' AS prompt, CASE WHEN p_size % 2 = 0 THEN '{\"seeds\": ' || p_size || '}' END AS answer FROM part")
+def morphogenesis_prompts(spark, sf):
+    """Prompts for a model outside, and the objects out of its responses."""
+    p = table(spark, sf, "part")
+    made = T.prompts(p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("entity_id"), "p_name", "p_type", "p_size"), "morphogenesis", ("p_name", 100), ("p_type", 3))
+    said = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('Sure: {"seeds": '), F.col("p_size").cast("string"), F.lit("} done"))).otherwise("none")
+    return made.select("entity_id", "prompt", N.json_part(said).alias("answer"))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT b AS graph_id, 2 * count(*) + count(DISTINCT t) AS n, true AS gapless, 4 * count(*) AS n_ends, true AS joined FROM p GROUP BY 1")
+def collated_graphs(spark, sf):
+    """Feature tables kept, and graphs of a batch behind one another."""
+    from threadloom.file_queries import place
+    from threadloom.sources import sinks
+
+    nodes, edges = sinks.graph_cache(*V.graph_features(*small_graphs(spark, sf), ["post", "term", "expression", "scope"]), place(spark, "graphs"))
+    n, e = V.collated(nodes, edges, 8)
+    whole = n.groupBy("batch").agg((F.max("index") + 1 == F.countDistinct("index")).alias("gapless"), (F.min("index") == 0).alias("z"))
+    spans = n.groupBy("graph_id", "batch").agg(F.count("*").alias("n"), F.min("index").alias("lo"), F.max("index").alias("hi"))
+    ends = e.groupBy("graph_id").agg(F.count("*").alias("n_ends"), F.min(F.least("src_index", "dst_index")).alias("a"), F.max(F.greatest("src_index", "dst_index")).alias("z"))
+    j = spans.join(whole.select("batch", (F.col("gapless") & F.col("z")).alias("gapless")), "batch").join(ends, "graph_id")
+    return j.select("graph_id", "n", (F.col("gapless") & (F.col("hi") - F.col("lo") + 1 == F.col("n"))).alias("gapless"), "n_ends", ((F.col("a") >= F.col("lo")) & (F.col("z") <= F.col("hi"))).alias("joined"))

@@ -5,7 +5,10 @@ A query's scores grow dimension block by dimension block, dimensions of much que
 mass that query and candidate have left bounds what a score can still become (Cauchy-Schwarz); candidates whose
 upper bound is below the k-th best lower bound go, and the survivors are compacted. Ties survive, so results are exact.
 
-Queries meet candidate blocks by block number: each pair (candidate block, query block) is one row on either side.
+Queries meet candidate blocks by block number: each pair (candidate block, query block) is one row on either side. Every
+pair of a query and a candidate must be bounded somewhere, so n candidates and m queries in blocks of b move 2 n m / b
+vectors, two bytes a component where these are small; b is as large as a task can hold (65,536 vectors of 64 components:
+8 MB small, 32 MB else).
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows without id; vectors of other
 lengths than the query's aren't its candidates. Equal rows count once; where an id repeats with other vectors, its best
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 4096, 65536, 16384
+LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 4096, 65536, 65536
 DIMENSIONS = 8  # in a block of dimensions
 BATCH = 64  # queries whose first block of dimensions is accumulated at once
 

@@ -6,8 +6,10 @@ bin is its minimum. Empty bins are filled by optimal densification: each takes t
 random order of its own, the same for all documents. Of each bin, hashed with its number, the low-order bits are kept,
 packed sixteen bins of four bits to a long; likeness corrects the share of equal bins for chance.
 
-Null texts count as empty; texts without words have the empty fingerprint, alike to one another (1) and to nothing else
-(0). Equal texts have equal fingerprints. Other columns are carried along; rows are fingerprinted one by one.
+Null texts count as empty, very long ones count whole; there are no ties but of equal hashes, which are one; texts without
+words have the empty fingerprint, alike to one another (1) and to nothing else
+(0). Equal texts have equal fingerprints. Other columns are carried along, whatever their names; rows are fingerprinted one
+by one, repeated ones alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from threadloom.llm.common import BLANKS, written
 SHINGLE, BINS, BITS, PROBES = 5, 256, 4, 12
 _PER_LONG = 64 // BITS
 RUN = 4000  # ids in a sorted run
+GRAINS = 64  # among which rows without id are dealt
 
 
 def _lower(text: Column) -> Column:
@@ -49,26 +52,26 @@ def _bin(h: Column) -> Column:
 def fingerprint(df: DataFrame, text: str = "text", to: str = "fingerprint") -> DataFrame:
     """df with the fingerprint as an array of longs (empty for texts without words), each step computed once for a row."""
     low = F.lit((1 << BITS) - 1)
-    out = df.withColumn("_w", word_hashes(F.col(text)))
-    out = out.withColumn("_s", shingle_hashes(F.col("_w"))).drop("_w")
-    out = out.withColumn("_m", F.filter("_s", lambda h, i: (i == 0) | (_bin(h) != _bin(F.get("_s", i - 1))))).drop("_s")
-    out = out.withColumn("_k", F.transform("_m", _bin))
-    out = out.withColumn("_d", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get("_m", (F.array_position("_k", i) - 1).cast("int"))))
+    out = df.withColumn("_tl_w", word_hashes(F.col(text)))
+    out = out.withColumn("_tl_s", shingle_hashes(F.col("_tl_w"))).drop("_tl_w")
+    out = out.withColumn("_tl_m", F.filter("_tl_s", lambda h, i: (i == 0) | (_bin(h) != _bin(F.get("_tl_s", i - 1))))).drop("_tl_s")
+    out = out.withColumn("_tl_k", F.transform("_tl_m", _bin))
+    out = out.withColumn("_tl_d", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get("_tl_m", (F.array_position("_tl_k", i) - 1).cast("int"))))
 
     def borrowed(i: Column) -> Column:  # beyond the probes: the filled bin of least hash
-        return F.get(F.array_min(F.transform("_k", lambda k: F.array(F.xxhash64(i, F.lit(-1), k), F.get("_d", k)))), 1)
+        return F.get(F.array_min(F.transform("_tl_k", lambda k: F.array(F.xxhash64(i, F.lit(-1), k), F.get("_tl_d", k)))), 1)
 
     def value(i: Column) -> Column:
-        probes = [F.get("_d", F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(PROBES)]
+        probes = [F.get("_tl_d", F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(PROBES)]
         # hashed with the bin, so that two values that many bins hold don't agree by chance in all of them
-        return F.xxhash64(i, F.coalesce(F.get("_d", i), *probes, borrowed(i))).bitwiseAND(low)
+        return F.xxhash64(i, F.coalesce(F.get("_tl_d", i), *probes, borrowed(i))).bitwiseAND(low)
 
-    out = out.withColumn("_f", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value))
+    out = out.withColumn("_tl_f", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value))
     longs = F.array(*[
-        F.aggregate(F.slice("_f", j * _PER_LONG + 1, _PER_LONG), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, BITS).bitwiseOR(v))
+        F.aggregate(F.slice("_tl_f", j * _PER_LONG + 1, _PER_LONG), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, BITS).bitwiseOR(v))
         for j in range(BINS // _PER_LONG)
     ])
-    return out.withColumn(to, F.when(F.size("_m") > 0, longs).otherwise(F.array().cast("array<bigint>"))).drop("_m", "_k", "_d", "_f")
+    return out.withColumn(to, F.when(F.size("_tl_m") > 0, longs).otherwise(F.array().cast("array<bigint>"))).drop("_tl_m", "_tl_k", "_tl_d", "_tl_f")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -100,12 +103,16 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
     base = base.withColumn("quarter", F.floor(F.col("n_chars") / 4).cast("int")).withColumn("k", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
     following = _following(base.groupBy("doc_id").agg(F.max("quarter").alias("quarter")))
-    held = fingerprint(base.drop("quarter"), "text", "own").repartition("k")  # texts move once, and are read twice
-    heads = held.groupBy("k").agg(F.min(F.struct("text", "own", "n_chars", "doc_id")).alias("head"))
+    held = fingerprint(base.drop("quarter"), "text", "own")
+    # rows without id share a successor, but no key
+    grain = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(GRAINS))).otherwise(0).cast("int")
+    held = held.withColumn("grain", grain).repartition("k", "grain")  # texts move once, and are read twice
+    heads = held.groupBy("k", "grain").agg(F.min(F.struct("text", "own", "n_chars", "doc_id")).alias("head")).groupBy("k").agg(F.min("head").alias("head"))
     sent = heads.join(following, heads["k"] == following["next"]).select(
         F.col("to").alias("k"), F.expr("substring(head.text, 1, quarter)").alias("start"), F.col("head.own").alias("after")
     )
-    rows = held.join(sent, "k").withColumn("q", F.floor(F.col("n_chars") / 4).cast("int"))
+    grains = F.when(F.col("k") == "none", F.sequence(F.lit(0), F.lit(GRAINS - 1))).otherwise(F.array(F.lit(0)))
+    rows = held.join(sent.withColumn("grain", F.explode(grains)), ["k", "grain"]).withColumn("q", F.floor(F.col("n_chars") / 4).cast("int"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - q), substring(start, 1, q))"))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("text", "start")
     rows = fingerprint(rows, "edited", "changed")

@@ -228,6 +228,25 @@ def test_mix(spark, block):
     assert M.Mix(df.limit(0)).taken("doc_id").count() == 0
 
 
+def test_mix_equals_brute_force(spark, sf):
+    """The query against words counted one by one: every slot's block of its source's stream, in order."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", M.word_count("text").alias("size"))
+    mix = M.Mix(docs)
+    streams, taken = collections.defaultdict(list), collections.Counter()
+    for r in mix.documents.orderBy("_tl_key", "_tl_start").collect():
+        assert r["_tl_start"] == len(streams[r["_tl_key"]])
+        streams[r["_tl_key"]] += [r.doc_id] * r.size
+    for s in mix.slots.collect():
+        taken.update(streams[s["_tl_key"]][s["_tl_block"] * M.BLOCK :][: s.words])
+    rows = queries.op4_source_mix(spark, sf).collect()
+    assert {r.doc_id: r.taken for r in rows} == {r.doc_id: taken[r.doc_id] for r in rows}
+    total, names = sum(r.size for r in rows), sorted({r.source for r in docs.collect()})
+    sizes = {n: sum(r.size for r in docs.collect() if r.source == n) for n in names}
+    want = dict(zip(names, M.targets([sizes[n] for n in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * total, 2), strict=True))
+    of = {r.doc_id: r.source for r in docs.collect()}
+    assert all(r.target == pytest.approx(want[of[r.doc_id]]) and r.source_size == sizes[of[r.doc_id]] and r.taken <= 2 * r.size for r in rows)
+
+
 def test_mix_texts(spark):
     df = awkward(spark).withColumn("n_chars", F.length("text").cast("long"))
     rows = M.mix_texts(df, block=5).collect()
@@ -247,3 +266,12 @@ def test_shard_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op8_uniform_shards(spark, sf).collect():
         assert r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) and r.size == len(docs[r.doc_id].encode()) + 16 and r.law == "rows" and r.grown_shard is None
+
+
+def test_join_query_equals_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.ORACLE["op9_jaccard_join"]).fetchall()
+    assert sorted(map(tuple, queries.op9_jaccard_join(spark, sf).collect())) == sorted(want)

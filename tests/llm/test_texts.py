@@ -113,6 +113,72 @@ def test_fingerprints(spark):
     assert one.near_next == 1.0
 
 
+def plain_fingerprint(text: str | None) -> str:
+    """One-permutation MinHash in plain Python: bins' least hashes, empty bins by optimal densification, four bits each."""
+    import xxhash
+
+    def mixed(*values, wide):
+        h = 42
+        for v, fmt in zip(values, wide, strict=True):
+            h = xxhash.xxh64_intdigest(struct.pack(fmt, v), seed=h)
+        return h - 2**64 if h >= 2**63 else h
+
+    w = [xxhash.xxh64_intdigest(x, seed=42) for x in (text or "").encode().lower().split()]
+    w = [h - 2**64 if h >= 2**63 else h for h in w]
+    runs = [w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [w] if w else []
+    least = {}
+    for run in runs:
+        h = mixed(*run, wide=["<q"] * len(run))
+        b = (h >> 56) + 128
+        least[b] = min(least.get(b, h), h)
+    if not least:
+        return ""
+    out = ""
+    for i in range(256):
+        v = least.get(i)
+        for t in range(12):
+            v = least.get(mixed(i, t, wide=["<i", "<i"]) % 256) if v is None else v
+        if v is None:
+            v = min((mixed(i, -1, k, wide=["<i"] * 3), least[k]) for k in least)[1]
+        out += f"{mixed(i, v, wide=['<i', '<q']) & 15:x}"
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(6)
+    texts = ["", None, "One", "a b c d", "a B c D e", *(" ".join(f"w{rng.randrange(900)}" for _ in range(n)) for n in (5, 6, 9, 40, 300, 3000))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "none " * 9), (None, "other none of all")]
+    for r in edited_and_next(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id IS NOT NULL").collect():
+        assert r.fingerprint == plain_fingerprint(texts[r.doc_id])
+        text, after = texts[r.doc_id] or "", texts[(r.doc_id + 1) % len(texts)] or ""
+        assert r.edited_fingerprint == plain_fingerprint(text[: len(text) - len(text) // 4] + after[: len(text) // 4])
+
+
+def test_queries_of_edits_and_encodings_equal_brute_force(spark, sf):
+    """op2, op5 and op10 on the given table."""
+    from tokenizers import Tokenizer
+
+    from threadloom.llm import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    c, t = counter(), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for r in queries.op2_edit_token_counts(spark, sf).collect():
+        text, n = texts[r.doc_id], len(texts[r.doc_id])
+        assert r.n_tokens == c.count(text)
+        for at, gone, put in ((int(n * (1 / 3)), 12, text[:20]), (n // 2, 0, " (see note 42, it's new) "), (int(n * 0.75), 30, "")):
+            text = text[:at] + put + text[at + gone :]
+        assert (r.n_tokens_edited, r.n_chars_edited) == (c.count(text), len(text))
+    for r in queries.op10_word_bpe(spark, sf).collect():
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    ids = sorted(texts)
+    for r in queries.op5_fingerprints(spark, sf).collect():
+        text, after = texts[r.doc_id], texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        assert r.fingerprint == plain_fingerprint(text)
+        assert r.edited_sha256 == hashlib.sha256((text[: len(text) - len(text) // 4] + after[: len(text) // 4]).encode()).hexdigest()
+
+
 def test_fingerprints_estimate_without_bias(spark):
     rng, rows = random.Random(5), []
     for i in range(120):

@@ -5,9 +5,10 @@ documents (at most 3 to the number of labellers), and EM on these counts estimat
 labeller's vote probabilities under either class. The patterns' posteriors are the labels on which a logistic scorer
 over hashed word shapes and shares is fitted, on at most `most` documents (by hash); it then scores every document.
 
-Whole texts count. Null and empty texts have no words: every labeller abstains but that for emptiness, which votes
-poor. doc_id may be null or repeat; rows are judged one by one; other columns are carried along; an empty table gives
-an empty result.
+Whole texts count, however long. A tie of the votes is decided by their accuracies; a quality of 0.5 is good. Null and
+empty texts have no words: every labeller abstains but that for emptiness, which votes
+poor. doc_id may be null or repeat; rows are judged one by one, repeated ones alike; other columns are carried along, one
+named quality is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations

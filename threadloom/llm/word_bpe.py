@@ -7,8 +7,9 @@ Blocks are written once, as a table bucketed by block in the shared folder, so t
 
 White space never survives this vocabulary's pre-tokenizer and nothing composes, lower-cases or merges across it,
 so the ids of a text are those of its words in turn; every word goes through the tokenizer itself, special tokens
-and Unicode normalisation included. Null texts count as empty; doc_id may be null or repeat, each row stays a row;
-other columns take no part; an empty table gives an empty result.
+and Unicode normalisation included. Null texts count as empty, very long ones are a block of their own; there are no ties;
+doc_id may be null or repeat, each row stays a row; other columns take no part; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

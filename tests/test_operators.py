@@ -239,3 +239,51 @@ def test_all_papers_take_part_without_a_sample(spark):
 
     rows = [(i, "x", [f"s{i // 2}"]) for i in range(900)]
     assert scope_neighbours(spark.createDataFrame(rows, "paper_id int, category string, scopes array<string>"), sample=None).count() == 900
+
+
+def test_graph_encoder_equals_plain_matrices(spark):
+    """Two relational layers, mean, projection and unit length, against numpy."""
+    import numpy as np
+
+    from threadloom.operators import vectors as V
+
+    rng = np.random.default_rng(2)
+    sizes, relations = {0: 4, 1: 1, 2: 7}, ["a", "b"]
+    states = {(g, i): rng.normal(size=3) for g, n in sizes.items() for i in range(n)}
+    edges = [(g, relations[int(rng.integers(2))], int(rng.integers(n)), int(rng.integers(n))) for g, n in sizes.items() for _ in range(2 * n - 2)]
+    layers = [({r: rng.normal(size=(3, 3)).tolist() for r in relations}, rng.normal(size=(3, 3)).tolist(), rng.normal(size=3).tolist()) for _ in range(2)]
+    projection = rng.normal(size=(2, 3))
+    h = dict(states)
+    for weights, own, bias in layers:
+        new = {}
+        for (g, i), x in h.items():
+            into = [np.array(weights[r]) @ h[g, s] for q, r, s, d in edges if (q, d) == (g, i)]
+            new[g, i] = np.maximum(0, (sum(into) / len(into) if into else 0) + np.array(own) @ x + np.array(bias))
+        h = new
+    want = {}
+    for g, n in sizes.items():
+        mean = np.mean([h[g, i] for i in range(n)], axis=0)
+        mean = mean / (np.linalg.norm(mean) or 1)
+        z = projection @ mean
+        want[g] = z / (np.linalg.norm(z) or 1)
+    s = spark.createDataFrame([(g, str(i), x.tolist()) for (g, i), x in states.items()], "graph_id int, node string, h array<double>")
+    e = spark.createDataFrame([(g, r, str(a), str(b)) for g, r, a, b in edges], "graph_id int, relation string, src string, dst string")
+    got = {r.graph_id: r.embedding for r in V.encoded(s, e, layers, projection.tolist()).collect()}
+    assert all(np.allclose(got[g], want[g]) for g in sizes) and len(got) == 3
+
+
+def test_clusters_and_fits_find_what_is_there(spark):
+    """Three bundles of directions; users whose events jump after a treatment and fall back."""
+    import numpy as np
+
+    from threadloom.operators import vectors as V
+
+    rng = np.random.default_rng(4)
+    rows = [(i, (np.eye(6)[i % 3] + rng.normal(size=6) * 0.05).tolist()) for i in range(90)]
+    found = V.kmeans(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3)[0].collect()
+    assert len({(r.vec_id % 3, r.cluster) for r in found}) == 3
+    flat = [(i, np.concatenate([rng.normal(size=2) * 10, rng.normal(size=4) * 0.01]).tolist()) for i in range(300)]
+    assert V.effective_dimensions(spark.createDataFrame(flat, "vec_id long, embedding array<double>")) == [2, 2]
+    texts = [(1, "alpha beta gamma"), (2, "beta alpha gamma"), (3, "other words entirely")]
+    v = {r.vec_id: np.array(r.embedding) for r in V.hashed_text_vectors(spark.createDataFrame(texts, "vec_id int, text string")).collect()}
+    assert np.allclose(v[1], v[2]) and abs(v[1] @ v[3]) < 0.5 and abs(np.linalg.norm(v[1]) - 1) < 1e-9

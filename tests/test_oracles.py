@@ -42,7 +42,9 @@ def test_query_equals_its_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE)))
 def test_query_runs(spark, sf, name):
-    assert core.QUERIES[name](spark, sf).limit(5).collect() is not None
+    """Those without SQL have rows, of known types; what they hold is tested with their operators."""
+    df = core.QUERIES[name](spark, sf)
+    assert df.limit(5).collect() and "void" not in {kind for _, kind in df.dtypes}
 
 
 def test_entry(spark, sf):

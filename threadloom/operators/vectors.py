@@ -222,6 +222,22 @@ def message_pass(states: DataFrame, edges: DataFrame, weights: dict[str, list[li
     return out.select("graph_id", "node", total.alias("h"))
 
 
+def encoded(states: DataFrame, edges: DataFrame, layers: list[tuple[dict, list, list]], projection: list[list[float]] | None = None) -> DataFrame:
+    """graph_id, embedding of graphs: relational layers (weights by relation, own weights, bias) one after the other, the
+    mean of the states, put through a projection if there is one, as a unit vector. Layers are few; each is written, so
+    the plan doesn't grow with them."""
+    from threadloom.plans.tables import written
+
+    for weights, own, bias in layers:
+        states = written(message_pass(states, edges, weights, own, bias), "layer")
+    out = pooled(states)
+    if projection is not None:
+        rows = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in projection])
+        put = F.transform(rows, lambda row: F.aggregate(F.zip_with("embedding", row, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+        out = out.withColumn("embedding", put).withColumn("embedding", normalised("embedding"))
+    return out
+
+
 def pooled(states: DataFrame) -> DataFrame:
     """graph_id, embedding: the mean of a graph's states as a unit vector."""
     m = states.select("graph_id", F.posexplode("h").alias("i", "x")).groupBy("graph_id", "i").agg(F.avg("x").alias("x"))

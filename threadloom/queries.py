@@ -400,13 +400,6 @@ def marks(spark, sf):
     return S.span_rows(d, "text", S.matches([*V0.WIRES, *V0.PORTS, *V0.LABELS, *V0.ACTS]), S.MATCH, ["doc_id"])
 
 
-@query()
-def scopes(spark, sf):
-    """Scope openers, environments and binders, numbered."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return S.span_rows(d, "text", S.scopes(), S.SCOPE, ["doc_id"]).select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":scope-"), F.format_string("%03d", "seq")).alias("hx_id"), "type", "name", "match", "position", "end", "ends")
-
-
 @query()
 def expression_surfaces(spark, sf):
     """Formulas and their s-expressions."""
@@ -426,34 +419,35 @@ def page_wiring(spark, sf):
     """Scopes, connectives, anaphora, labels and links of whole pages, counted by type."""
     from threadloom import fixed_values as V0
 
-    p = table(spark, sf, "pages").select("page_id", X.strip_html("html").alias("text"), "html")
-    marks = S.span_rows(p, "text", S.matches([*V0.WIRES, *V0.PORTS, *V0.LABELS]), S.MATCH, ["page_id"]).select("page_id", "type")
-    found = S.span_rows(p, "text", S.scopes(), S.SCOPE, ["page_id"]).select("page_id", "type")
-    links = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("l")).select("page_id", F.lit("link").alias("type"))
-    return marks.union(found).union(links).groupBy("page_id", "type").agg(F.count("*").alias("n"))
+    p = table(spark, sf, "pages")
+    found = S.type_counts(p.select("page_id", X.strip_html("html").alias("text")), "text", [S.matches([*V0.WIRES, *V0.PORTS, *V0.LABELS]), S.typed_scopes()], ["page_id"])
+    links = p.select("page_id", F.lit("link").alias("type"), F.regexp_count("html", F.lit('<a href="[^"]*"')).cast("long").alias("n")).where("n > 0")
+    return found.union(links)
 
 
 # sets and numbers ------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH b AS (SELECT item_id, list_distinct({TOK.format('text')}) AS b FROM benchmark), d AS (SELECT doc_id, list_distinct({TOK.format('text')}) AS a FROM documents), j AS (SELECT doc_id, item_id, a, b FROM d JOIN b ON doc_id % (SELECT count(*) FROM benchmark) = item_id)
-SELECT doc_id, item_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS jaccard, len(list_intersect(a, b)) / len(a) AS precision, len(list_intersect(a, b)) / len(b) AS recall FROM j WHERE len(a) > 0 AND len(b) > 0""")
+REPLY_SQL = f"""t AS (SELECT conv_id, turn, list_distinct({TOK.format('text')}) AS a FROM conversations), j AS (SELECT conv_id, turn, a, lead(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t)"""
+
+
+def replies(spark, sf) -> DataFrame:
+    """(conv_id, turn, a, b): distinct words of every turn and of the turn that follows it."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(X.tokens("text")).alias("a"))
+    return t.withColumn("b", F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL")
+
+
+@query(f"""WITH {REPLY_SQL} SELECT conv_id, turn, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS jaccard, len(list_intersect(a, b)) / len(a) AS precision, len(list_intersect(a, b)) / len(b) AS recall FROM j WHERE len(a) > 0 AND len(b) > 0""")
 def set_similarity(spark, sf):
-    """U08, U11-U13."""
-    b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(X.tokens("text")).alias("b"))
-    n = b.count()
-    d = table(spark, sf, "documents").select("doc_id", F.array_distinct(X.tokens("text")).alias("a"), F.pmod("doc_id", F.lit(n)).alias("item_id"))
-    j = d.join(b, "item_id").where("size(a) > 0 AND size(b) > 0").withColumn("pr", N.precision_recall("a", "b"))
-    return j.select("doc_id", "item_id", N.jaccard("a", "b").alias("jaccard"), F.col("pr.precision").alias("precision"), F.col("pr.recall").alias("recall"))
+    """How alike a turn and its reply are."""
+    j = replies(spark, sf).where("size(a) > 0 AND size(b) > 0").withColumn("pr", N.precision_recall("a", "b"))
+    return j.select("conv_id", "turn", N.jaccard("a", "b").alias("jaccard"), F.col("pr.precision").alias("precision"), F.col("pr.recall").alias("recall"))
 
 
-@query(f"""WITH b AS (SELECT item_id, list_distinct({TOK.format('text')}) AS b FROM benchmark), d AS (SELECT doc_id, list_distinct({TOK.format('text')}) AS a FROM documents)
-SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS rest FROM d JOIN b ON doc_id % (SELECT count(*) FROM benchmark) = item_id""")
+@query(f"""WITH {REPLY_SQL} SELECT conv_id, turn, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS rest FROM j WHERE b IS NOT NULL""")
 def negative_space(spark, sf):
-    """U09, U10."""
-    b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(X.tokens("text")).alias("b"))
-    d = table(spark, sf, "documents").select("doc_id", F.array_distinct(X.tokens("text")).alias("a"), F.pmod("doc_id", F.lit(b.count())).alias("item_id"))
-    return d.join(b, "item_id").select("doc_id", F.size(F.array_except("a", "b")).cast("long").alias("rest"))
+    """What a turn says and its reply doesn't."""
+    return replies(spark, sf).select("conv_id", "turn", F.size(F.array_except("a", "b")).cast("long").alias("rest"))
 
 
 @query("""SELECT event_type, list(n ORDER BY k) AS counts FROM (SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
@@ -576,7 +570,9 @@ def eligible_questions(spark, sf):
     return P.eligible_questions(p, topics, 10)
 
 
-@query()
+@query("""WITH a AS (SELECT p_partkey, p_size, p_retailprice, CAST(length(p_name) AS INT) AS p_width FROM part), x AS (SELECT *, 'p_size' AS criterion FROM a ORDER BY p_size DESC, p_partkey LIMIT 1),
+y AS (SELECT *, 'p_retailprice' AS criterion FROM a WHERE p_partkey NOT IN (SELECT p_partkey FROM x) ORDER BY p_retailprice DESC, p_partkey LIMIT 1), z AS (SELECT *, 'p_width' AS criterion FROM a WHERE p_partkey NOT IN (SELECT p_partkey FROM x UNION SELECT p_partkey FROM y) ORDER BY p_width DESC, p_partkey LIMIT 1)
+SELECT * FROM x UNION ALL SELECT * FROM y UNION ALL SELECT * FROM z""")
 def showcase_picks(spark, sf):
     """T07."""
     return P.showcases(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", F.length("p_name").alias("p_width")), "p_partkey", ["p_size", "p_retailprice", "p_width"])
@@ -1025,12 +1021,13 @@ def vector_clusters(spark, sf):
     return V.kmeans(v, V.cluster_count(v.count()))[0].groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {KNN_SQL} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 10")
 def probed_neighbours(spark, sf):
-    """Inverted lists: cells by centroid, the best probed."""
+    """Inverted lists: cells by centroid, the best min(10, cells) probed, which here are all."""
     v = table(spark, sf, "embeddings")
     _, centres = V.kmeans(v, 8, steps=5)
-    return V.probe_search(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), centres, 10)
+    found = V.probe_search(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), centres, 10)
+    return found.withColumn("score", F.round("score", 9))
 
 
 @query()
@@ -1070,7 +1067,7 @@ def graph_embeddings(spark, sf):
     return V.pooled(V.message_pass(states, e, {"mention": w}, w, [0.1, 0.0, 0.1]))
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('X(\\gamma):=\\mathrm{id}_{X(v)}', '(:= (X γ) (sub id (X v)))'), ('\\frac{a}{b}', '(/ a b)'), ('a \\leq b', 'a'), ('', '""')) t(latex, sexp)""")
 def formula_records(spark, sf):
     """s-expressions of formulas held in a table."""
     d = spark.createDataFrame([(r"X(\gamma):=\mathrm{id}_{X(v)}",), (r"\frac{a}{b}",), (r"a \leq b",), ("",)], "latex string")

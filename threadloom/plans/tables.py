@@ -19,6 +19,17 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
+SPLIT_BYTES, MOST_DEALT = 16 << 20, 64
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table dealt out to all cores. A file of one row group is one task, however slow the functions on its rows
+    are; tables beyond a split for each core, 64 at most, have splits enough and stay as they are."""
+    n = min(df.sparkSession.sparkContext.defaultParallelism, MOST_DEALT)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if 1 < n and size < n * SPLIT_BYTES else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table, read again: where lineage or a plan would grow, it ends here."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -23,6 +23,7 @@ from threadloom.operators import lexicon as L
 from threadloom.operators import sampling as P
 from threadloom.operators import threads as T
 from threadloom.operators import vectors as V
+from threadloom.plans.tables import dealt, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -39,7 +40,9 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table of the driver's; small ones of texts are dealt out, for their functions are slow."""
+    t = spark.read.parquet(f"{sf}/{name}.parquet")
+    return dealt(t) if name in ("documents", "pages", "conversations") else t
 
 
 # questions and answers ------------------------------------------------------------------------------------------------
@@ -1041,8 +1044,10 @@ def thread_hypergraphs(spark, sf):
     """Nodes and edges of conversations, counted."""
     q, m = conversation_posts(spark, sf)
     n = T.wiring_nodes(q, m)
+    # read six times below, so written once
+    n = written(n, "nodes")
     e = T.wiring_edges(n, ACT_BANK)
-    p = n.select(F.col("thread_id").alias("graph_id"), F.col("node_id").alias("post_id"), F.col("node_type").alias("subtype"), F.lit(0).alias("score"), "text")
+    p = dealt(n.select(F.col("thread_id").alias("graph_id"), F.col("node_id").alias("post_id"), F.col("node_type").alias("subtype"), F.lit(0).alias("score"), "text"))
     spotted = L.spot(p.select(F.col("post_id").alias("id"), "text"), word_kernel(spark, sf)).join(p.select("graph_id", F.col("post_id").alias("id")), "id").select("graph_id", F.col("id").alias("post_id"), "term", "canon")
     keep = ["graph_id", "post_id"]
     found = S.span_rows(p, "text", S.scopes(), S.SCOPE, keep).withColumn("hx_id", F.concat("post_id", F.lit(":scope-"), F.format_string("%03d", "seq")))

@@ -109,7 +109,7 @@ def needed_id_semi(spark, sf):
 
 @query("SELECT o_orderkey % 8 AS shard, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def shard_partition_counts(spark, sf):
-    """Shards by id, and their union."""
+    """Shards by id, and their union."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     out = None
     for i in range(8):
@@ -164,7 +164,7 @@ def conversation_posts(spark, sf) -> tuple[DataFrame, DataFrame]:
 CASE WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z])(the [a-z]+)') THEN 'challenge' WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z])(de [a-z]+)') THEN 'query' WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z])(der [a-z]+)') THEN 'clarify' WHEN role = 'assistant' THEN 'assert' ELSE 'comment-on' END AS edge_type,
 CASE WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z])(?:the|de|der) [a-z]+') THEN 'classical' ELSE 'structural' END AS detection FROM c WHERE turn > t0""")
 def performative_edges(spark, sf):
-    """Wiring edges with a bank of acts that this text shows."""
+    """Wiring edges with a bank of acts that this text shows."""
     q, m = conversation_posts(spark, sf)
     return T.wiring_edges(T.wiring_nodes(q, m), ACT_BANK).select("thread_id", "source", "target", "edge_type", "detection")
 
@@ -272,14 +272,14 @@ def page_texts(spark, sf) -> DataFrame:
 @query(f"WITH {KERNEL_SQL}, p AS (SELECT page_id, {STRIP} AS text FROM pages), h AS (SELECT DISTINCT page_id, w FROM (SELECT page_id, unnest({TOK.format('text')}) AS w FROM p) JOIN k ON w = term_lower) "
        "SELECT (SELECT count(*) FROM pages) AS texts, count(*) AS hits, count(DISTINCT page_id) AS covered, count(DISTINCT page_id) / (SELECT count(*) FROM pages) AS coverage FROM h")
 def lexicon_coverage(spark, sf):
-    """Flagship: S22, P01, F01, J10, G07: pages, stripped, spotted with a dictionary, counted."""
+    """Flagship: F01, J10, G07: pages, stripped, spotted with a dictionary, counted."""
     t = page_texts(spark, sf)
     return L.coverage(t, L.spot(t, word_kernel(spark, sf)))
 
 
 @query(f"WITH {KERNEL_SQL} SELECT DISTINCT doc_id AS id, w AS term_lower FROM (SELECT doc_id, unnest({TOK.format('text')}) AS w FROM documents) JOIN k ON w = term_lower")
 def lexicon_single(spark, sf):
-    """J10, S24."""
+    """J10."""
     t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return L.spot(t, word_kernel(spark, sf)).select("id", "term_lower")
 
@@ -315,16 +315,26 @@ def term_idf(spark, sf):
 SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS w, 'capital' AS s FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '([a-z]{7,})\\.', 1)), 'final' FROM documents))
 SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS entities, count(*) + 0.5::DOUBLE * count(DISTINCT doc_id) + 0.2::DOUBLE * count(*) AS score FROM c GROUP BY term HAVING count(DISTINCT doc_id) >= 2""")
 def open_term_scores(spark, sf):
-    """G08, W09."""
+    """G08."""
     return L.term_scores(open_candidates(spark, sf)).select("term", "occurrences", "entities", "score")
 
 
-def open_candidates(spark, sf):
-    d = table(spark, sf, "documents")
-    one = lambda p, g, s: d.select(F.col("doc_id").alias("entity_id"), F.posexplode(F.regexp_extract_all("text", F.lit(p), g)).alias("seq", "w")).select("entity_id", F.lower("w").alias("term"), F.lit(s).alias("source"), F.lit("").alias("context"), "seq")
+def open_candidates(spark, sf, context=None):
+    d, context = table(spark, sf, "documents"), F.lit("") if context is None else context
+    one = lambda p, g, s: d.select(F.col("doc_id").alias("entity_id"), F.posexplode(F.regexp_extract_all("text", F.lit(p), g)).alias("seq", "w"), "doc_id").select("entity_id", F.lower("w").alias("term"), F.lit(s).alias("source"), context.alias("context"), "seq")
     return one("[A-Z][a-z]{5,}", 0, "capital").union(one(r"([a-z]{7,})\.", 1, "final"))
 
 
+@query("""WITH l AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{5,}') AS l, 'capital' AS source FROM documents UNION ALL SELECT doc_id, regexp_extract_all(text, '([a-z]{7,})\\.', 1), 'final' FROM documents),
+c AS (SELECT doc_id, source, lower(w) AS term, i - 1 AS seq, w || ' in ' || doc_id AS context FROM (SELECT doc_id, source, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM l)),
+f AS (SELECT doc_id, source, term, min(seq) AS seq, arg_min(context, struct_pack(s := seq, c := context)) AS context FROM c GROUP BY ALL)
+SELECT term, arg_min(context, struct_pack(s := seq, d := doc_id, t := source, c := context)) AS context FROM f GROUP BY term HAVING count(DISTINCT doc_id) >= 2""")
+def first_examples(spark, sf):
+    """Each discovered term with the context of its first example."""
+    c = open_candidates(spark, sf, F.concat("w", F.lit(" in "), F.col("doc_id").cast("string")))
+    return L.term_scores(c).select("term", "context")
+
+
 @query(ORACLE["open_term_scores"] + " ORDER BY score DESC, entities DESC, occurrences DESC, term LIMIT 20")
 def top_open_terms(spark, sf):
     """T05."""
@@ -364,7 +374,7 @@ def identities(spark, sf):
 
 @query("SELECT DISTINCT 'se-' || split_part(regexp_extract(url, '://([^/]+)', 1), '.', 1) || '-' || page_id AS entity_id, page_id FROM pages")
 def entity_ids(spark, sf):
-    """P01, P02."""
+    """P02."""
     return table(spark, sf, "pages").select(X.entity_id(F.regexp_extract("url", "://([^/]+)", 1), "page_id").alias("entity_id"), "page_id").distinct()
 
 
@@ -405,21 +415,21 @@ def marks(spark, sf):
 
 @query()
 def expression_surfaces(spark, sf):
-    """Formulas and their s-expressions."""
+    """formulas and their s-expressions."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     return Y.parsed_expressions(d, keep=["doc_id"])
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<h1>')) AS heads, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS links FROM pages")
 def page_marks(spark, sf):
-    """counts of marks, without positions."""
+    """Counts of tags, without positions."""
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
     return table(spark, sf, "pages").select("page_id", n("<h1>").alias("heads"), n("<p>").alias("paragraphs"), n('<a href="[^"]*"').alias("links"))
 
 
 @query()
 def page_wiring(spark, sf):
-    """Scopes, connectives, anaphora, labels and links of whole pages, counted by type."""
+    """Scopes, connectives, anaphora, labels and links of whole pages, counted by type."""
     from threadloom import fixed_values as V0
 
     p = table(spark, sf, "pages")
@@ -478,7 +488,7 @@ def json_answers(spark, sf):
 
 @query("SELECT metric, round(sum(value), 2) AS value FROM (SELECT o_orderstatus || '-rows' AS metric, count(*)::DOUBLE AS value FROM orders GROUP BY 1 UNION ALL SELECT o_orderstatus || '-total', sum(o_totalprice) FROM orders GROUP BY 1) GROUP BY 1")
 def merged_stats(spark, sf):
-    """shards' numbers added up."""
+    """shards' numbers added up."""
     from threadloom.plans.stages import merged_stats as merge
 
     o = table(spark, sf, "orders").withColumn("shard", F.pmod("o_orderkey", F.lit(4)))
@@ -617,7 +627,7 @@ def nearest_before_after(spark, sf):
 @query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS pos, event_type FROM events), r AS (SELECT user_id, pos AS s, pos + 36000000000 AS e, event_id AS idx FROM e WHERE event_type = 'signup')
 SELECT p.user_id, p.event_id, p.pos, (SELECT arg_min(idx, struct_pack(a := s, b := e)) FROM r WHERE r.user_id = p.user_id AND r.s <= p.pos AND p.pos < r.e) AS idx FROM e p WHERE p.event_type = 'click'""")
 def interval_parent(spark, sf):
-    """The first range that holds a point."""
+    """The first range that holds a point."""
     e = table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"), "event_type")
     r = e.where("event_type = 'signup'").select("user_id", F.col("pos").alias("start"), (F.col("pos") + 36000000000).alias("end"), F.col("event_id").alias("idx"))
     return I.first_containing(e.where("event_type = 'click'").drop("event_type"), r, "user_id", ["idx"])
@@ -753,7 +763,7 @@ def wiki_link_graph(spark, sf):
 h AS (SELECT id, 0 AS r, object FROM e JOIN o ON lower(title) = k UNION ALL SELECT id, i, object FROM (SELECT id, unnest(d) AS x, generate_subscripts(d, 1) AS i FROM e) JOIN o ON lower(x) = k)
 SELECT id AS entry_id, arg_min(object, r) AS object, CASE WHEN min(r) = 0 THEN 'title' ELSE 'defines' END AS match_type FROM h GROUP BY 1""")
 def bridge_concepts(spark, sf):
-    """J17, J18."""
+    """J17."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("title"), F.split("p_name", " ").alias("defines"))
     return G.bridges(p, p.select(F.explode("defines").alias("name")).distinct())
 
@@ -838,7 +848,7 @@ def reference_dictionary(spark, sf):
 s AS (SELECT source, target, out_id, in_id, round(count(*) + 0.5::DOUBLE * count(*) FILTER (o.w IN ('red', 'ring')), 2) AS score FROM o JOIN i ON o.w = i.w AND substr(source, 2) = substr(target, 2) GROUP BY 1, 2, 3, 4)
 SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY score DESC, out_id, in_id) <= 3""")
 def port_matching(spark, sf):
-    """J20, F38."""
+    """J20."""
     p = table(spark, sf, "part")
     o = p.where("p_type = 'PROMO'").select(F.concat(F.lit("p"), F.col("p_size").cast("string")).alias("node_id"), F.concat(F.lit("o"), F.col("p_partkey").cast("string")).alias("hx_id"), F.col("p_name").alias("label"))
     i = p.where("p_type = 'SMALL'").select(F.concat(F.lit("q"), F.col("p_size").cast("string")).alias("node_id"), F.concat(F.lit("i"), F.col("p_partkey").cast("string")).alias("hx_id"), F.col("p_name").alias("label"))
@@ -878,7 +888,7 @@ def node_completeness(spark, sf):
 c AS (SELECT thread_id, avg(CASE WHEN l_linenumber > 3 THEN 1.0::DOUBLE ELSE 0 END) AS cr, avg(CASE WHEN t = 'constrain/where' OR (s = 'assume/explicit' AND t = 'env/theorem') THEN 1.0::DOUBLE ELSE 0 END) AS pr, avg(CASE WHEN l_linenumber % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END) AS ar FROM e GROUP BY 1)
 SELECT thread_id, round(cr, 9) AS categorical_rate, round(pr, 9) AS port_rate, round(ar, 9) AS act_rate, round((cr + pr + ar + 0.5) / 4, 9) AS overall FROM c""")
 def wiring_verification(spark, sf):
-    """V27, V30, P16."""
+    """V27, V30."""
     li = table(spark, sf, "lineitem")
     edges = li.select(F.col("l_orderkey").alias("thread_id"), F.lit("assert").alias("edge_type"), F.when(F.col("l_returnflag") == "R", "bind/let").otherwise("assume/explicit").alias("source_type"), F.when(F.col("l_linestatus") == "O", "env/theorem").otherwise("constrain/where").alias("target_type"), E.act_fits(F.lit("assert"), F.array(F.lit("query")), F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit("wire/causal"))).otherwise(F.array(F.lit("wire/intuitive"))), F.lit("so"), F.lit("answer")).alias("fits"), E.category_consistent(F.array(F.when(F.col("l_linenumber") > 3, "x").otherwise("y")), F.array(F.lit("z")), F.array(F.lit("x|z"))).alias("consistent"))
     nodes = li.select(F.col("l_orderkey").alias("thread_id"), F.lit(0.5).alias("completeness"))
@@ -897,7 +907,7 @@ def signature_delta(spark, sf):
 
 @query("SELECT count(*) AS graphs, avg(n) AS mean_n_nodes, median(n) AS median_n_nodes, quantile_cont(n, 0.95) AS p95_n_nodes, avg(e) AS mean_n_edges, median(e) AS median_n_edges, quantile_cont(e, 0.95) AS p95_n_edges, count(*) FILTER (n = 0) AS empty FROM (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey) AS e FROM lineitem GROUP BY 1)")
 def graph_quality(spark, sf):
-    """G21, G12."""
+    """G21."""
     return E.quality_summary(table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("graph_id")).agg(F.count("*").alias("n_nodes"), F.countDistinct("l_suppkey").alias("n_edges")))
 
 
@@ -1035,13 +1045,13 @@ def probed_neighbours(spark, sf):
 
 @query()
 def text_vectors(spark, sf):
-    """Hashed text vectors."""
+    """Hashed text vectors."""
     return V.hashed_text_vectors(table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"), "text"))
 
 
 @query()
 def thread_hypergraphs(spark, sf):
-    """Nodes and edges of conversations, counted."""
+    """Nodes and edges of conversations, counted."""
     q, m = conversation_posts(spark, sf)
     n = T.wiring_nodes(q, m)
     # read six times below, so written once
@@ -1061,7 +1071,7 @@ def thread_hypergraphs(spark, sf):
 
 @query()
 def graph_embeddings(spark, sf):
-    """One relational layer over order graphs, pooled."""
+    """One relational layer over order graphs, pooled."""
     li = table(spark, sf, "lineitem")
     name = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
     nodes = li.select(F.col("l_orderkey").alias("graph_id"), name.alias("id"), F.lit("term").alias("type"), name.alias("subtype")).union(li.select("l_orderkey", F.lit("post"), F.lit("post"), F.lit("question"))).distinct()

@@ -494,11 +494,12 @@ def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) ->
     buckets = max(1, math.ceil((sets_ or 0) / BUCKET), math.ceil((tokens_ or 0) / BUCKET_TOKENS))
     tile = F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")
     cell = F.when(small, F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(F.lit(-1) - F.pmod(F.xxhash64("label", tile), F.lit(2**40)))
-    links = whole.withColumn("cell", cell).select("cell", "h", "label", "tokens", "prefix", "positions").groupBy("cell").applyInArrow(_search_cell(rule), "a long, b long")
+    # links are written, or contracting them would run beside the search, in a second worker for each task
+    found = whole.withColumn("cell", cell).select("cell", "h", "label", "tokens", "prefix", "positions").groupBy("cell").applyInArrow(_search_cell(rule), "a long, b long")
+    links = written(found, "first_links")
     if not large:
         return links
     # groups beyond a cell: what isn't in their largest component yet, against all of them
-    links = written(links, "first_links")
     big = whole.where("tiles > 1")
     known = components(links).withColumnRenamed("label", "part")
     parts = big.select("h", "n", "label").join(known, F.col("h") == F.col("node"), "left").select("h", "n", "label", F.coalesce("part", "h").alias("part"))
@@ -514,4 +515,4 @@ def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) ->
     right = right.withColumn("r", tile).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
     cols = [F.col("label").alias("grp"), F.col("part").alias("label"), *(F.col(c).alias(c) for c in ("l", "r", "h", "tokens", "prefix", "positions"))]
     more = left.select(*cols).groupBy("grp", "l", "r").cogroup(right.select(*cols).groupBy("grp", "l", "r")).applyInArrow(_search_cells(rule), "a long, b long")
-    return links.union(more)
+    return links.union(written(more, "more_links"))

@@ -26,12 +26,20 @@ def normalised(v) -> Column:
     return F.when(length == 0, F.col(v).cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / length))
 
 
+BLOCK_VECTORS = 16_384
+
+
+def block_count(vectors: DataFrame) -> int:
+    """How many blocks vectors are cut into: one for each core, and no block of more than BLOCK_VECTORS."""
+    return max(vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // BLOCK_VECTORS))
+
+
 def query_scores(vectors: DataFrame, queries: DataFrame, blocks: int | None = None) -> DataFrame:
     """(query_id, vec_id, score) of every query against every vector but its own, by blocks of vectors and queries.
 
     The pairs are what was asked for: queries (query_id, q) are a stated set. Each query goes to every block of vectors
-    once, by an equi join on the block."""
-    n = blocks or vectors.sparkSession.sparkContext.defaultParallelism
+    once, by an equi join on the block; where the k best follow, each task keeps its k best of a query before the shuffle."""
+    n = blocks or block_count(vectors)
     v = vectors.select("vec_id", "embedding").withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
     q = queries.select("query_id", "q").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     return v.join(q, "_b").where("vec_id <> query_id").select("query_id", "vec_id", dot("q", "embedding").alias("score"))
@@ -51,7 +59,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float | None
 
 def cross_matches(a: DataFrame, b: DataFrame, least: float = 0.7) -> DataFrame:
     """(a_id, b_id, score) of at least a score between two sets of unit vectors (vec_id, embedding): a is the stated set."""
-    n = b.sparkSession.sparkContext.defaultParallelism
+    n = block_count(b)
     left = a.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("_a")).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     right = b.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("_b")).withColumn("_k", F.pmod(F.xxhash64("b_id"), F.lit(n)))
     return left.join(right, "_k").select("a_id", "b_id", dot("_a", "_b").alias("score")).where(F.col("score") >= least)

@@ -429,7 +429,7 @@ def page_marks(spark, sf):
 
 @query()
 def page_wiring(spark, sf):
-    """Scopes, connectives, anaphora, labels and links of whole pages, counted by type."""
+    """Scopes, connectives, anaphora, labels and links of whole pages, counted by type."""
     from threadloom import fixed_values as V0
 
     p = table(spark, sf, "pages")

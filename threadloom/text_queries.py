@@ -175,6 +175,16 @@ def array_diagrams(spark, sf):
     return S.span_rows(d, "text", S.diagrams, S.DIAGRAM_OBJECT, ["id"]).select("id", "diagram", "kind", "label", "direction")
 
 
+@query("""SELECT t AS type, CAST(sum(n) AS BIGINT) AS n, count(*) AS pages FROM part, LATERAL (VALUES ('env/definition', 1), ('env/proof', CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END), ('bind/let', 1), ('wire/adversative', 2), ('link', CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END), ('diagram', 1), ('diagram/object', 2), ('diagram/arrow', 1)) v(t, n) WHERE n > 0 GROUP BY 1""")
+def page_totals(spark, sf):
+    """Environments, diagrams, scopes, marks and links of wiki pages, in one pass, summed by type."""
+    p = table(spark, sf, "part")
+    more = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("+-- {: .proof}\nbut [["), "p_brand", F.lit("]]\n=--\n"))).otherwise(F.lit("yet\n"))
+    text = F.concat(F.lit("+-- {: .num_defn}\nLet $x$ be a [["), "p_type", F.lit("]]. However\n=--\n"), more, F.lit("\\begin{tikzcd} A \\ar[r] & B \\end{tikzcd}"))
+    counts = S.type_counts(p.select(F.col("p_partkey").alias("id"), text.alias("text")), "text", S.page_extracts(), ["id"])
+    return counts.groupBy("type").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+
+
 @query("""SELECT p_partkey AS page_id, t AS target, k AS link_type, CAST(e AS INT) AS env_idx FROM part, (VALUES ('nav', 'link/navigation', NULL), ('in', 'link/definition-ref', 7), ('out', 'link/prose-ref', NULL)) v(t, k, e)""")
 def typed_links(spark, sf):
     """Links typed by the environment that holds them, as navigation before the first heading."""

@@ -62,6 +62,29 @@ def test_join_equals_brute_force(spark, monkeypatch, length, num, cell):
     assert got == {i: (want[i], len(shingles(t, length))) for i, t in rows}
 
 
+def test_hot_tokens_are_dealt_out(spark, monkeypatch):
+    """A token of every second document, and many others, counted as hot: links are those of brute force."""
+    monkeypatch.setattr(J, "HOT_PART", 1)
+    monkeypatch.setattr(J, "HOT_ROWS", 6)
+    rows = [(i, t if i % 2 else f"alpha beta gamma delta epsilon {t}") for i, t in groups([], 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert len(J.hot_tokens(df, J.Rule(80, 100), 3)) > 5
+    want = components(rows, 3, 80)
+    assert {r.doc_id: r.component_id for r in J.jaccard_components(df, 3, 80).collect()} == {i: want[i] for i, _ in rows}
+
+
+def test_runs_of_hot_tokens():
+    """Whole, in parts, in one batch and in many: all rows of a hot token are kept, with the greatest count."""
+    import pyarrow as pa
+
+    rows = sorted([(5, h) for h in range(4)] + [(7, 1)] + [(8, 2), (8, 2)] + [(9, 3), (9, 4)] + [(11, 6)])
+    for size in (1, 2, 3, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in b], pa.int64()), pa.array([h for _, h in b], pa.int64())], names=["token", "h"]) for b in (rows[i : i + size] for i in range(0, len(rows), size))]
+        got = sorted((r["token"], r["h"], r["cnt"]) for out in J._shared_runs(batches, np.array([7, 9, 11])) for r in out.to_pylist())
+        most = J.MOST_COUNTED
+        assert got == [(5, 0, 4), (5, 1, 4), (5, 2, 4), (5, 3, 4), (7, 1, most), (9, 3, most), (9, 4, most), (11, 6, most)]
+
+
 def test_join_of_awkward_rows(spark):
     root = components(AWKWARD, 5, 80)
     least = {}

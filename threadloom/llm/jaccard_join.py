@@ -5,6 +5,7 @@
    needs only to know which of its tokens others hold. Tokens of low hash (a share of 1.5 (1 - t); all tokens, where a
    set has too few) are counted; the order is: low before high, unshared before shared, rare before frequent, hash. A
    class with p unshared low tokens has no partner and goes. Passages that many share thus stay out of the prefixes.
+   Tokens that very many documents hold are known from a sample, stand last and are dealt among several tasks.
 3. The remaining classes' prefixes make index lists, one for each token, cut into ranges of set sizes. Sets of a range are
    candidates of one group, and so are neighbours in size across ranges that are compatible; groups by connected
    components hold every possible link. Lists are summed up by range, so that no list has to lie in one task.
@@ -131,13 +132,31 @@ def _postings(rule: Rule, length: int):
 
 
 MOST_COUNTED = 65_536  # a token's count above is this; it only orders
+HOT_PART, HOT_ROWS, MOST_HOT, GRAINS = 64, 4096, 10_000, 64
 
 
-def _shared_tokens(batches):
+def hot_tokens(docs: DataFrame, rule: Rule, length: int) -> np.ndarray:
+    """Tokens whose rows are dealt among GRAINS tasks instead of one: those of HOT_ROWS rows
+    in one of HOT_PART documents, MOST_HOT at most. They decide where rows lie and in which order tokens stand, the same for all sets; no row is
+    left out, so it doesn't matter to the links which they are."""
+    part = docs.select("text").sample(1.0 / HOT_PART, seed=9).mapInArrow(tidied(_postings(rule, length)), "token long, h long")
+    counts = part.groupBy("token").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).where((F.col("n") >= HOT_ROWS) & (F.col("a") < F.col("b")))
+    most = counts.orderBy(F.desc("n"), "token").limit(MOST_HOT)
+    return np.sort(np.array([r["token"] for r in most.collect()], np.int64))
+
+
+def _shared_tokens(hot: np.ndarray):
+    """`_shared_runs` with some hot tokens."""
+    return lambda batches: _shared_runs(batches, hot)
+
+
+def _shared_runs(batches, hot: np.ndarray):
     """From (token, h) sorted by token: (h, token, count) of tokens with two different h. Runs may span batches; of a
-    run no more rows are held than it takes to know its count, as far as it matters."""
+    run no more rows are held than it takes to know its count, as far as it matters. Of hot tokens, which two sets hold
+    for certain, a task may see a part: they are shared, and their count is the greatest."""
     held: list[np.ndarray] = []  # rows of the open run
     token, count, low, high = None, 0, 0, 0
+    known = set(hot.tolist())
 
     def made(tokens, hs, counts):
         return pa.RecordBatch.from_arrays([pa.array(hs), pa.array(tokens), pa.array(counts.astype(np.int32))], names=["h", "token", "cnt"])
@@ -145,8 +164,9 @@ def _shared_tokens(batches):
     def closed():
         hs = np.concatenate(held) if held else np.empty(0, np.int64)
         held.clear()
-        if len(hs) and low != high:
-            yield made(np.full(len(hs), token, np.int64), hs, np.full(len(hs), min(count, MOST_COUNTED)))
+        often = token in known
+        if len(hs) and (low != high or often):
+            yield made(np.full(len(hs), token, np.int64), hs, np.full(len(hs), MOST_COUNTED if often else min(count, MOST_COUNTED)))
 
     for batch in batches:
         tokens, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -169,10 +189,12 @@ def _shared_tokens(batches):
             inner = starts[1:]
             lows, highs = np.minimum.reduceat(hs, inner), np.maximum.reduceat(hs, inner)
             sizes = np.diff(np.append(inner, len(tokens)))
-            keep = np.repeat((lows != highs)[:-1], sizes[:-1])
+            often = np.isin(tokens[inner], hot)
+            keep = np.repeat(((lows != highs) | often)[:-1], sizes[:-1])
+            counts = np.where(often, MOST_COUNTED, np.minimum(sizes, MOST_COUNTED))
             part = slice(inner[0], inner[-1])
             if keep.any():
-                yield made(tokens[part][keep], hs[part][keep], np.minimum(np.repeat(sizes[:-1], sizes[:-1])[keep], MOST_COUNTED))
+                yield made(tokens[part][keep], hs[part][keep], np.repeat(counts[:-1], sizes[:-1])[keep])
         last = starts[-1]
         token, count, low, high = tokens[last], len(tokens) - last, hs[last:].min(), hs[last:].max()
         held.append(hs[last:])
@@ -457,8 +479,12 @@ def one_of_each(docs: DataFrame, length: int = 5, num: int = 80, den: int = 100)
 def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) -> DataFrame:
     """(a, b): links between classes' heads that connect all that link."""
     # tokens that two different sets hold, with their counts; each token's rows are neighbours in a sorted partition
-    postings = docs.select("text").mapInArrow(tidied(_postings(rule, length)), "token long, h long").repartition("token").sortWithinPartitions("token")
-    shared = postings.mapInArrow(tidied(_shared_tokens), "h long, token long, cnt int")
+    hot = hot_tokens(docs, rule, length)
+    place = F.col("token")
+    if len(hot):
+        place = F.when(place.isin(hot.tolist()), F.xxhash64("token", F.pmod("h", F.lit(GRAINS)))).otherwise(place)
+    postings = docs.select("text").mapInArrow(tidied(_postings(rule, length)), "token long, h long").repartition(place).sortWithinPartitions("token")
+    shared = postings.mapInArrow(tidied(_shared_tokens(hot)), "h long, token long, cnt int")
     shared = shared.groupBy("h").agg(F.collect_set(F.struct("cnt", "token")).alias("shared"))
     found = classes.select("h", "row", "n", "emitted", "low").join(shared, "h")
     lists = "h long, row long, n int, list array<struct<token:bigint,position:int>>"

@@ -33,11 +33,6 @@ def capped_selection(df: DataFrame, kind: str, score: str, key: str, n: int) ->
     return within.orderBy(F.desc(score), key).limit(n).drop("_k")
 
 
-def top_hits(df: DataFrame, group: str, order: list[Column | str], k: int) -> DataFrame:
-    """The k first rows of each group; earlier rows win ties by the order's last column."""
-    return stratified_top(df, group, order, k)
-
-
 def showcases(df: DataFrame, key: str, criteria: list[str]) -> DataFrame:
     """One row for each criterion in turn, the highest not picked before: a report of a few rows."""
     picked, out = [], None

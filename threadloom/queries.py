@@ -188,12 +188,16 @@ def diagram_stats(spark, sf):
     return s.select("thread_id", "n_nodes", "n_edges", n("answer").alias("n_answers"), n("comment").alias("n_comments"))
 
 
-@query()
+@query(f"""WITH {CONV_SQL}, e AS (SELECT 't' || (conv_id * 100) AS thread_id, 't' || (conv_id * 100) || CASE WHEN role = 'assistant' THEN '-a' ELSE '-c' END || (conv_id * 100 + turn + 1) AS source, 't' || (conv_id * 100) || '-q' AS target, CASE WHEN role = 'assistant' THEN 'answer' ELSE 'comment' END AS source_type,
+CASE WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z])(the [a-z]+)') THEN 'challenge' WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z])(de [a-z]+)') THEN 'query' WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z])(der [a-z]+)') THEN 'clarify' WHEN role = 'assistant' THEN 'assert' ELSE 'comment-on' END AS act,
+CASE WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z])(?:the|de|der) [a-z]+') THEN 'classical' ELSE 'structural' END AS detection FROM c WHERE turn > t0), n AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY source, target) - 1 AS n FROM e)
+SELECT thread_id || ':edge-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS hx_id, 'thread/' || act AS hx_type, source, source_type, target, 'question' AS target_type, 'thread,' || act || ',' || detection AS labels FROM n""")
 def hyperedge_records(spark, sf):
-    """Hyperedges of threads."""
+    """Hyperedges of threads, their ends laid open."""
     q, m = conversation_posts(spark, sf)
     nodes = T.wiring_nodes(q, m)
-    return T.hyperedges(T.wiring_edges(nodes, ACT_BANK), nodes)
+    h, end = T.hyperedges(T.wiring_edges(nodes, ACT_BANK), nodes), lambda i: F.get("ends", i)
+    return h.select("hx_id", "hx_type", end(0)["ident"].alias("source"), end(0)["node_type"].alias("source_type"), end(1)["ident"].alias("target"), end(1)["node_type"].alias("target_type"), F.array_join("labels", ",").alias("labels"))
 
 
 @query(f"""WITH {CONV_SQL}, e AS (SELECT 't' || (conv_id * 100) || CASE WHEN role = 'assistant' THEN '-a' ELSE '-c' END || (conv_id * 100 + turn + 1) AS source, conv_id, turn, role FROM c WHERE turn > t0)

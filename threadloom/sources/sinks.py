@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,10 +83,6 @@ def prompt_lines(prompts: DataFrame, path: str) -> None:
     prompts.select("entity_id", "question_id", "stage", "prompt").write.mode("overwrite").json(path)
 
 
-def stage_manifest(stats: dict) -> str:
-    return json.dumps(stats, sort_keys=True)
-
-
 def graph_cache(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Feature and edge tables of graphs, kept under a path and read from there if they are there already."""
     from threadloom.plans.stages import run_stages

@@ -380,6 +380,15 @@ def edge_columns(spark, sf):
     return T.normal_edges(e.select(F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("from"), F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("b"), F.col("user_id").cast("string"))).alias("to"), F.col("event_type").alias("type")))
 
 
+@query("""SELECT p_partkey AS id, source, term FROM part, LATERAL (VALUES ('latex-emph', lower(p_name)), ('called-as', lower(p_type) || ' object'), ('definition-of', lower(p_name))) v(source, term) WHERE len(list_filter(string_split(term, ' '), lambda w: length(w) >= 4)) > 0""")
+def introduced_terms(spark, sf):
+    """Terms in contexts that introduce them, made plain: stop words go at both ends, general words alone are none."""
+    d = parts(spark, sf, "The \\emph{the ", "p_name", "} is, for short, termed the ", "p_type", " object. The definition of ", "p_name", ". Then \\emph{theorem} and \\emph{x}.")
+    found = S.span_rows(d, "text", S.introductions, S.INTRODUCTION, ["id"])
+    term = X.discovered_term("raw", V0.DISCOVERY_STOPWORDS, V0.DISCOVERY_GENERIC)
+    return found.select("id", "source", term.alias("term")).where("term IS NOT NULL")
+
+
 @query(f"""WITH {CONV_SQL} SELECT 't' || (conv_id * 100) AS thread_id, 'hx:' || CASE WHEN role = 'assistant' THEN 'assert' ELSE 'comment-on' END AS kind, count(*) AS n FROM c WHERE turn > t0 GROUP BY 1, 2""")
 def hyperedges_by_kind(spark, sf):
     """Hyperedges of wiring edges, counted."""

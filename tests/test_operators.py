@@ -287,3 +287,41 @@ def test_clusters_and_fits_find_what_is_there(spark):
     texts = [(1, "alpha beta gamma"), (2, "beta alpha gamma"), (3, "other words entirely")]
     v = {r.vec_id: np.array(r.embedding) for r in V.hashed_text_vectors(spark.createDataFrame(texts, "vec_id int, text string")).collect()}
     assert np.allclose(v[1], v[2]) and abs(v[1] @ v[3]) < 0.5 and abs(np.linalg.norm(v[1]) - 1) < 1e-9
+
+
+def test_encoder_training(spark):
+    """Gradients against differences; the loss falls; the weights give the same vectors in Spark."""
+    import numpy as np
+
+    from threadloom.operators import training as R
+    from threadloom.operators import vectors as V
+
+    rng = np.random.default_rng(1)
+    nodes, edges = [], []
+    for g in range(60):
+        n = 3 + g % 7
+        nodes += [(g, str(i), (i + g) % 3, int(rng.integers(256))) for i in range(n)]
+        edges += [(g, "ab"[i % 2], str(i), str((i * (1 + g % 3) + 1) % n)) for i in range(n)]
+    feats = spark.createDataFrame(nodes, "graph_id int, node string, type_idx int, bucket int")
+    states, e = R.initial_states(feats, 3), spark.createDataFrame(edges, "graph_id int, relation string, src string, dst string")
+    graphs, held = R.sampled_graphs(states, e, ["a", "b"], 50)
+    assert len(graphs) + len(held) == 50 and held
+    how = {"width": 6, "out": 4, "batch": 16, "most": 60}
+    model = R.train(states, e, ["a", "b"], epochs=40, **how)
+    of = lambda m: R.metrics(m, graphs, 3, (0.1, 0.2), 0.1)["loss"]  # noqa: E731  on other views than those trained on
+    assert len(model.history) == 40 and of(model) < 0.8 * of(R.train(states, e, ["a", "b"], epochs=0, **how))
+    two = [R.view(g, rng, 0.1, 0.2) for _ in range(2) for g in graphs[:5]]
+    loss = lambda: V.contrastive_loss(*np.split(R.forward(model, two)[0], 2), 0.1)
+    for x, g in zip((model.weights, model.bias, model.projection), R.gradients(model, *R.forward(model, two), 0.1), strict=True):
+        flat, at = x.reshape(-1), int(rng.integers(x.size))
+        flat[at] += 1e-5
+        up = loss()
+        flat[at] -= 2e-5
+        down = loss()
+        flat[at] += 1e-5
+        assert abs((up - down) / 2e-5 - g.reshape(-1)[at]) < 1e-4
+    got = {r.graph_id: r.embedding for r in V.encoded(states, e, model.layers(), model.projection.tolist()).collect()}
+    whole, _ = R.sampled_graphs(states, e, ["a", "b"], 60, share=0.0)
+    want, _ = R.forward(model, whole)
+    assert np.allclose(np.array([got[g] for g in sorted(got, key=str)]), want)
+    assert R.train(states.limit(0), e.limit(0), ["a"], epochs=1).history == [{"loss": 0.0, "acc_at_1": 0.0}]

@@ -76,3 +76,51 @@ def test_sinks(spark, tmp_path):
     assert K.mermaid(n, e).first()["mermaid"].splitlines()[0] == "flowchart TD" and "-->|assert|" in K.mermaid(n, e).first()["mermaid"]
     assert '"t1-a2" -> "t1-q"' in K.graphviz(n, e).first()["dot"]
     assert "| parse | pass |" in K.markdown(spark.createDataFrame([("parse", "pass")], "gate string, status string"), "Run")
+
+
+def test_feeds_and_papers_are_fetched_once(spark, tmp_path):
+    """A feed that grows between two harvests, a paper that can't be had at first, an archive."""
+    import io
+    import tarfile
+    import urllib.parse
+
+    from threadloom.sources import dumps, fetch
+
+    asked, total = [], 5
+
+    def feed(address):
+        asked.append(address)
+        q = urllib.parse.parse_qs(urllib.parse.urlparse(address).query)
+        start, size = int(q["start"][0]), int(q["max_results"][0])
+        assert q["search_query"] == ["cat:math.CT"] and q["sortOrder"] == ["ascending"]
+        entry = "<entry><id>http://x.org/abs/{0}v1</id><title>T {0}</title><summary>S</summary><published>2020-01-01T00:00:00Z</published><category term='math.CT'/></entry>"
+        return f"<feed><os:totalResults xmlns:os='o'>{total}</os:totalResults>{''.join(entry.format(i) for i in range(start, min(total, start + size)))}</feed>".encode()
+
+    assert fetch.fetch_feed(spark, "math.CT", f"{tmp_path}/feed", feed, size=2, pause=0) == 3
+    assert fetch.fetch_feed(spark, "math.CT", f"{tmp_path}/feed", feed, size=2, pause=0) == 1 and len(asked) == 4
+    total = 7
+    fetch.fetch_feed(spark, "math.CT", f"{tmp_path}/feed", feed, size=2, pause=0)
+    assert sorted(r.id for r in dumps.atom_entries(spark, f"{tmp_path}/feed").collect()) == [str(i) for i in range(7)]
+
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w:gz") as t:
+        info = tarfile.TarInfo("sub/a.xml")
+        info.size = 3
+        t.addfile(info, io.BytesIO(b"abc"))
+    broken = {"http://x/b"}
+
+    def get(address):
+        if address in broken:
+            raise OSError("no")
+        return raw.getvalue() if address == "http://x/a" else b"plain"
+
+    papers = [("a/1", "http://x/a"), ("b", "http://x/b")]
+    rows = fetch.fetch_papers(spark, papers, f"{tmp_path}/papers", f"{tmp_path}/manifest", get, pause=0).collect()
+    assert [(r.paper_id, r.status) for r in rows] == [("a/1", "ok"), ("b", "error: OSError")] and rows[0].path.endswith("a_1.tar.gz")
+    broken.clear()
+    again = fetch.fetch_papers(spark, papers, f"{tmp_path}/papers", f"{tmp_path}/manifest", get, pause=0).collect()
+    assert [(r.paper_id, r.status, r.bytes) for r in again] == [("b", "ok", 5)]
+    assert spark.read.json(f"{tmp_path}/manifest").count() == 3
+    assert fetch.fetch_papers(spark, papers, f"{tmp_path}/papers", f"{tmp_path}/manifest", get, pause=0).count() == 0
+    assert fetch.fetch_archive(spark, "http://x/a", f"{tmp_path}/dump", get) == ["sub/a.xml"] and fetch.fetch_archive(spark, "http://x/a", f"{tmp_path}/dump", get) == []
+    assert spark.read.text(f"{tmp_path}/dump/sub").first().value == "abc"

@@ -22,6 +22,7 @@ from threadloom.queries import CONV_SQL, POSTS_SQL, conversation_posts, posts, q
 from threadloom.sources import dumps as D
 from threadloom.sources import files as R
 from threadloom.sources import sinks as K
+from threadloom.sources.fetch import put
 from threadloom.streaming import watch as W
 
 
@@ -29,16 +30,6 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def put(spark: SparkSession, path: str, content: bytes) -> None:
-    """One file, wherever Spark can write."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        out.write(bytearray(content))
-    finally:
-        out.close()
-
-
 def element(tag: str, **attributes: Column) -> Column:
     """An XML element without content; null attributes are left out."""
     escaped = lambda c: F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))

@@ -6,9 +6,9 @@
    set has too few) are counted; the order is: low before high, unshared before shared, rare before frequent, hash. A
    class with p unshared low tokens has no partner and goes. Passages that many share thus stay out of the prefixes.
    Tokens that very many documents hold are known from a sample, stand last and are dealt among several tasks.
-3. The remaining classes' prefixes make index lists, one for each token, cut into ranges of set sizes. Sets of a range are
-   candidates of one group, and so are neighbours in size across ranges that are compatible; groups by connected
-   components hold every possible link. Lists are summed up by range, so that no list has to lie in one task.
+3. The remaining classes' prefixes make index lists, one for each token, by set size. Neighbours in a list whose sizes are
+   compatible are candidates of one group; groups by connected components hold every possible link. Long lists are cut
+   into ranges of sizes and summed up by range, so that none has to lie in one task.
 4. Groups are searched in cells that a task can hold, by sets and by tokens. In a cell the index lists hold blocks of sets
    by size and position, and blocks that fail the length or position bound are skipped. A set that is already known to
    be connected with all its candidates needs no answers, so near copies cost little; else its overlaps are derived from
@@ -41,8 +41,9 @@ from pyspark.sql.window import Window
 from threadloom.llm.common import CACHES, apart, hand_back, in_batches, tidied, written
 from threadloom.llm.components import components
 
-CELL, CELL_TOKENS = 2048, 4_000_000  # sets of a group that are searched at once, and their tokens (8 bytes each)
-BUCKET, BUCKET_TOKENS = 512, 500_000  # of small groups that share a cell
+CELL, CELL_TOKENS = 4096, 4_000_000  # sets of a group that are searched at once, and their tokens (8 bytes each)
+BUCKET, BUCKET_TOKENS = 1024, 1_000_000  # of small groups that share a cell
+LIST = 512  # rows of a token that are sorted in one place
 FEW, KEPT = 8, 256  # sets that are met one by one; searches whose answers are kept
 BROADCAST_KEYS = 2_000_000  # of 8 bytes, beyond which keys are joined by shuffle
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -205,11 +206,11 @@ def _prefixes(rule: Rule):
     """The shared tokens in each set's prefix, with their positions; sets whose prefix is all their own go.
 
     Positions in the order: unshared low tokens, shared low ones, then the high ones alike."""
-    kind = pa.list_(pa.struct([("token", pa.int64()), ("position", pa.int32())]))
+    kind = pa.list_(pa.struct([("token", pa.int64()), ("position", pa.int32()), ("cnt", pa.int32())]))
 
     def make(batches):
         for batch in batches:
-            keep, offsets, tokens, positions = [], [0], [], []
+            keep, offsets, tokens, positions, often = [], [0], [], [], []
             n, emitted, low = (batch.column(i).to_numpy() for i in (2, 3, 4))
             shared = batch.column(5)
             flat = shared.flatten()
@@ -229,9 +230,11 @@ def _prefixes(rule: Rule):
                     keep.append(i)
                     tokens.append(t[order][mine])
                     positions.append(place[mine])
+                    often.append(c[order][mine])
                     offsets.append(offsets[-1] + int(mine.sum()))
             if keep:
-                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(positions).astype(np.int32))], names=["token", "position"])
+                columns = [pa.array(np.concatenate(tokens)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (positions, often))]
+                pairs = pa.StructArray.from_arrays(columns, names=["token", "position", "cnt"])
                 yield pa.RecordBatch.from_arrays([*batch.select([0, 1, 2]).take(pa.array(keep)).columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs).cast(kind)], names=["h", "row", "n", "list"])
 
     return make
@@ -487,18 +490,24 @@ def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) ->
     shared = postings.mapInArrow(tidied(_shared_tokens(hot)), "h long, token long, cnt int")
     shared = shared.groupBy("h").agg(F.collect_set(F.struct("cnt", "token")).alias("shared"))
     found = classes.select("h", "row", "n", "emitted", "low").join(shared, "h")
-    lists = "h long, row long, n int, list array<struct<token:bigint,position:int>>"
+    lists = "h long, row long, n int, list array<struct<token:bigint,position:int,cnt:int>>"
     found = written(found.mapInArrow(tidied(_prefixes(rule)), lists), "prefixes")
-    # candidate groups: a token's sets fall into ranges of sizes within which any two are compatible; all of a range
-    # link with its least set, and the greatest of a range with the least of the next, if these two are compatible
+    # candidate groups: of a token of few rows, neighbours in size that are compatible. The rows of others fall into ranges
+    # of sizes within which any two are compatible: all of a range link with its least set, and the greatest of a range
+    # with the least of the next, if these two are compatible
+    compatible = lambda m, n: F.lit(rule.den) * m >= F.lit(rule.num) * n
+    lists = found.select("h", "n", F.explode("list").alias("x")).select("h", "n", "x.token", "x.cnt")
+    order = Window.partitionBy("token").orderBy("n", "h")
+    near = lists.where(F.col("cnt") <= LIST).select("h", "n", "token", F.lag("h").over(order).alias("b"), F.lag("n").over(order).alias("m"))
+    near = near.where(compatible(F.col("m"), F.col("n"))).select(F.col("h").alias("a"), "b")
     width = math.log(rule.den / rule.num)
     span = F.floor(F.log("n") / width) if width else F.col("n")
-    lists = found.select("h", "n", F.explode("list.token").alias("token"), span.cast("long").alias("span"))
+    lists = lists.where(F.col("cnt") > LIST).select("h", "n", "token", span.cast("long").alias("span"))
     ranges = lists.groupBy("token", "span").agg(F.min(F.struct("n", "h")).alias("lo"), F.max(F.struct("n", "h")).alias("hi"))
     star = lists.join(ranges.select(F.col("token").alias("t"), F.col("span").alias("s"), F.col("lo.h").alias("b")), (apart(F.col("token")) == apart(F.col("t"))) & (F.col("span") == F.col("s")))
     before = F.lag("hi").over(Window.partitionBy("token").orderBy("span"))  # as many rows as there are ranges of sizes
-    chain = ranges.withColumn("before", before).where(F.lit(rule.den) * F.col("before.n") >= F.lit(rule.num) * F.col("lo.n"))
-    pairs = star.select(F.col("h").alias("a"), "b").union(chain.select("lo.h", "before.h")).where("a <> b").distinct()
+    chain = ranges.withColumn("before", before).where(compatible(F.col("before.n"), F.col("lo.n")))
+    pairs = near.union(star.select("h", "b")).union(chain.select("lo.h", "before.h")).where("a <> b").distinct()
     groups = components(pairs)
     groups = groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct())
     named = groups.join(found, groups["node"] == found["h"])

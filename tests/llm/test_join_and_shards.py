@@ -299,3 +299,28 @@ def test_join_query_equals_its_sql(spark, sf):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = con.execute(queries.ORACLE["op9_jaccard_join"]).fetchall()
     assert sorted(map(tuple, queries.op9_jaccard_join(spark, sf).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("num", [75, 80, 90, 95])
+def test_linked_sets_share_a_signature(num):
+    """Pairs at the rule's very bound, of all sizes, also across intervals: one signature at least in common."""
+    rng, rule, crossed = np.random.default_rng(num), J.Rule(num, 100), 0
+    for n in [*range(1, 60), 100, 333, 1000, *rng.integers(60, 3000, 40).tolist()]:
+        for m in {n, n * 100 // num, int(rng.integers(n, n * 100 // num + 1))}:
+            both = rule.least_overlap(n, m)
+            a = rng.integers(-(2**63), 2**63 - 1, n)
+            b = np.concatenate([a[:both], rng.integers(-(2**63), 2**63 - 1, m - both)])
+            a, b = np.sort(a), np.sort(b)
+            if both <= n and 100 * both >= num * (n + m - both) and a.tolist() != b.tolist():
+                assert np.intersect1d(rule.signatures(a), rule.signatures(b)).size, (n, m)
+                crossed += J.bisect_right(rule.bounds, n) != J.bisect_right(rule.bounds, m)
+    assert crossed > 20
+
+
+def test_sets_of_chance_tokens_share_no_signature():
+    """Sets of a small vocabulary, whose tokens are all shared: by single tokens they would make one group."""
+    rng, rule = np.random.default_rng(3), J.Rule(90, 100)
+    words = np.unique(rng.integers(-(2**63), 2**63 - 1, 20_000))
+    sets = [np.sort(rng.choice(words, n, replace=False)) for n in rng.integers(100, 800, 400)]
+    seen = collections.Counter(x for s in sets for x in rule.signatures(s).tolist())
+    assert sum(n > 1 for n in seen.values()) < 0.001 * len(seen)

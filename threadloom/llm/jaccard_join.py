@@ -1,14 +1,15 @@
 """N-gram Jaccard join with set-relation skipping: the components of documents whose shingle sets are alike.
 
 1. Each document's set of word shingles is hashed; documents with equal sets are one class (a 128-bit digest).
-2. A class whose link partners must share one of its first p tokens in a global order (p = size - ceil(t size) + 1)
-   needs only to know which of its tokens others hold. Tokens of low hash (a share of 1.5 (1 - t); all tokens, where a
-   set has too few) are counted; the order is: low before high, unshared before shared, rare before frequent, hash. A
-   class with p unshared low tokens has no partner and goes. Passages that many share thus stay out of the prefixes.
-   Tokens that very many documents hold are known from a sample, stand last and are dealt among several tasks.
-3. The remaining classes' prefixes make index lists, one for each token, by set size. Neighbours in a list whose sizes are
-   compatible are candidates of one group; groups by connected components hold every possible link. Long lists are cut
-   into ranges of sizes and summed up by range, so that none has to lie in one task.
+2. Two sets that link differ in at most d tokens. Hashes are cut into k > d ranges, so that k - d ranges at least hold the
+   same tokens in both; a set's signatures are its d + 1 fullest ranges (ties by hash), of which two such sets share one.
+   The cut depends on the size: a set takes part in that of its interval of sizes, and in that of the next one if a
+   partner may lie there. A signature stands for several tokens, so sets that share passages or chance shingles, and more
+   of these the larger the table, mostly share none. Below a likeness of 3/4, where ranges would hold a token or none,
+   signatures are the tokens of the prefix by hash (p = size - ceil(t size) + 1).
+3. Sets that share a signature are candidates of one group; groups by connected components hold every possible link. The
+   holders of a signature are contracted in the task that sees them. Signatures that very many documents hold are known
+   from a sample and dealt among several tasks.
 4. Groups are searched in cells that a task can hold, by sets and by tokens. In a cell the index lists hold blocks of sets
    by size and position, and blocks that fail the length or position bound are skipped. A set that is already known to
    be connected with all its candidates needs no answers, so near copies cost little; else its overlaps are derived from
@@ -21,13 +22,14 @@
 Links are exact: den * intersection >= num * union. Shingle and class hashes are 64 bits long; classes 128 bits.
 Null and empty texts, and those without words, have empty sets and link with nothing. doc_id may be null or repeat:
 rows are documents; a component's id is its smallest doc_id, null if it has none. Very long texts count whole; a set that
-is longer than a cell's tokens is searched in a cell that its hash names, with others. Equal sizes and tokens are ordered
-by hash, so ties don't matter; repeated rows are one class. Other columns take no part; an empty table gives none.
+is longer than a cell's tokens is searched in a cell that its hash names, with others. Equally full ranges and equally
+frequent tokens are ordered by hash, so ties don't matter; repeated rows are one class. Other columns take no part; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -36,14 +38,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.llm.common import CACHES, apart, hand_back, in_batches, tidied, written
-from threadloom.llm.components import components
+from threadloom.llm.components import components, contract
 
 CELL, CELL_TOKENS = 4096, 4_000_000  # sets of a group that are searched at once, and their tokens (8 bytes each)
 BUCKET, BUCKET_TOKENS = 1024, 1_000_000  # of small groups that share a cell
-LIST = 512  # rows of a token that are sorted in one place
+LIST = 512  # thousands of links between holders of signatures that are contracted at once
 FEW, KEPT = 8, 256  # sets that are met one by one; searches whose answers are kept
 BROADCAST_KEYS = 2_000_000  # of 8 bytes, beyond which keys are joined by shuffle
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -79,24 +80,51 @@ def shingle_set(text: str | None, length: int) -> np.ndarray:
 
 
 class Rule:
-    """When two sets link, and what follows for prefixes."""
+    """When two sets link, and what follows for signatures and prefixes."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.cut = int(-(2**63) + min(1.0, 1.5 * (1 - num / den)) * 2**64) if num < den else -(2**63) + 2**58
-        self.cut = min(self.cut, 2**63 - 1)
+        self.bounds = [1]  # where intervals of sizes begin: partners of a set lie in its own one and those beside it
+        while num < den and self.bounds[-1] < 2**40:
+            self.bounds.append(max(self.bounds[-1] + 1, -(-self.bounds[-1] * den**3 // num**3)))
+        self.cuts: dict[int, np.ndarray] = {}  # of the hashes, by interval
 
     def prefix(self, n: int) -> int:
         return n - -(-self.num * n // self.den) + 1
 
-    def emitted(self, tokens: np.ndarray) -> tuple[int, int]:
-        """How many tokens, lowest first, are counted, and how many of all are low."""
-        low = int(np.searchsorted(tokens, self.cut))
-        return (low if low >= 1.3 * self.prefix(len(tokens)) else len(tokens)), low
-
     def least_overlap(self, n: int, m):
         return -(-self.num * (n + m) // (self.num + self.den))
 
+    def most_apart(self, n: int) -> int:
+        """In how many tokens a set of this size and one that links with it differ at most."""
+        return (self.den - self.num) * (n + n * self.den // self.num) // (self.num + self.den)
+
+    def _cut(self, interval: int) -> np.ndarray:
+        if interval not in self.cuts:
+            k = -(-7 * (self.most_apart(self.bounds[interval + 1] - 1) + 1) // 5)
+            self.cuts[interval] = (np.arange(1, k, dtype=np.uint64) * np.uint64(2**64 // k) ^ np.uint64(2**63)).view(np.int64)
+        return self.cuts[interval]
+
+    def signatures(self, tokens: np.ndarray) -> np.ndarray:
+        """Of sorted tokens; two different sets that link share one at least."""
+        n = len(tokens)
+        if 4 * self.num < 3 * self.den:
+            return tokens[: self.prefix(n)]
+        most = self.most_apart(n)
+        if not most:
+            return np.empty(0, np.int64)
+        own = bisect_right(self.bounds, n) - 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((tokens.view(np.uint64) ^ (tokens.view(np.uint64) >> np.uint64(31))) * _MIX[1], out=sums[1:])
+        out = []
+        for interval in (own, own + 1) if n * self.den // self.num >= self.bounds[own + 1] else (own,):
+            edges = np.concatenate([[0], np.searchsorted(tokens, self._cut(interval)), [n]])
+            sig = (np.diff(sums[edges]) ^ (np.arange(1, len(edges), dtype=np.uint64) * _MIX[0])) + np.uint64(interval)
+            sig = (sig ^ (sig >> np.uint64(29))) * _MIX[2]
+            sig = (sig ^ (sig >> np.uint64(32))).view(np.int64)
+            out.append(sig[np.lexsort((sig, -np.diff(edges)))[: most + 1]])
+        return np.concatenate(out)
+
 
 def _digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
@@ -107,7 +135,7 @@ def _head(sig: bytes) -> int:
 
 
 def _postings(rule: Rule, length: int):
-    """(token, h) for the counted tokens of every set; copies within a task are counted once."""
+    """(token, h) for the signatures of every set; copies within a task are counted once."""
 
     def make(batches):
         seen: set[int] = set()
@@ -123,32 +151,58 @@ def _postings(rule: Rule, length: int):
                         continue
                     if len(seen) < 500_000:
                         seen.add(h)
-                    n = rule.emitted(own)[0]
-                    tokens.append(own[:n])
-                    owners.append(np.full(n, h, np.int64))
+                    tokens.append(rule.signatures(own))
+                    owners.append(np.full(len(tokens[-1]), h, np.int64))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], names=["token", "h"])
 
     return make
 
 
-MOST_COUNTED = 65_536  # a token's count above is this; it only orders
+MOST_COUNTED = 65_536  # a signature's count above is this
 HOT_PART, HOT_ROWS, MOST_HOT, GRAINS = 64, 4096, 10_000, 64
 
 
 def hot_tokens(docs: DataFrame, rule: Rule, length: int) -> np.ndarray:
-    """Tokens whose rows are dealt among GRAINS tasks instead of one: those of HOT_ROWS rows
-    in one of HOT_PART documents, MOST_HOT at most. They decide where rows lie and in which order tokens stand, the same for all sets; no row is
-    left out, so it doesn't matter to the links which they are."""
+    """Signatures whose rows are dealt among GRAINS tasks instead of one: those of HOT_ROWS rows in one of HOT_PART
+    documents, MOST_HOT at most. They decide where rows lie; no row is left out, so it doesn't matter to the links which
+    they are."""
     part = docs.select("text").sample(1.0 / HOT_PART, seed=9).mapInArrow(tidied(_postings(rule, length)), "token long, h long")
     counts = part.groupBy("token").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).where((F.col("n") >= HOT_ROWS) & (F.col("a") < F.col("b")))
     most = counts.orderBy(F.desc("n"), "token").limit(MOST_HOT)
     return np.sort(np.array([r["token"] for r in most.collect()], np.int64))
 
 
-def _shared_tokens(hot: np.ndarray):
-    """`_shared_runs` with some hot tokens."""
-    return lambda batches: _shared_runs(batches, hot)
+def _candidates(hot: np.ndarray, size: int):
+    """(a, b): links that connect all holders of each signature, to the first of them that the task sees; holders of hot
+    ones, of which other tasks see more, to the signature itself. `size` links at once are contracted."""
+
+    def make(batches):
+        a, b, held = [], [], 0
+        token = head = None
+
+        def flush():
+            x, y = contract(np.concatenate(a), np.concatenate(b))
+            a.clear(), b.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+        for batch in _shared_runs(batches, hot):
+            hs, tokens = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+            heads = np.where(np.isin(tokens[starts], hot), tokens[starts], hs[starts])
+            if tokens[0] == token:  # the run goes on
+                heads[0] = head
+            token, head = tokens[-1], heads[-1]
+            a.append(hs)
+            b.append(np.repeat(heads, np.diff(np.append(starts, len(tokens)))))
+            held += len(hs)
+            if held >= size:
+                yield flush()
+                held = 0
+        if held:
+            yield flush()
+
+    return make
 
 
 def _shared_runs(batches, hot: np.ndarray):
@@ -202,57 +256,40 @@ def _shared_runs(batches, hot: np.ndarray):
     yield from closed()
 
 
-def _prefixes(rule: Rule):
-    """The shared tokens in each set's prefix, with their positions; sets whose prefix is all their own go.
-
-    Positions in the order: unshared low tokens, shared low ones, then the high ones alike."""
-    kind = pa.list_(pa.struct([("token", pa.int64()), ("position", pa.int32()), ("cnt", pa.int32())]))
-
-    def make(batches):
-        for batch in batches:
-            keep, offsets, tokens, positions, often = [], [0], [], [], []
-            n, emitted, low = (batch.column(i).to_numpy() for i in (2, 3, 4))
-            shared = batch.column(5)
-            flat = shared.flatten()
-            counts, names = flat.field("cnt").to_numpy(), flat.field("token").to_numpy()
-            ends = np.cumsum(shared.value_lengths().to_numpy())
-            for i, end in enumerate(ends.tolist()):
-                begin = end - len(shared[i])
-                p, c, t = rule.prefix(int(n[i])), counts[begin:end], names[begin:end]
-                is_high = t >= rule.cut
-                order = np.lexsort((t, c, is_high))
-                lows = end - begin - int(is_high.sum())
-                free, high_free = int(low[i]) - lows, int(emitted[i]) - int(low[i]) - int(is_high.sum())
-                place = np.arange(free, free + len(order))
-                place[lows:] += high_free
-                mine = place < p
-                if mine.any():
-                    keep.append(i)
-                    tokens.append(t[order][mine])
-                    positions.append(place[mine])
-                    often.append(c[order][mine])
-                    offsets.append(offsets[-1] + int(mine.sum()))
-            if keep:
-                columns = [pa.array(np.concatenate(tokens)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (positions, often))]
-                pairs = pa.StructArray.from_arrays(columns, names=["token", "position", "cnt"])
-                yield pa.RecordBatch.from_arrays([*batch.select([0, 1, 2]).take(pa.array(keep)).columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs).cast(kind)], names=["h", "row", "n", "list"])
-
-    return make
-
-
-def _described(rule: Rule, length: int):
-    """One row for each document: its set's digest and sizes."""
+def _prefixes(rule: Rule, *cells: list[np.ndarray]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each set of some lists of sets, that are searched together: the tokens of its prefix that another holds, and
+    their positions, in the order rare before frequent, hash."""
+    every = [s for sets in cells for s in sets]
+    flat = np.concatenate(every) if every else np.empty(0, np.int64)
+    order = np.argsort(flat, kind="stable")
+    edges = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1])) if len(flat) else np.empty(0, np.int64)
+    counts = np.empty(len(flat), np.int32)
+    counts[order] = np.repeat(np.diff(np.append(edges, len(flat))), np.diff(np.append(edges, len(flat))))
+    del order, edges
+    out, end = [], 0
+    for sets in cells:
+        out.append([])
+        for s in sets:
+            begin, end = end, end + len(s)
+            c = counts[begin:end]
+            first = np.argsort(c, kind="stable")[: rule.prefix(len(s))]
+            place = np.flatnonzero(c[first] > 1)
+            out[-1].append((s[first[place]], place))
+    return out
+
+
+def _described(length: int):
+    """One row for each document: its set's digest and size."""
 
     def make(batches):
         for batch in batches:
             rows = []
             for text in batch.column(2):
                 own = shingle_set(text.as_py(), length)
-                emitted, low = rule.emitted(own) if len(own) else (0, 0)
-                rows.append((_digest(own) if len(own) else None, len(own), emitted, low))
-            sig, n, emitted, low = zip(*rows, strict=True) if rows else ((), (), (), ())
-            cols = [pa.array(sig, pa.binary()), pa.array([s and _head(s) for s in sig], pa.int64()), *(pa.array(c, pa.int32()) for c in (n, emitted, low))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "row", "sig", "h", "n", "emitted", "low"])
+                rows.append((_digest(own) if len(own) else None, len(own)))
+            sig, n = zip(*rows, strict=True) if rows else ((), ())
+            cols = [pa.array(sig, pa.binary()), pa.array([s and _head(s) for s in sig], pa.int64()), pa.array(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "row", "sig", "h", "n"])
 
     return make
 
@@ -393,19 +430,13 @@ def search(index: Index, queries, same: bool, nodes: np.ndarray, query_nodes: np
     return a, b
 
 
-def _unpacked(table: pa.Table, rule: Rule):
-    """Sets, prefixes, nodes and labels, in the order of the sets' least tokens: similar sets mostly share theirs, and so
-    follow one another."""
+def _unpacked(table: pa.Table):
+    """Sets, nodes and labels, in the order of the sets' least tokens: similar sets mostly share theirs, and so follow one
+    another."""
     raw = [np.frombuffer(x.as_py(), "<i8") for x in table.column("tokens")]
     order = sorted(range(len(raw)), key=lambda i: (raw[i][:2].tolist(), len(raw[i])))
     h, label = (table.column(c).to_numpy()[order] for c in ("h", "label"))
-    lists = []
-    for c in ("prefix", "positions"):
-        column = table.column(c).combine_chunks()
-        flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(column.value_lengths().to_numpy())
-        parts = np.split(flat, ends[:-1]) if len(ends) else []
-        lists.append([parts[i] for i in order])
-    return [raw[i] for i in order], list(zip(*lists, strict=True)), h, label
+    return [raw[i] for i in order], h, label
 
 
 def _links(a, b) -> pa.Table:
@@ -414,7 +445,8 @@ def _links(a, b) -> pa.Table:
 
 def _search_cell(rule: Rule):
     def within(table: pa.Table) -> pa.Table:
-        sets, prefixes, nodes, _ = _unpacked(table, rule)
+        sets, nodes, _ = _unpacked(table)
+        (prefixes,) = _prefixes(rule, sets)
         index = Index(sets, prefixes, rule)
         queries = [(s, *p) for s, p in zip(sets, prefixes, strict=True)]
         found = _links(*search(index, queries, True, nodes, nodes, nodes.copy(), nodes))
@@ -429,8 +461,9 @@ def _search_cells(rule: Rule):
     def across(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _links([], [])
-        sets, prefixes, query_nodes, query_labels = _unpacked(left, rule)
-        held, own, nodes, labels = _unpacked(right, rule)
+        sets, query_nodes, query_labels = _unpacked(left)
+        held, nodes, labels = _unpacked(right)
+        prefixes, own = _prefixes(rule, sets, held)
         queries = [(s, *p) for s, p in zip(sets, prefixes, strict=True)]
         return _links(*search(Index(held, own, rule), queries, False, nodes, query_nodes, labels, query_labels))
 
@@ -444,9 +477,8 @@ def jaccard_components(docs: DataFrame, length: int = 5, num: int = 80, den: int
     Two documents link when den * intersection >= num * union of their sets of `length`-word shingles."""
     rule = Rule(num, den)
     docs = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    described = "doc_id long, row long, sig binary, h long, n int, emitted int, low int"
-    rows = written(docs.mapInArrow(tidied(_described(rule, length)), described), "sets")
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("row"), F.first("h").alias("h"), *(F.first(c).alias(c) for c in ("n", "emitted", "low")))
+    rows = written(docs.mapInArrow(tidied(_described(length)), "doc_id long, row long, sig binary, h long, n int"), "sets")
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("row"), F.first("h").alias("h"), F.first("n").alias("n"))
     links = _all_links(docs, classes, rule, length)
     joined = components(links)
     key = F.coalesce(F.concat(F.lit("l"), F.col("label").cast("string")), F.concat(F.lit("s"), F.hex("sig")))
@@ -481,40 +513,21 @@ def one_of_each(docs: DataFrame, length: int = 5, num: int = 80, den: int = 100)
 
 def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) -> DataFrame:
     """(a, b): links between classes' heads that connect all that link."""
-    # tokens that two different sets hold, with their counts; each token's rows are neighbours in a sorted partition
+    # signatures that two different sets hold; each one's rows are neighbours in a sorted partition
     hot = hot_tokens(docs, rule, length)
     place = F.col("token")
     if len(hot):
         place = F.when(place.isin(hot.tolist()), F.xxhash64("token", F.pmod("h", F.lit(GRAINS)))).otherwise(place)
     postings = docs.select("text").mapInArrow(tidied(_postings(rule, length)), "token long, h long").repartition(place).sortWithinPartitions("token")
-    shared = postings.mapInArrow(tidied(_shared_tokens(hot)), "h long, token long, cnt int")
-    shared = shared.groupBy("h").agg(F.collect_set(F.struct("cnt", "token")).alias("shared"))
-    found = classes.select("h", "row", "n", "emitted", "low").join(shared, "h")
-    lists = "h long, row long, n int, list array<struct<token:bigint,position:int,cnt:int>>"
-    found = written(found.mapInArrow(tidied(_prefixes(rule)), lists), "prefixes")
-    # candidate groups: of a token of few rows, neighbours in size that are compatible. The rows of others fall into ranges
-    # of sizes within which any two are compatible: all of a range link with its least set, and the greatest of a range
-    # with the least of the next, if these two are compatible
-    compatible = lambda m, n: F.lit(rule.den) * m >= F.lit(rule.num) * n
-    lists = found.select("h", "n", F.explode("list").alias("x")).select("h", "n", "x.token", "x.cnt")
-    order = Window.partitionBy("token").orderBy("n", "h")
-    near = lists.where(F.col("cnt") <= LIST).select("h", "n", "token", F.lag("h").over(order).alias("b"), F.lag("n").over(order).alias("m"))
-    near = near.where(compatible(F.col("m"), F.col("n"))).select(F.col("h").alias("a"), "b")
-    width = math.log(rule.den / rule.num)
-    span = F.floor(F.log("n") / width) if width else F.col("n")
-    lists = lists.where(F.col("cnt") > LIST).select("h", "n", "token", span.cast("long").alias("span"))
-    ranges = lists.groupBy("token", "span").agg(F.min(F.struct("n", "h")).alias("lo"), F.max(F.struct("n", "h")).alias("hi"))
-    star = lists.join(ranges.select(F.col("token").alias("t"), F.col("span").alias("s"), F.col("lo.h").alias("b")), (apart(F.col("token")) == apart(F.col("t"))) & (F.col("span") == F.col("s")))
-    before = F.lag("hi").over(Window.partitionBy("token").orderBy("span"))  # as many rows as there are ranges of sizes
-    chain = ranges.withColumn("before", before).where(compatible(F.col("before.n"), F.col("lo.n")))
-    pairs = near.union(star.select("h", "b")).union(chain.select("lo.h", "before.h")).where("a <> b").distinct()
+    # candidate groups; written, for contracting them across tasks needs a worker of its own
+    pairs = written(postings.mapInArrow(tidied(_candidates(hot, LIST * 1000)), "a long, b long"), "pairs")
     groups = components(pairs)
     groups = groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct())
-    named = groups.join(found, groups["node"] == found["h"])
+    named = groups.join(classes.select("h", "row", "n"), F.col("node") == F.col("h"))
     sizes = named.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
     tiles = F.greatest(F.ceil(F.col("sets") / CELL), F.ceil(F.col("tokens") / CELL_TOKENS)).cast("int")
     sizes = sizes.select(F.col("label").alias("_label"), tiles.alias("tiles"))
-    members = written(named.join(sizes, apart(F.col("label")) == apart(F.col("_label"))).select("h", "label", "tiles", "n", "list", "row"), "members")
+    members = written(named.join(sizes, apart(F.col("label")) == apart(F.col("_label"))).select("h", "label", "tiles", "n", "row"), "members")
     small = F.col("tiles") <= 1
     count, large, sets_, tokens_ = members.agg(F.count("*"), F.max("tiles"), F.sum(small.cast("long")), F.sum(F.when(small, F.col("n")))).first()
     # their whole sets, from their texts
@@ -522,7 +535,7 @@ def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) ->
     texts = docs.join(F.broadcast(keys) if count <= BROADCAST_KEYS else keys, "row", "left_semi").select("text")
     sets = texts.mapInArrow(tidied(_sets(length)), "h long, tokens binary").dropDuplicates(["h"])
     whole = sets.join(members.withColumnRenamed("h", "node"), F.col("h") == F.col("node"))
-    whole = whole.select("h", "n", "tokens", "label", "tiles", F.col("list.token").alias("prefix"), F.col("list.position").alias("positions"))
+    whole = whole.select("h", "n", "tokens", "label", "tiles")
     large = (large or 0) > 1
     if large:
         whole = written(whole, "whole_sets")
@@ -530,7 +543,7 @@ def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) ->
     tile = F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")
     cell = F.when(small, F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(F.lit(-1) - F.pmod(F.xxhash64("label", tile), F.lit(2**40)))
     # links are written, or contracting them would run beside the search, in a second worker for each task
-    found = whole.withColumn("cell", cell).select("cell", "h", "label", "tokens", "prefix", "positions").groupBy("cell").applyInArrow(_search_cell(rule), "a long, b long")
+    found = whole.withColumn("cell", cell).select("cell", "h", "label", "tokens").groupBy("cell").applyInArrow(_search_cell(rule), "a long, b long")
     links = written(found, "first_links")
     if not large:
         return links
@@ -548,6 +561,6 @@ def _all_links(docs: DataFrame, classes: DataFrame, rule: Rule, length: int) ->
     left = right.where("part <> main")
     left = left.withColumn("l", F.pmod(F.xxhash64("h", F.lit(1)), F.col("lefts")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     right = right.withColumn("r", tile).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
-    cols = [F.col("label").alias("grp"), F.col("part").alias("label"), *(F.col(c).alias(c) for c in ("l", "r", "h", "tokens", "prefix", "positions"))]
+    cols = [F.col("label").alias("grp"), F.col("part").alias("label"), *(F.col(c).alias(c) for c in ("l", "r", "h", "tokens"))]
     more = left.select(*cols).groupBy("grp", "l", "r").cogroup(right.select(*cols).groupBy("grp", "l", "r")).applyInArrow(_search_cells(rule), "a long, b long")
     return links.union(written(more, "more_links"))

@@ -376,3 +376,17 @@ def test_cross_matches_are_products_of_blocks(spark):
     x = np.array([np.sin(np.arange(24_000) * (k + 1)) / 5.7 for k in range(64)]).T.astype(np.float32).astype(float)
     s = x[::10] @ np.delete(x, np.s_[::10], axis=0).T
     assert len(rows) == (s >= 0.9).sum() > 0
+
+
+def test_next_proof_equals_its_sql_beyond_100_000_events(spark, sf, tmp_path):
+    import duckdb
+
+    from threadloom.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"COPY (SELECT * REPLACE (event_id * 7 + 99_990 AS event_id) FROM '{sf}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(ORACLE["next_proof"]).fetchall()
+    assert any(r[2] for r in want)
+    assert sorted(map(tuple, QUERIES["next_proof"](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)

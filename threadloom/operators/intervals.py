@@ -68,11 +68,11 @@ def enclosing(rows: DataFrame, headings: DataFrame, key: str, name: str) -> Data
     return h.unionByName(r).withColumn(name, F.last(name, ignorenulls=True).over(order)).where("_is_row = 1").select(*columns, name)
 
 
-def next_proof(blocks: DataFrame, key: str, gap: str | None = None, most: int = 50) -> DataFrame:
-    """blocks (key, env, start, end) with proof_start, proof_end: the next block, if it is a proof and nearer than `most`.
+def next_proof(blocks: DataFrame, key: str, gap: str | None = None, most: int = 50, ties: tuple[str, ...] = ()) -> DataFrame:
+    """blocks (key, env, start, end, in the order of start and of the columns in ties) with proof_start, proof_end: the next block, if it is a proof and nearer than `most`.
 
     gap: a column with the comment-free length of what lies between a block's end and the next's start; else offsets."""
-    order = Window.partitionBy(key).orderBy("start")
+    order = Window.partitionBy(key).orderBy("start", *ties)
     after = lambda c: F.lead(c).over(order)
     near = F.col(gap) if gap else after("start") - F.col("end")
     hit = (after("env") == "proof") & (near < most)

@@ -613,10 +613,11 @@ def next_proof(spark, sf):
     """A proof that follows at once."""
     e = table(spark, sf, "events").select("user_id", "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("s"), F.when(F.col("event_type") == "purchase", "proof").otherwise(F.col("event_type")).alias("env"))
     b = e.withColumn("start", F.col("s") * 100000 + F.col("event_id")).withColumn("end", F.col("start"))
-    order = Window.partitionBy("user_id").orderBy("start")
+    # ids beyond 100,000 reach into the seconds of start, which therefore only orders; what it leaves open the ids decide
+    order = Window.partitionBy("user_id").orderBy("start", "event_id")
     b = b.withColumn("gap", F.lead("s").over(order) - F.col("s"))
-    out = I.next_proof(b, "user_id", gap="gap", most=7200)
-    return out.select("user_id", "event_id", F.floor(F.col("proof_start") / 100000).alias("proof_start"))
+    out = I.next_proof(b, "user_id", gap="gap", most=7200, ties=("event_id",))
+    return out.select("user_id", "event_id", F.when(F.col("proof_start").isNotNull(), F.col("s") + F.col("gap")).alias("proof_start"))
 
 
 @query("""WITH p AS (SELECT user_id, epoch_us(ts) AS pos, event_id FROM events WHERE event_type = 'view'), w AS (SELECT user_id, epoch_us(ts) AS pos, event_id FROM events WHERE event_type = 'error'),
